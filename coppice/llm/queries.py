@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from coppice.llm.packing import op5_best_fit_packing
 from coppice.llm.sharding import op9_histogram_shards
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op9_histogram_shards": op9_histogram_shards,
 }
 

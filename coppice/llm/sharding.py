@@ -130,7 +130,9 @@ def narrow(s: Splitter, counted: tuple[int, list[tuple[int, int]]], slack: float
             continue
         start, end = low + b * step, min(low + (b + 1) * step, s.high)
         under, over = s.target - below, below + n - s.target
-        if min(under, over) <= slack or (s.key is not None and end - start == 1):
+        # a group of equal texts below a hundredth of a shard isn't cut for the sake of balance
+        whole = 10 * slack if s.key is None and end - start == 1 else slack
+        if min(under, over) <= whole or (s.key is not None and end - start == 1):
             s.low, s.below = (start, below) if under <= over else (end, below + n)
             s.done = True
         else:
