@@ -5,9 +5,11 @@ from __future__ import annotations
 from coppice.llm.langid import op6_kneser_ney_language
 from coppice.llm.media import op8_progressive_jpeg
 from coppice.llm.packing import op5_best_fit_packing
+from coppice.llm.quality import op3_random_indexing_quality
 from coppice.llm.sharding import op9_histogram_shards
 
 QUERIES = {
+    "op3_random_indexing_quality": op3_random_indexing_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_kneser_ney_language": op6_kneser_ney_language,
     "op8_progressive_jpeg": op8_progressive_jpeg,
