@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from coppice.llm.chat import op10_quotation_threads
 from coppice.llm.langid import op6_kneser_ney_language
 from coppice.llm.media import op8_progressive_jpeg
 from coppice.llm.packing import op5_best_fit_packing
 from coppice.llm.quality import op3_random_indexing_quality
 from coppice.llm.sharding import op9_histogram_shards
+from coppice.llm.token_counts import op4_trie_token_counts
 
 QUERIES = {
     "op3_random_indexing_quality": op3_random_indexing_quality,
+    "op4_trie_token_counts": op4_trie_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_kneser_ney_language": op6_kneser_ney_language,
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_histogram_shards": op9_histogram_shards,
+    "op10_quotation_threads": op10_quotation_threads,
 }
 
 #: None of these has one: each fits a model, runs a search to convergence or a codec.
