@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from coppice.llm.chat import op10_quotation_threads
+from coppice.llm.decontaminate import op2_edit_decontamination
 from coppice.llm.langid import op6_kneser_ney_language
 from coppice.llm.media import op8_progressive_jpeg
 from coppice.llm.packing import op5_best_fit_packing
@@ -11,6 +12,7 @@ from coppice.llm.sharding import op9_histogram_shards
 from coppice.llm.token_counts import op4_trie_token_counts
 
 QUERIES = {
+    "op2_edit_decontamination": op2_edit_decontamination,
     "op3_random_indexing_quality": op3_random_indexing_quality,
     "op4_trie_token_counts": op4_trie_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
