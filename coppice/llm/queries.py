@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from coppice.llm.chat import op10_quotation_threads
 from coppice.llm.decontaminate import op2_edit_decontamination
+from coppice.llm.html import op7_template_text
 from coppice.llm.langid import op6_kneser_ney_language
 from coppice.llm.media import op8_progressive_jpeg
 from coppice.llm.packing import op5_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_trie_token_counts": op4_trie_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_kneser_ney_language": op6_kneser_ney_language,
+    "op7_template_text": op7_template_text,
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_quotation_threads": op10_quotation_threads,
