@@ -7,12 +7,14 @@ from coppice.llm.decontaminate import op2_edit_decontamination
 from coppice.llm.html import op7_template_text
 from coppice.llm.langid import op6_kneser_ney_language
 from coppice.llm.media import op8_progressive_jpeg
+from coppice.llm.ngram_join import op1_set_relation_join
 from coppice.llm.packing import op5_best_fit_packing
 from coppice.llm.quality import op3_random_indexing_quality
 from coppice.llm.sharding import op9_histogram_shards
 from coppice.llm.token_counts import op4_trie_token_counts
 
 QUERIES = {
+    "op1_set_relation_join": op1_set_relation_join,
     "op2_edit_decontamination": op2_edit_decontamination,
     "op3_random_indexing_quality": op3_random_indexing_quality,
     "op4_trie_token_counts": op4_trie_token_counts,
