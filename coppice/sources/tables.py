@@ -94,11 +94,8 @@ def list_worksheets(spark: SparkSession, path: str) -> list[str]:
 
 def import_sheet(spark: SparkSession, path: str, sheet: str) -> Source:
     """A named sheet: the first row is the header, cells become strings."""
-    ship(spark).dataSource.register(xlsx.WorkbookSource)
     headers, width = xlsx.header_of(xlsx.file_bytes(spark, path), sheet)
-    reader = spark.read.format("coppice_xlsx").option("path", path).option("sheet", sheet).option("columns", width)
-    df = reader.load().where(F.col(ROW) >= 0)
-    return Source(df.select(ROW, *[f"c{i}" for i in range(len(headers))]), headers, path, sheet)
+    return Source(xlsx.read_sheet(ship(spark), path, sheet, width), headers, path, sheet)
 
 
 def default_export_path(source_path: str | None) -> str:

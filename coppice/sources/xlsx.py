@@ -1,12 +1,13 @@
-"""Workbooks: a zip of XML, read by a Python data source and written in one pass.
+"""Workbooks: a zip of XML, read as it is parsed and written in one pass.
 
-A sheet is one compressed stream, so one task reads it and yields its rows as it
-parses; a folder of workbooks is one task a file.  The old binary format isn't read.
+A sheet is one compressed stream, so one task reads it and yields batches of rows.
+The file comes through Spark's own reader.  The old binary format isn't read.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -14,12 +15,13 @@ from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_ROWS = 1_048_576
+BATCH_ROWS = 5_000
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
@@ -118,33 +120,22 @@ def header_of(data: bytes, sheet: str) -> tuple[list[str], int]:
     return headers, len(headers)
 
 
-class WorkbookSource(DataSource):
-    """``spark.read.format("coppice_xlsx")`` with path, sheet and columns."""
+def read_sheet(spark: SparkSession, path: str, sheet: str, width: int) -> DataFrame:
+    """Rows (row_index, c0...) after the header, cut or filled to ``width`` cells."""
+    names = ["row_index", *[f"c{i}" for i in range(width)]]
 
-    @classmethod
-    def name(cls) -> str:
-        return "coppice_xlsx"
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = enumerate(sheet_rows(data, sheet), -1)
+                next(rows, None)
+                while part := list(itertools.islice(rows, BATCH_ROWS)):
+                    cells = [[c[i] if i < len(c) else "" for _, c in part] for i in range(width)]
+                    arrays = [pa.array([i for i, _ in part], pa.int64()), *(pa.array(c, pa.string()) for c in cells)]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
-    def schema(self) -> str:
-        return ", ".join(["row_index long", *[f"c{i} string" for i in range(int(self.options.get("columns", 1)))]])
-
-    def reader(self, schema: object) -> DataSourceReader:
-        spark = SparkSession.getActiveSession()
-        data = file_bytes(spark, self.options["path"])
-        return WorkbookReader(data, self.options["sheet"], int(self.options.get("columns", 1)))
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, data: bytes, sheet: str, width: int) -> None:
-        self.data, self.sheet, self.width = data, sheet, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i, cells in enumerate(sheet_rows(self.data, self.sheet)):
-            if i:
-                yield (i - 1, *(cells[: self.width] + [""] * (self.width - len(cells))))
+    schema = ", ".join(["row_index long", *[f"{c} string" for c in names[1:]]])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
 
 
 def column_letters(n: int) -> str:
