@@ -27,7 +27,8 @@ KEY_BITS = 62
 FIRST_BITS = 12
 PROBE_BITS = 10
 RANK_SALTS = 16
-NO_ID = -(2**62)
+GROUP_TOLERANCE = 10  # times the tolerance, before equal texts are parted
+NO_ID = -(2**61)
 
 
 @dataclass
@@ -59,8 +60,10 @@ def shard_by_bytes(
         ).withColumns(
             {
                 "size": F.coalesce(F.col("_octets"), F.lit(0)) + F.lit(1).cast("long"),
-                # halved, so that a difference of two ranks fits 64 bits
-                "_rank": F.coalesce(F.shiftright(F.col("_id").cast("long"), 1), F.lit(NO_ID)),
+                # ids beyond the bounds share a rank, so that a difference of two ranks fits 64 bits
+                "_rank": F.coalesce(
+                    F.greatest(F.least(F.col("_id").cast("long"), F.lit(-NO_ID)), F.lit(NO_ID)), F.lit(NO_ID)
+                ),
             }
         ).drop("_octets"),
         "shard-keys",
@@ -79,14 +82,14 @@ def at_or_above(s: Splitter) -> Column:
 
 def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Splitter]:
     total = rows.agg(F.sum("size")).first()[0] or 0
-    slack = max(total / shards * tolerance, 1)
+    slack, group_slack = max(total / shards * tolerance, 1), total / shards * tolerance * GROUP_TOLERANCE
     splitters = [Splitter(total * i / shards) for i in range(1, shards)]
     bits = FIRST_BITS
     while pending := [s for s in splitters if not s.done]:
         spans = sorted({(s.key, s.low, s.high) for s in pending}, key=lambda x: (x[0] or 0, x[1]))
         counted = histogram(rows, spans, bits)
         for s in pending:
-            narrow(s, counted[s.key, s.low, s.high], slack)
+            narrow(s, counted[s.key, s.low, s.high], slack, group_slack)
         inside = {s.low for s in pending if not s.done and s.key is None and s.high - s.low == 1}
         if inside:
             to_ids(rows, pending, inside)
@@ -120,7 +123,7 @@ def histogram(rows: DataFrame, spans: list[tuple], bits: int) -> dict[tuple, tup
     return out
 
 
-def narrow(s: Splitter, counted: tuple[int, list[tuple[int, int]]], slack: float) -> None:
+def narrow(s: Splitter, counted: tuple[int, list[tuple[int, int]]], slack: float, group_slack: float) -> None:
     """Move to the bucket that holds the target, or settle on an edge that is close enough."""
     step, buckets = counted
     low, below = s.low, s.below
@@ -130,8 +133,8 @@ def narrow(s: Splitter, counted: tuple[int, list[tuple[int, int]]], slack: float
             continue
         start, end = low + b * step, min(low + (b + 1) * step, s.high)
         under, over = s.target - below, below + n - s.target
-        # a group of equal texts below a hundredth of a shard isn't cut for the sake of balance
-        whole = 10 * slack if s.key is None and end - start == 1 else slack
+        # a group of equal texts isn't cut for the sake of a hundredth of a shard
+        whole = max(slack, group_slack) if s.key is None and end - start == 1 else slack
         if min(under, over) <= whole or (s.key is not None and end - start == 1):
             s.low, s.below = (start, below) if under <= over else (end, below + n)
             s.done = True
