@@ -40,10 +40,10 @@ def normalize_text(c: Column) -> Column:
 
 def tokens(normalized: Column) -> Column:
     """Words of two bytes or more that aren't stopwords, in order, repeats kept."""
-    stop = F.array(*map(F.lit, STOPWORDS))
+    # a long IN list becomes a hash set in the plan
     return F.filter(
         F.split(normalized, " "),
-        lambda t: (F.octet_length(t) >= LEAST_TOKEN_BYTES) & ~F.array_contains(stop, t),
+        lambda t: (F.octet_length(t) >= LEAST_TOKEN_BYTES) & ~t.isin(STOPWORDS),
     )
 
 
