@@ -13,13 +13,14 @@ the first block (i <= n - ceil(2t/(1+t) n)); later blocks are skipped for it, an
 pairs of entries whose sizes or positions rule them out are skipped.  Lists that
 one passage makes long hold that token in late blocks.
 
-Answer-level skipping.  Short lists give all their pairs.  A long list is
-answered for its leader, the entry of lowest position (the set with least of its
-own), against every entry: linear in the list.  The answers of the other entries
-are derived from the leader's: entries in the leader's component need no pair
-among themselves, and what remains (entries whose component differs) is bounded
-by the overlaps already known, |x & y| <= |x & l| + |y| - |y & l|, before
-anything is compared.  Remaining pairs are then compared like any others.
+Answer-level skipping.  Lists of a few entries give all their pairs.  A longer
+list has a leader, the entry of lowest position (the set with least of its own),
+and every entry is compared with the leader it shares most lists with: one pair
+an entry.  The answers of the other entries are derived from the leader's:
+entries in the leader's component need no pair among themselves, and what remains
+(entries whose components differ) is bounded by the overlaps already known,
+|x & y| <= |x & l| + |y| - |y & l|, before anything is compared.  Remaining pairs
+are then compared like any others.
 
 Candidates pass a parity filter (256-bit parities of both sets differ in at most
 |x - y| + |y - x| bits) and are verified on the texts of one document a set.
@@ -27,7 +28,8 @@ Every pair that links is found or joins sets that other links join already, so
 components are exact; copies are never expanded into pairs.
 
 Null and empty texts have no shingles, link with nothing and are their own
-component; rows that repeat a doc_id share one component.
+component; rows that repeat a doc_id share one component; rows without an id join
+the component of documents with an equal set and link with nothing else.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ BUCKETS = 1 << 18
 SHORT_LIST = 24
 PARITY_WORDS = 4
 FETCH_BITS = 26
+LEAST_SIEVE_BITS, MOST_SIEVE_BITS = 20, 28
 SET, BUCKET = 0, 1
 
 
@@ -100,12 +103,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def postings(df: DataFrame, text: str, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Rows (token, a, n, at) of every set's prefix under the global order."""
-    shared = df.sparkSession.sparkContext.broadcast(order)  # BUCKETS counts at any input size
+def postings(
+    df: DataFrame, text: str, width: int, percent: int, order: np.ndarray, wanted: np.ndarray | None = None
+) -> DataFrame:
+    """Rows (token, a, n, at) of every set's prefix under the global order; with ``wanted``, of its tokens only."""
+    shared = df.sparkSession.sparkContext.broadcast((order, wanted))  # both bounded at any input size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, (order, wanted) = set(), shared.value
         for batch in batches:
             for part in slices(batch):
                 out = [], [], [], []
@@ -114,10 +119,12 @@ def postings(df: DataFrame, text: str, width: int, percent: int, order: np.ndarr
                     if not len(s) or mark in seen:
                         continue
                     seen.add(mark)
-                    often = shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                    n = prefix_length(len(s), percent)
-                    first = np.lexsort((s, often))[:n]
-                    for values, x in zip(out, (s[first].view(np.int64), np.full(n, mark[0]), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)), strict=True):
+                    often = order[(s % np.uint64(BUCKETS)).astype(np.int64)]
+                    first = s[np.lexsort((s, often))[: prefix_length(len(s), percent)]]
+                    at = np.arange(len(first), dtype=np.int32) if wanted is None else in_sieve(wanted, first)
+                    k = len(at)
+                    columns = first[at].view(np.int64), np.full(k, mark[0]), np.full(k, len(s), np.int32), at
+                    for values, x in zip(out, columns, strict=True):
                         values.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "a", "n", "at"])
@@ -201,46 +208,73 @@ def rest_pairs(long: DataFrame, components: DataFrame, compared: DataFrame, perc
     return meet(small.where(strayed), entries).unionByName(meet(small.where(~strayed), entries.where(strayed)))
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size with two bits set for each id; only ever a prefilter."""
-    bit = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(k), "id"), 64 - FETCH_BITS) for k in range(2)])).alias("bit")
+def sieve(df: DataFrame, bits: int, *places: Column) -> np.ndarray:
+    """A table of 2 ** bits bits with the bits at ``places`` of every row set; only ever a prefilter."""
     words = (
-        ids.select(bit)
+        df.select(F.explode(F.array(*places)).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
-        .collect()
+        .toArrow()
     )
-    out = np.zeros(1 << (FETCH_BITS - 6), np.int64)
-    for w, v in words:
-        out[w] = v
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
     return out.view(np.uint64)
 
 
+def bits_set(table_: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table_[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def token_sieve(tokens: DataFrame) -> np.ndarray:
+    """Of tokens, which are hashes already: their lowest and highest bits are the places."""
+    n = tokens.count()
+    bits = min(max((8 * n).bit_length(), LEAST_SIEVE_BITS), MOST_SIEVE_BITS)
+    low = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
+    return sieve(tokens, bits, low, F.shiftrightunsigned("token", 64 - bits))
+
+
+def in_sieve(table_: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Positions of the tokens that may be in the sieve."""
+    bits = len(table_).bit_length() + 5
+    low, high = tokens & np.uint64((1 << bits) - 1), tokens >> np.uint64(64 - bits)
+    return np.flatnonzero(bits_set(table_, low) & bits_set(table_, high)).astype(np.int32)
+
+
 def fetch(df: DataFrame, ids: DataFrame, text: str, id_col: str) -> DataFrame:
     """Rows (a, text): the text of one document of each set in ``ids`` (a, id)."""
-    shared = df.sparkSession.sparkContext.broadcast(sieve(ids))  # 2 ** FETCH_BITS bits at any input size
+
+    def places(c: str) -> list[Column]:
+        return [F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(c)), 64 - FETCH_BITS) for k in range(2)]
+
+    shared = df.sparkSession.sparkContext.broadcast(sieve(ids, FETCH_BITS, *places("id")))  # a fixed size
 
     def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = np.ones(batch.num_rows, bool)
-        for c in (2, 3):
-            bit = batch.column(c).to_numpy().astype(np.uint64)
-            keep &= (shared.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        one, two = (batch.column(c).to_numpy().astype(np.uint64) for c in (2, 3))
+        keep = bits_set(shared.value, one) & bits_set(shared.value, two)
         return batch.select([0, 1]).filter(pa.array(keep))
 
-    bits = [F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(id_col)), 64 - FETCH_BITS).alias(f"b{k}") for k in range(2)]
     kind = df.schema[id_col].dataType.simpleString()
-    few = arrow_map(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"), *bits), wanted, f"id {kind}, t string")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"), *places(id_col))
+    few = arrow_map(rows.toDF("id", "t", "b0", "b1"), wanted, f"id {kind}, t string")
     return few.join(ids, "id").groupBy("a", "id").agg(F.max("t").alias("t"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (a, b, overlap, linked) for the pairs that the parity filter leaves."""
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities don't rule them out."""
     words = [f"p{k}" for k in range(PARITY_WORDS)]
     x = sets.select(F.col("a"), F.col("n").alias("nx"), *[F.col(w).alias("x" + w) for w in words])
     y = sets.select(F.col("a").alias("b"), F.col("n").alias("ny"), *[F.col(w).alias("y" + w) for w in words])
     apart = sum((F.bit_count(F.col("x" + w).bitwiseXOR(F.col("y" + w))) for w in words), F.lit(0))
     need = required(F.col("nx"), F.col("ny"), percent)
-    few = pairs.join(x, "a").join(y, "b").where(apart <= F.col("nx") + F.col("ny") - 2 * need).select("a", "b")
+    few = pairs.join(x, "a").join(y, "b").where(apart <= F.col("nx") + F.col("ny") - 2 * need)
+    return few.select("a", "b").distinct()
+
+
+def verify(df: DataFrame, few: DataFrame, sets: DataFrame, text: str, id_col: str, width: int, percent: int) -> DataFrame:
+    """Rows (a, b, overlap, linked) for pairs (a, b), from the texts of their sets."""
+    involved = few.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    ids = save(sets.where("id is not null").join(involved, "a", "left_semi").select("a", "id"), "join-wanted")
+    texts = save(fetch(df, ids, text, id_col), "join-texts")
     left, right = texts.select("a", F.col("t").alias("tx")), texts.select(F.col("a").alias("b"), F.col("t").alias("ty"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -280,20 +314,18 @@ def jaccard_components(
     lists = save(index_lists(df, text, width, percent, order), "join-lists")
     leaders = leaders_of(lists).select("token", F.col("a").alias("la"), F.col("n").alias("ln"), F.col("at").alias("lat"))
     long = save(lists.where(F.col("df") > SHORT_LIST).join(leaders, "token"), "join-long")
-    pairs = save(ordered_pairs(short_pairs(lists, percent).unionByName(leader_pairs(long, percent))), "join-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("a")).unionByName(long.select("a")).distinct()
-    nodes = sets.join(involved, "a", "left_semi")
-    texts = save(fetch(df, nodes.where("id is not null").select("a", "id"), text, id_col), "join-texts")
-    compared = save(verify(pairs, nodes, texts, width, percent), "join-compared")
+    pairs = ordered_pairs(short_pairs(lists, percent).unionByName(leader_pairs(long, percent)))
+    few = save(possible(pairs, sets, percent), "join-pairs")
+    compared = save(verify(df, few, sets, text, id_col, width, percent), "join-compared")
     links = compared.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     components = save(connected_components(links), "join-components")
     rest = ordered_pairs(rest_pairs(long, components, compared, percent)).join(compared, ["a", "b"], "left_anti")
-    rest = save(rest, "join-rest")
+    rest = save(possible(rest, sets, percent), "join-rest")
     if not rest.isEmpty():
-        more = save(verify(rest, nodes, texts, width, percent), "join-compared")
+        more = save(verify(df, rest, sets, text, id_col, width, percent), "join-compared")
         links = links.unionByName(more.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         components = save(connected_components(links), "join-components")
-    forget(lists, long, texts)
+    forget(lists, long, few)
     classes = sets.join(components.select(F.col("node").alias("a"), "component"), "a", "left")
     least = classes.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     classes = classes.join(least, "component", "left").select("a", "b", "n", "copies", F.coalesce("least", "id").alias("component_id"))
@@ -307,10 +339,14 @@ def jaccard_components(
 
 
 def index_lists(df: DataFrame, text: str, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Entries (token, a, n, at, df) of the lists with two sets or more."""
-    entries = postings(df, text, width, percent, order)
-    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi")
-    return entries.distinct().join(shared.select("token", "df"), "token")
+    """Entries (token, a, n, at, df) of the lists with two entries or more; df counts a set once a task.
+
+    Tokens are counted first, alone; then only entries of repeated tokens are sent.
+    """
+    counted = postings(df, text, width, percent, order).groupBy("token").agg(F.count("*").cast("int").alias("df"))
+    repeated = save(counted.where("df > 1"), "join-tokens")
+    wanted = postings(df, text, width, percent, order, token_sieve(repeated))
+    return wanted.distinct().join(repeated, "token")
 
 
 def op1_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
