@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, table
+from coppice.session import save
 
 LEAST_SHARE = 0.5  # of the host's pages that a template token is on
 SHORT_TEXT = 40
@@ -268,8 +269,9 @@ def host_of(url: Column) -> Column:
 def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id") -> DataFrame:
     """Columns id, url, text, n_chars; one row a row of ``df``."""
     pages = df.select(F.col(id_col), F.col(url), F.col(html), host_of(F.col(url)).alias("_host"))
-    # the planner broadcasts the templates only where their measured size is below its threshold
-    ready = pages.join(templates(pages, html), "_host", "left").select(id_col, url, html, "classes")
+    # written first, so the planner knows their size: below its threshold they are broadcast and pages stay put
+    known = save(templates(pages, html), "page-templates")
+    ready = pages.join(known, "_host", "left").select(id_col, url, html, "classes")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h, c) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
