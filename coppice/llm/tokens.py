@@ -11,9 +11,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cached_property
 from pathlib import Path
 from typing import ClassVar
 
+import tiktoken
+
 DOUBLE_SPACE = re.compile(r"\s\s")
 #: The pre-token pattern of this family of vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -42,13 +45,18 @@ class BpeEncoder:
     _made: ClassVar[dict[str, BpeEncoder]] = {}
 
     def __init__(self, path: str) -> None:
-        import tiktoken
+        self.path = path
+
+    def with_pattern(self, pattern: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=vocabulary(self.path), special_tokens={})
+
+    @cached_property
+    def full(self) -> tiktoken.Encoding:
+        return self.with_pattern(PATTERN)
 
-        ranks = vocabulary(path)
-        self.full, self.single = (
-            tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={})
-            for p in (PATTERN, PATTERN_OF_SINGLE_SPACES)
-        )
+    @cached_property
+    def single(self) -> tiktoken.Encoding:
+        return self.with_pattern(PATTERN_OF_SINGLE_SPACES)
 
     @classmethod
     def of(cls, path: str) -> BpeEncoder:
