@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.common import arrow_map, held_out, mix64, slices, table
+from coppice.llm.common import arrow_map, give_back, held_out, mix64, slices, table
 from coppice.session import save
 
 WORDS, SHAPES, WIDTH, NONZERO = 6144, 2048, 32, 4
@@ -40,24 +41,22 @@ FAN_IN = 64
 HIDDEN = 16
 MOST_LABELLED = 20_000
 ACCEPT = 0.7
-MOST_CACHED = 300_000
+MOST_CACHED = 150_000
 
 LETTERS, CAPITALS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
 CORE = re.compile(r"^\W+|\W+$")
 
 
 class Vocabulary(dict):
-    """Word to (word token, shape token), filled as words appear; emptied when full."""
+    """Word to its word token and shape token in one number, filled as words appear; emptied when full."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         core = CORE.sub("", word).lower()
         small = LETTERS.sub("a", DIGITS.sub("9", word))
         head = LETTERS.search(word)
         kind = "-" if head is None else "A" if head[0].isupper() and len(head[0]) > 1 else "B" if head[0][0].isupper() else "a"
-        found = (
-            xxhash.xxh64_intdigest(core or word) % WORDS,
-            WORDS + xxhash.xxh64_intdigest(kind + small[:64]) % (SHAPES - 1),
-        )
+        shape = WORDS + xxhash.xxh64_intdigest(kind + small[:64]) % (SHAPES - 1)
+        found = xxhash.xxh64_intdigest(core or word) % WORDS << 16 | shape
         if len(self) >= MOST_CACHED:
             self.clear()
         self[word] = found
@@ -71,8 +70,8 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Word tokens and shape tokens of all texts, and how many each text has."""
     split = [(t or "").split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    pairs = np.array([_known[w] for words in split for w in words], np.int64).reshape(-1, 2)
-    word, shape = pairs[:, 0], pairs[:, 1].copy()
+    both = np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
+    word, shape = both >> 16, both & 0xFFFF
     repeats = np.zeros(len(word), bool)
     repeats[1:] = (word[1:] == word[:-1]) & (shape[1:] == shape[:-1])
     starts = np.cumsum(counts) - counts
@@ -109,6 +108,7 @@ def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
                         at = a[:, None] * WIDTH + places[b]
                         sums += np.bincount(at.reshape(-1), signs[b].reshape(-1), TOKENS * WIDTH)
                     seen += np.bincount(stream, minlength=TOKENS)
+        give_back()
         if task is not None:
             both = np.concatenate([sums.reshape(TOKENS, WIDTH), seen[:, None]], 1)
             parts = [x.astype("<f8").tobytes() for x in np.split(both, CHUNKS)]
