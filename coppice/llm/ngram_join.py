@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm.common import arrow_map, mix64, slices, table
+from coppice.llm.common import arrow_map, give_back, mix64, slices, table
 from coppice.llm.shingles import shingle_sets
 from coppice.operators.components import connected_components
 from coppice.session import forget, save
 
 BUCKETS = 1 << 18
-SHORT_LIST = 24
+SHORT_LIST = 4
 PARITY_WORDS = 4
 FETCH_BITS = 26
 LEAST_SIEVE_BITS, MOST_SIEVE_BITS = 20, 28
@@ -85,6 +85,7 @@ def describe(df: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
                 columns = np.array(rows, np.int64).reshape(-1, 3 + PARITY_WORDS).T
                 kind = pa.array(np.full(part.num_rows, SET, np.int32))
                 yield pa.RecordBatch.from_arrays([kind, part.column(0), *map(pa.array, columns.copy())], names)
+        give_back()
         used = np.flatnonzero(counts)
         if len(used):
             nothing = [pa.nulls(len(used), pa.int64())] * (1 + PARITY_WORDS)
@@ -128,6 +129,7 @@ def postings(
                         values.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "a", "n", "at"])
+        give_back()
 
     return df.select(text).mapInArrow(run, "token long, a long, n int, at int")
 
@@ -168,8 +170,12 @@ def leaders_of(lists: DataFrame) -> DataFrame:
 
 
 def leader_pairs(long: DataFrame, percent: int) -> DataFrame:
-    met = long.select(F.struct("a", "n", "at").alias("x"), F.struct(F.col("la").alias("a"), F.col("ln").alias("n"), F.col("lat").alias("at")).alias("y"))
-    return met.where("x.a <> y.a").where(admissible("x", "y", percent)).select(F.col("x.a").alias("x"), F.col("y.a").alias("y"))
+    """Each entry with the leader it shares most lists with; its other leaders are left to ``rest_pairs``."""
+    entry = F.struct("a", "n", "at").alias("x")
+    leader = F.struct(F.col("la").alias("a"), F.col("ln").alias("n"), F.col("lat").alias("at")).alias("y")
+    met = long.select(entry, leader).where("x.a <> y.a").where(admissible("x", "y", percent))
+    counted = met.groupBy(F.col("x.a").alias("x"), F.col("y.a").alias("y")).agg(F.count("*").alias("lists"))
+    return counted.groupBy("x").agg(F.max_by("y", F.struct("lists", "y")).alias("y"))
 
 
 def rest_pairs(long: DataFrame, components: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +262,7 @@ def fetch(df: DataFrame, ids: DataFrame, text: str, id_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"), *places(id_col))
     few = arrow_map(rows.toDF("id", "t", "b0", "b1"), wanted, f"id {kind}, t string")
-    return few.join(ids, "id").groupBy("a", "id").agg(F.max("t").alias("t"))
+    return few.groupBy("id").agg(F.max("t").alias("t")).join(ids, "id").select("a", "id", "t")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
