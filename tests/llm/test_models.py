@@ -78,6 +78,26 @@ def test_languages_of_held_out_documents(spark, docs_of):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_a_model_in_shards_leaves_no_gram_out(spark, docs_of, monkeypatch):
+    rng = random.Random(7)
+    langs = [rng.choice(list(SYLLABLES)) for _ in range(120)]
+    texts = [sentences(x, rng, 20) for x in langs]
+    rare = "".join(chr(0x4E00 + 7 * i) for i in range(60))  # a language whose n-grams occur once
+    docs = docs_of([*texts, rare, rare, rare, rare, "", None], [*langs, *["zz"] * 4, None, "aa"]).where("doc_id not in (121, 122)")
+    whole = {r.doc_id: r for r in L.identify(docs).collect()}
+    monkeypatch.setattr(L, "MOST_CELLS", 500)
+    languages, shards = L.train(docs, "text", "lang", "doc_id")
+    assert len(shards) > 3 and "zz" in languages
+    assert all(a.high == b.low for a, b in zip(shards, shards[1:], strict=False)) and shards[0].low == 0
+    got = {r.doc_id: r for r in L.identify(docs).collect()}
+    assert got.keys() == whole.keys()
+    for i, r in got.items():
+        assert (r.lang_pred, r.rejected, r.held_out) == (whole[i].lang_pred, whole[i].rejected, whole[i].held_out)
+        assert r.score == pytest.approx(whole[i].score, abs=1e-6)
+        assert r.cross_entropy == (None if whole[i].cross_entropy is None else pytest.approx(whole[i].cross_entropy, abs=1e-5))
+    assert got[120].lang_pred == "zz" or got[123].lang_pred == "zz"
+
+
 def test_language_without_training(spark, docs_of):
     assert {r.lang_pred for r in L.identify(docs_of(["some text"])).collect()} == {"und"}
     assert L.identify(docs_of([])).count() == 0
