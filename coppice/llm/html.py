@@ -1,19 +1,22 @@
 """Main text of pages by template deduction over equivalence classes.
 
 Pages of a host share a template.  A page is a sequence of tokens: tags (with
-class or id) and short strings between tags.  Tokens with the same occurrence
+class or id) and strings between tags (long ones by a hash).  Tokens with the same occurrence
 vector over the pages of a host form an equivalence class; vectors are compared
 by a sum of hashes of (page, count), so a class is an aggregate and no host is
 gathered.  Classes whose tokens occur at most once a page and on most pages make
 the host's template, ordered by mean position; on a page, a class is valid if its
 tokens appear in that order and nest inside one slot of the classes before it.
 
-The slots between template tokens are what the template leaves open.  Those
-inside ``article`` or ``main`` are the main text; without such an element, those
-that no boilerplate element encloses.  Inside them nested boilerplate (menus,
-adverts, forms, comments, scripts and the like, by element, role, class or id)
-is left out, the rest becomes blocks.  A page that fits no template is read by
-the same rules from its own tags.
+The slots between template tokens are what the template leaves open; text of the
+template (on most pages of the host, and on two different ones at least) is left
+out wherever it is.  Slots inside ``article`` or ``main`` are the main text;
+without such an element, all that no boilerplate element encloses.  Inside them
+nested boilerplate (menus, adverts, forms, comments, scripts and the like, by
+element, role, class or id) is left out, the rest becomes blocks; open elements
+and blocks are told from all tags of the page, the template's or not.  A page
+that fits no template, or that is all template (pages of a host that repeat each
+other), is read by the same rules with all its text.
 
 Null and empty pages give an empty text; a null url is a host of its own; tags
 that are never closed end with what encloses them.
@@ -24,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,7 +96,9 @@ def signature(kind: str, name: str, raw: str) -> str | None:
     """What identifies a token across pages; None for what no template could hold."""
     if kind == "text":
         text = " ".join(raw.split())
-        return f'"{text}' if 0 < len(text) <= SHORT_TEXT else None
+        if len(text) > SHORT_TEXT:
+            return f'"#{blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()}'
+        return f'"{text}' if text else None
     if kind == "close":
         return f"/{name}"
     if " " not in raw:
@@ -148,10 +154,18 @@ def templates(df: DataFrame, html: str) -> DataFrame:
     tokens = (
         page_tokens(df, html)
         .groupBy("_host", "token")
-        .agg(F.count("*").alias("support"), F.max("n").alias("most"), vector.alias("vector"), F.avg("at").alias("at"))
+        .agg(
+            F.count("*").alias("support"),
+            F.max("n").alias("most"),
+            vector.alias("vector"),
+            F.avg("at").alias("at"),
+            (F.min("page") != F.max("page")).alias("repeated"),  # not only on copies of one page
+        )
         .where("most = 1")
+        .where(F.col("repeated") | ~F.startswith("token", F.lit('"')))
         .join(sizes, "_host")
         .where(F.col("support") >= F.col("pages") * LEAST_SHARE)
+        .where((F.col("support") > F.col("pages") * LEAST_SHARE) | ~F.startswith("token", F.lit('"')))
     )
     return (
         tokens.groupBy("_host", "vector", "support")
@@ -182,34 +196,13 @@ def skeleton(tokens: list[tuple[str, str, str]], classes: list[list[str]]) -> li
 
 def main_text(page: str | None, classes: list[list[str]] | None) -> str:
     tokens = parse(page or "")
-    fixed = skeleton(tokens, classes or [])
-    inside = content_slots(tokens, fixed)
-    return "\n\n".join(blocks(tokens, inside))
-
-
-def content_slots(tokens: list[tuple[str, str, str]], fixed: list[int]) -> list[tuple[int, int]]:
-    """Ranges of tokens that are the template's main slots, or all of the page if it has no template."""
-    opened: list[tuple[str, bool, bool]] = []
-    slots, main = [], False
-    for i, end in zip(fixed, [*fixed[1:], len(tokens)], strict=False):
-        kind, name, raw = tokens[i]
-        if kind == "open" and name not in VOID:
-            opened.append((name, name in MAIN, aside(name, raw)))
-        elif kind == "close" and any(x[0] == name for x in opened):
-            while opened.pop()[0] != name:
-                pass
-        if not any(x[2] for x in opened):
-            central = any(x[1] for x in opened)
-            main |= central
-            # the text of a fixed token inside the main element is text, too
-            slots.append((i if kind == "text" else i + 1, end, central))
-    if not main:
-        return own_slots(tokens)
-    return [(a, b) for a, b, central in slots if central]
+    fixed = {i for i in skeleton(tokens, classes or []) if tokens[i][0] == "text"}
+    inside = own_slots(tokens)
+    return "\n\n".join(blocks(tokens, inside, fixed) or blocks(tokens, inside, set()))
 
 
 def own_slots(tokens: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
-    """Without a template: the page's own main elements, else all of it."""
+    """Ranges of tokens of the page's main elements, else all of it."""
     starts = [i for i, (kind, name, _) in enumerate(tokens) if kind == "open" and name in MAIN]
     if not starts:
         return [(0, len(tokens))]
@@ -227,8 +220,8 @@ def own_slots(tokens: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
     return [*out, (start, len(tokens))] if depth else out
 
 
-def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]]) -> list[str]:
-    """Blocks of the tokens inside the ranges, nested boilerplate left out."""
+def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fixed: set[int]) -> list[str]:
+    """Blocks of the tokens inside the ranges, nested boilerplate and the text at ``fixed`` left out."""
     out: list[str] = []
     now: list[str] = []
     skipped, depth = None, 0
@@ -240,7 +233,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]]) ->
         now.clear()
 
     for start, end in inside:
-        for kind, name, raw in tokens[start:end]:
+        for i, (kind, name, raw) in enumerate(tokens[start:end], start):
             if skipped is not None:
                 if name == skipped:
                     depth += (kind == "open") - (kind == "close")
@@ -249,7 +242,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]]) ->
                     skipped = None
                 continue
             if kind == "text":
-                now.append(raw)
+                now.append(" " if i in fixed else raw)
             elif kind == "open" and name not in VOID and aside(name, raw):
                 if name in BLOCKS or name in ASIDE:
                     flush()

@@ -30,6 +30,22 @@ def test_main_text(spark):
     assert read(spark, [])== {}
 
 
+NEUTRAL = (
+    "<html><body><header class=top><div class=name>The Daily Thing</div><div>All the news since 1901</div></header>"
+    "<div class=strip>This site is written by its readers and read by its writers.</div>{}<div class=end>Made in Nowhere</div></body></html>"
+)
+
+
+def test_template_text_is_left_out(spark):
+    body = "<p>Body {0} of this page.</p><div>More of {0}</div><p>Filed under news</p>"
+    pages = [(f"http://a.x/{i}", NEUTRAL.format("<article>" + body.format(i) + "</article>")) for i in range(4)]
+    pages += [(f"http://b.x/{i}", NEUTRAL.format("<div class=text>" + body.format(i) + "</div>")) for i in range(4)]
+    got = read(spark, pages)
+    assert [got[i].text for i in range(8)] == [f"Body {i % 4} of this page.\n\nMore of {i % 4}" for i in range(8)]
+    copies = read(spark, [("http://c.x/", pages[0][1])] * 3 + [("http://d.x/", pages[0][1])])
+    assert all(r.text == "Body 0 of this page.\n\nMore of 0\n\nFiled under news" for r in copies.values())
+
+
 def test_templates_are_classes_of_equal_occurrence(spark):
     pages = [(f"http://a.x/{i}", SHELL.format(i, "<article>" + "<p>x</p>" * i + "</article>")) for i in range(1, 6)]
     df = spark.createDataFrame([(h, u) for u, h in pages], "html string, url string")
