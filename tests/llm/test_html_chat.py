@@ -46,6 +46,13 @@ def test_template_text_is_left_out(spark):
     assert all(r.text == "Body 0 of this page.\n\nMore of 0\n\nFiled under news" for r in copies.values())
 
 
+def test_boilerplate_inside_the_article_ends_at_its_own_tag(spark):
+    article = "<article><h1>Head {0}</h1><div class='share'>Tell all</div><p>Body {0}</p><div class='fig'>Figure {0}</div></article>"
+    before = "<html><body><div class='x'>Other</div>{}<div>End</div></body></html>"
+    got = read(spark, [(f"http://a.x/{i}", before.format(article.format(i))) for i in range(4)])
+    assert [got[i].text for i in range(4)] == [f"Head {i}\n\nBody {i}\n\nFigure {i}" for i in range(4)]
+
+
 def test_templates_are_classes_of_equal_occurrence(spark):
     pages = [(f"http://a.x/{i}", SHELL.format(i, "<article>" + "<p>x</p>" * i + "</article>")) for i in range(1, 6)]
     df = spark.createDataFrame([(h, u) for u, h in pages], "html string, url string")
