@@ -53,6 +53,11 @@ def test_boilerplate_inside_the_article_ends_at_its_own_tag(spark):
     assert [got[i].text for i in range(4)] == [f"Head {i}\n\nBody {i}\n\nFigure {i}" for i in range(4)]
 
 
+def test_template_tags_still_part_blocks_and_words(spark):
+    got = read(spark, [("http://a.x/", "<article><h1>Title</h1><p>Body</p></article>"), ("http://b.x/", "<main><p>one<br>two</p></main>")])
+    assert (got[0].text, got[1].text) == ("Title\n\nBody", "one two")
+
+
 def test_templates_are_classes_of_equal_occurrence(spark):
     pages = [(f"http://a.x/{i}", SHELL.format(i, "<article>" + "<p>x</p>" * i + "</article>")) for i in range(1, 6)]
     df = spark.createDataFrame([(h, u) for u, h in pages], "html string, url string")
