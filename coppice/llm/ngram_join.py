@@ -27,6 +27,10 @@ Candidates pass a parity filter (256-bit parities of both sets differ in at most
 Every pair that links is found or joins sets that other links join already, so
 components are exact; copies are never expanded into pairs.
 
+Links.  All links lie inside components.  The sets of a component are dealt into
+blocks, and every two blocks are compared in whole, by products of their tables of
+tokens; what leaves a task is a number of links a set, weighted by copies.
+
 Null and empty texts have no shingles, link with nothing and are their own
 component; rows that repeat a doc_id share one component; rows without an id join
 the component of documents with an equal set and link with nothing else.
@@ -50,6 +54,8 @@ BUCKETS = 1 << 18
 SHORT_LIST = 4
 PARITY_WORDS = 4
 FETCH_BITS = 26
+BLOCK_SETS = 512
+TOKEN_COLUMNS = 1 << 13
 LEAST_SIEVE_BITS, MOST_SIEVE_BITS = 20, 28
 SET, BUCKET = 0, 1
 
@@ -301,13 +307,89 @@ def verify(df: DataFrame, few: DataFrame, sets: DataFrame, text: str, id_col: st
     return arrow_map(met, compare, "a long, b long, overlap int, linked boolean")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens every set of ``left`` shares with every set of ``right``."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, TOKEN_COLUMNS):
+        a, b = np.searchsorted(column, (low, low + TOKEN_COLUMNS))
+        has = np.zeros((len(sets), min(TOKEN_COLUMNS, int(column[b - 1]) - low + 1)), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def link_counts(
+    df: DataFrame, sets: DataFrame, components: DataFrame, text: str, id_col: str, width: int, percent: int
+) -> DataFrame:
+    """Rows (a, b, links): of each set with links, the number of rows with another set that it links with."""
+    members = sets.where("id is not null").join(components.select(F.col("node").alias("a"), "component"), "a")
+    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("a", "b"), "blocks"))
+    placed = save(placed.select("component", "blocks", "block", "a", "b", "id", "copies"), "join-members")
+    texts = fetch(df, placed.select("a", "id").distinct(), text, id_col)
+    pairs = (
+        placed.join(texts, ["a", "id"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "b", "copies", "t")
+        .repartition("component", "low", "high")
+        .sortWithinPartitions("component", "low", "high")
+    )
+
+    def compare(key: tuple, rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        found = shingle_sets([r[3] for r in rows], width)
+        blocks, copies = np.array([r[0] for r in rows]), np.array([r[4] for r in rows], np.int64)
+        sizes, own = np.array([len(x) for x in found]), key[1] == key[2]
+        one, two = np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2])
+        if not len(one) or not len(two):
+            return
+        both = overlaps([found[i] for i in one], [found[i] for i in two])
+        linked = 100 * both >= percent * (sizes[one][:, None] + sizes[two] - both)
+        if own:
+            np.fill_diagonal(linked, False)
+        for at, n in ((one, linked @ copies[two]), (two, copies[one] @ linked)):
+            yield from ((rows[i][1], rows[i][2], int(x)) for i, x in zip(at, n, strict=True) if x)
+            if own:
+                break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = np.array(rows, np.int64).reshape(-1, 3).T
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.copy()], ["a", "b", "links"])
+
+        key, rows, done = None, [], []
+        for batch in batches:
+            for part in slices(batch):
+                for component, low, high, block, a, b, copies, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if (component, low, high) != key:
+                        done += compare(key, rows) if len(rows) > 1 else []
+                        key, rows = (component, low, high), []
+                    rows.append((block, a, b, t, copies))
+                if done:
+                    yield out(done)
+                    done = []
+        done += compare(key, rows) if len(rows) > 1 else []
+        if done:
+            yield out(done)
+        give_back()
+
+    return pairs.mapInArrow(run, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links"))
+
+
 def jaccard_components(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, percent: int = 85
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, percent: int = 85, links: bool = False
 ) -> DataFrame:
-    """Columns id, n_shingles, component_id, copies; one row a row of ``df``.
+    """Columns id, n_shingles, component_id, copies, with ``links`` also n_links; one row a row of ``df``.
 
     ``component_id`` is the smallest id reachable over links of Jaccard similarity
-    of at least ``percent`` hundredths; ``copies`` counts the rows with an equal set.
+    of at least ``percent`` hundredths; ``copies`` counts the rows with an equal set,
+    ``n_links`` the other rows that a row links with, copies among them.
     """
     described = save(describe(df, text, id_col, width), "join-sets")
     order = np.zeros(BUCKETS, np.int64)
@@ -323,24 +405,28 @@ def jaccard_components(
     pairs = ordered_pairs(short_pairs(lists, percent).unionByName(leader_pairs(long, percent)))
     few = save(possible(pairs, sets, percent), "join-pairs")
     compared = save(verify(df, few, sets, text, id_col, width, percent), "join-compared")
-    links = compared.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    components = save(connected_components(links), "join-components")
+    edges = compared.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    components = save(connected_components(edges), "join-components")
     rest = ordered_pairs(rest_pairs(long, components, compared, percent)).join(compared, ["a", "b"], "left_anti")
     rest = save(possible(rest, sets, percent), "join-rest")
     if not rest.isEmpty():
         more = save(verify(df, rest, sets, text, id_col, width, percent), "join-compared")
-        links = links.unionByName(more.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        components = save(connected_components(links), "join-components")
+        edges = edges.unionByName(more.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        components = save(connected_components(edges), "join-components")
     forget(lists, long, few)
     classes = sets.join(components.select(F.col("node").alias("a"), "component"), "a", "left")
     least = classes.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     classes = classes.join(least, "component", "left").select("a", "b", "n", "copies", F.coalesce("least", "id").alias("component_id"))
+    if links:
+        counted = save(link_counts(df, sets, components, text, id_col, width, percent), "join-links")
+        classes = classes.join(counted, ["a", "b"], "left")
     found = described.where(F.col("kind") == SET).select("id", "n", "a", "b")
     return found.join(classes, ["a", "b", "n"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
+        *([(F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []),
     )
 
 
@@ -356,4 +442,4 @@ def index_lists(df: DataFrame, text: str, width: int, percent: int, order: np.nd
 
 
 def op1_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)

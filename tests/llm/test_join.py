@@ -83,3 +83,19 @@ def test_shingle_hashes_depend_on_the_text_alone():
         assert len(hashes) == len(expected)
         assert of.setdefault(expected, hashes.tobytes()) == hashes.tobytes()
     assert len(set(of.values())) == len(of)
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_every_link_is_counted(docs_of, block, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SETS", block)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:30], *(rng.choice("xyz") for _ in range(2)), *words[30 + rng.randint(0, 2) :]]) for _ in range(24)]
+    texts += [texts[0], texts[0], " ".join(words[::-1]), "short", "short", "", None]
+    got = {r.doc_id: r for r in J.jaccard_components(docs_of(texts), links=True).collect()}
+    sets = [set(s.tolist()) for s in J.shingle_sets(texts, 4)]
+    want = [
+        sum(i != j and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)
+    ]
+    assert [got[i].n_links for i in range(len(texts))] == want
+    assert len({got[i].component_id for i in range(26) if want[i]}) == 1 and max(want) > 5
