@@ -2,21 +2,24 @@
 
 A line that starts with ``>`` signs is quoted at that level.  Quoted lines are
 parsed into passages (runs of one level); each is normalised (case, white space,
-markers) and hashed.  Originals are hashed the same way, whole and paragraph by
-paragraph, so a passage meets its original in an equi-join on two 64-bit hashes.
-A reply's parent is the original of its shallowest linked passage: the
-conversation's own message before it if there is one, else the earliest of any
-conversation.  Originals are reduced to those candidates before the join, so a
-text that a third of all messages share is one row a conversation, or one in all.
-
-Conversations that quote each other form a thread.  Inside a thread messages are
+markers) and hashed: whole, by paragraphs, by lines and by neighbouring lines.
+Originals are hashed the same way, so a passage meets its original, or the part of
+it that it quotes, in an equi-join on two 64-bit hashes.  For each piece the
+candidates are the conversation's own message before it and the earliest message
+of any conversation, so a text that a third of all messages share is one row a
+conversation, or one in all.  Of its candidates a passage links to the one that
+holds all of it, else most of its pieces; the conversation's own come first among
+equals.  Every passage keeps its link (``links``); a reply's parent is the original
+of its shallowest one.
+
+Conversations that quote each other, in any passage, form a thread.  Inside a thread messages are
 ordered so that every reply follows what it answers: by the depth of the
 conversation in the reply graph, then turn.  Output is one row a message, without
 its quotes, so no conversation is gathered in one row or task.
 
 Null texts count as empty and quote nothing; nulls in role give ``user``; rows
 that repeat (conv_id, turn) stay and are ordered by role and text; a passage
-shorter than ``LEAST_CHARS`` links nothing; a message never links to itself or a later
+shorter than ``LEAST_CHARS`` links only to a whole message of its conversation; a message never links to itself or a later
 turn of its own conversation.
 """
 
@@ -61,7 +64,7 @@ def passages(lines: Column) -> Column:
         n = F.size(found)
         last = F.element_at(found, F.greatest(n, F.lit(1)))
         same = (n > 0) & F.coalesce(F.try_element_at(found, F.greatest(n, F.lit(1)))["level"] == x["level"], F.lit(False))
-        joined = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit(" "), x["body"]).alias("body"))
+        joined = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit("\n"), x["body"]).alias("body"))
         return F.when(same, F.concat(F.slice(found, 1, F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(
             F.concat(found, F.array(x))
         )
@@ -69,6 +72,23 @@ def passages(lines: Column) -> Column:
     return F.filter(F.aggregate(lines, empty, add), lambda x: x["level"] > 0)
 
 
+def pieces(text: Column) -> Column:
+    """Structs (h, whole, short) of the whole text, its paragraphs, lines and neighbouring lines."""
+    whole = normalised(text)
+    lines = F.filter(F.transform(F.split(text, r"\n+"), normalised), lambda x: x != "")
+    most = F.greatest(F.size(lines) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(lines, F.lit(1), most), F.slice(lines, F.lit(2), most), lambda x, y: F.concat(x, F.lit("\n"), y))
+    parts = F.concat(F.transform(F.split(text, r"\n\s*\n"), normalised), lines, pairs)
+    long = F.filter(F.concat(F.array(whole), parts), lambda x: F.length(x) >= LEAST_CHARS)
+    few = F.filter(F.array(whole), lambda x: (F.length(x) > 0) & (F.length(x) < LEAST_CHARS))
+
+    def piece(x: Column, short: bool) -> Column:
+        mark = F.concat(F.lit("\u0003"), x) if short else x
+        return F.struct(hashes(mark).alias("h"), (x == whole).alias("whole"), F.lit(short).alias("short"))
+
+    return F.array_distinct(F.concat(F.transform(long, lambda x: piece(x, False)), F.transform(few, lambda x: piece(x, True))))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """Messages with ``body`` (no quotes) and ``quotes`` (hashed passages)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -79,42 +99,52 @@ def parse(messages: DataFrame) -> DataFrame:
     )
     return (
         messages.withColumn("_lines", quoted_lines(text))
+        .withColumn("_m", F.xxhash64(text))
         .withColumns({"body": F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n")), "_quotes": quote})
         .drop("_lines")
     )
 
 
 def link(parsed: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, to_conv, to_turn, level): the message each quoting message answers."""
+    """Rows (conv_id, turn, _m, pos, level, to_conv, to_turn, far): the message each passage quotes."""
+    from coppice.session import save
+
+    passage = ["conv_id", "turn", "_m", "pos", "level"]
     asked = (
         parsed.where(F.size("_quotes") > 0)
-        .select("conv_id", "turn", F.posexplode("_quotes").alias("pos", "q"))
-        .select("conv_id", "turn", "pos", F.col("q.level").alias("level"), normalised(F.col("q.body")).alias("passage"))
-        .where(F.length("passage") >= LEAST_CHARS)
-        .select("conv_id", "turn", "pos", "level", hashes(F.col("passage")).alias("h"))
-    )
-    parts = F.array_distinct(
-        F.transform(F.concat(F.array("body"), F.split("body", r"\n+")), lambda x: hashes(normalised(x)))
+        .select("conv_id", "turn", "_m", F.posexplode("_quotes").alias("pos", "q"))
+        .select("conv_id", "turn", "_m", "pos", F.col("q.level").alias("level"), F.explode(pieces(F.col("q.body"))).alias("p"))
+        .select(*passage, "p.*")
+        .distinct()
     )
+    asked = save(asked, "chat-asked")
     wanted = asked.select("h").distinct()
-    originals = (
-        parsed.select("conv_id", "turn", F.explode(parts).alias("h"))
-        .join(wanted, "h", "left_semi")
-        .groupBy("h", "conv_id")
-        .agg(F.sort_array(F.collect_set("turn")).alias("turns"))
-    )
+    parts = parsed.select("conv_id", "turn", F.explode(pieces(F.col("body"))).alias("p")).select("conv_id", "turn", "p.h")
+    parts = save(parts.join(wanted, "h", "left_semi").distinct(), "chat-parts")
+    originals = parts.groupBy("h", "conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
     earliest = originals.groupBy("h").agg(F.min(F.struct("conv_id", F.col("turns")[0].alias("turn"))).alias("first"))
     own = (
         asked.join(originals, ["h", "conv_id"])
         .withColumn("to_turn", F.array_max(F.filter("turns", lambda t: t < F.col("turn"))))
         .where("to_turn is not null")
-        .select("conv_id", "turn", "pos", "level", F.col("conv_id").alias("to_conv"), "to_turn", F.lit(0).alias("far"))
+        .select(*passage, F.col("conv_id").alias("to_conv"), "to_turn", F.lit(0).alias("far"))
+    )
+    other = asked.where("not short").join(earliest, "h").where("first.conv_id <> conv_id").select(
+        *passage, F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.lit(1).alias("far")
     )
-    other = asked.join(earliest, "h").where("first.conv_id <> conv_id").select(
-        "conv_id", "turn", "pos", "level", F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.lit(1).alias("far")
+    held = parts.select("h", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
+    scored = (
+        own.unionByName(other)
+        .distinct()
+        .join(asked, passage)
+        .where("far = 0 or not short")
+        .join(held, ["h", "to_conv", "to_turn"])
+        .groupBy(*passage, "to_conv", "to_turn", "far")
+        .agg(F.max("whole").alias("whole"), F.count("*").alias("matched"))
     )
-    best = F.min_by(F.struct("to_conv", "to_turn", "level"), F.struct("level", "far", "pos", "to_conv", "to_turn"))
-    return own.unionByName(other).groupBy("conv_id", "turn").agg(best.alias("p")).select("conv_id", "turn", "p.*")
+    nearest = F.when(F.col("far") == 0, -F.col("to_turn")).otherwise(F.lit(0))
+    worse = F.struct(~F.col("whole"), F.when(F.col("whole"), 0).otherwise(-F.col("matched")), "far", nearest, "to_conv", "to_turn")
+    return scored.groupBy(*passage).agg(F.min_by(F.struct("to_conv", "to_turn", "far"), worse).alias("p")).select(*passage, "p.*")
 
 
 def conversation_depths(edges: DataFrame) -> DataFrame:
@@ -150,7 +180,7 @@ def conversation_depths(edges: DataFrame) -> DataFrame:
 
 
 def build_threads(messages: DataFrame) -> DataFrame:
-    """One row a message: thread_id, position, parent, role, text without quotes."""
+    """One row a message: thread_id, position, parent, all links, role, text without quotes."""
     columns = {c: messages[c] for c in ("conv_id", "turn", "role", "text")}
     parsed = parse(messages.select(*[c.alias(k) for k, c in columns.items()]))
     links = link(parsed)
@@ -164,7 +194,10 @@ def build_threads(messages: DataFrame) -> DataFrame:
         placed = parsed.join(conversation_depths(across), "conv_id", "left").withColumns(
             {"thread_id": F.coalesce("thread_id", "conv_id"), "depth": F.coalesce("depth", F.lit(0))}
         )
-    answered = placed.join(links.withColumnRenamed("level", "_level"), ["conv_id", "turn"], "left")
+    first = F.min_by(F.struct("to_conv", "to_turn", F.col("level").alias("_level")), F.struct("level", "far", "pos", "to_conv", "to_turn"))
+    every = F.sort_array(F.collect_list(F.struct("pos", "level", "to_conv", "to_turn")))
+    parents = links.groupBy("conv_id", "turn", "_m").agg(first.alias("_p"), every.alias("links"))
+    answered = placed.join(parents.select("conv_id", "turn", "_m", "_p.*", "links"), ["conv_id", "turn", "_m"], "left")
     ordered = positions(
         answered.select(
             "thread_id",
@@ -177,6 +210,7 @@ def build_threads(messages: DataFrame) -> DataFrame:
             F.col("to_conv").alias("parent_conv"),
             F.col("to_turn").alias("parent_turn"),
             F.col("_level").alias("quote_level"),
+            "links",
         )
     )
     return ordered.withColumn(

@@ -110,5 +110,21 @@ def test_cycles_and_chains_of_conversations(spark):
     assert got[7] == (7, 0, 0) and got[8] == (7, 1, 1)
 
 
+def test_parts_of_a_message_link(spark):
+    lines = [f"line number {k} of the long message" for k in range(5)]
+    rows = [
+        (1, 0, "user", "something else\n" + lines[2]),
+        (2, 0, "user", "\n".join(lines)),
+        (3, 0, "user", f"> {lines[1]}\n> {lines[2]}\nI quote two lines."),
+        (4, 0, "user", "A first paragraph of it.\n\nA second paragraph\nof it.\n\nThe end of all."),
+        (5, 0, "user", "> A second paragraph of it.\n>\n> The end of all.\nI quote two paragraphs."),
+        (6, 0, "user", "Yes, please"),
+        (6, 1, "assistant", "> yes, PLEASE\nGood."),
+        (7, 0, "user", "> Yes, please\nNot mine."),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in C.build_threads(messages(spark, rows)).collect()}
+    assert got[3, 0] == (2, 0) and got[5, 0] == (4, 0) and got[6, 1] == (6, 0) and got[7, 0] == (None, None)
+
+
 def test_empty_conversations(spark):
     assert C.build_threads(messages(spark, [])).count() == 0
