@@ -126,5 +126,15 @@ def test_parts_of_a_message_link(spark):
     assert got[3, 0] == (2, 0) and got[5, 0] == (4, 0) and got[6, 1] == (6, 0) and got[7, 0] == (None, None)
 
 
+def test_every_passage_keeps_its_link(spark):
+    texts = ["the very first original", "the second one original", "the third one original"]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    rows.append((9, 0, "user", f"> {texts[0]}\nyes\n> {texts[1]}\nno\n> > {texts[2]}\nwell"))
+    got = {r.conv_id: r for r in C.build_threads(messages(spark, rows)).collect()}
+    assert [(x.level, x.to_conv, x.to_turn) for x in got[9].links] == [(1, 0, 0), (1, 1, 0), (2, 2, 0)]
+    assert (got[9].parent_conv, got[9].parent_turn) == (0, 0) and got[0].links is None
+    assert {r.thread_id for r in got.values()} == {0}
+
+
 def test_empty_conversations(spark):
     assert C.build_threads(messages(spark, [])).count() == 0
