@@ -10,7 +10,7 @@ from coppice.operators.components import connected_components
 from coppice.operators.features import MOST_DF
 from coppice.operators.records import ROW
 from coppice.operators.similarity import linking_edges
-from coppice.session import save
+from coppice.session import in_order, save
 
 MOST_THEMED = 5000
 MOST_THEMES = 10
@@ -28,15 +28,14 @@ def members_by_component(records: DataFrame, edges: DataFrame) -> DataFrame:
 def numbered(groups: DataFrame, name: str) -> DataFrame:
     """Number rows (component, size) from 1 by size, largest first, then component.
 
-    Ranks are counted inside each size and shifted by the rows of larger sizes, so
-    no task orders all groups.
+    Groups are sorted over partitions and ranks shifted by the rows of the parts before,
+    so no task orders all groups, nor all of one size.
     """
-    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = groups.groupBy("size").agg(F.count("*").alias("n"))  # one row a distinct size
-    starts = sizes.select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("size").orderBy("component"))
-    ranked = groups.withColumn("k", inside).join(starts, "size")
-    return ranked.withColumn(name, (F.col("before") + F.col("k")).cast("long")).drop("before", "k")
+    placed, parts = in_order(groups.withColumn("_least", -F.col("size")), "_least", "component")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = parts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_at") + 1).cast("long")
+    return placed.join(starts, "_part").withColumn(name, number).select(*groups.columns, name)
 
 
 def cluster_members(members: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +80,7 @@ def labelled(groups: DataFrame, members: DataFrame, records: DataFrame, keys: tu
 
 
 def theme_members(
-    records: DataFrame, members: DataFrame, minimum: int, percent: int, most_df: int = MOST_DF, strategy: str = "counts"
+    records: DataFrame, members: DataFrame, minimum: int, percent: int, most_df: int = MOST_DF, strategy: str = "blocks"
 ) -> DataFrame:
     """Rows (cluster_id, theme_id, row_index, size) of at most ten themes a cluster.
 

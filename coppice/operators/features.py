@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.functions.text import feature_terms
+from coppice.functions.text import bigrams, char_ngrams, feature_terms, normalize_text, tokens
 from coppice.operators.records import ROW
+from coppice.session import in_order, save
 
 LEAST_DF = 2
 MOST_DF = 2000
@@ -18,12 +19,24 @@ def term_occurrences(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 
 def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row."""
-    return records.select(*keys, ROW, F.explode(F.array_distinct(feature_terms(F.col("analysis_text")))).alias("term"))
+    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row.
+
+    Windows come from each word once.  Words, pairs and windows never equal each other:
+    only pairs have a space, only windows a colon.
+    """
+    words, once = F.col("_words"), F.col("_once")
+    parts = F.concat(once, F.array_distinct(bigrams(words)), F.array_distinct(char_ngrams(once)))
+    return (
+        records.select(*keys, ROW, tokens(normalize_text(F.col("analysis_text"))).alias("_words"))
+        .select(*keys, ROW, "_words", F.array_distinct("_words").alias("_once"))
+        .select(*keys, ROW, F.explode(parts).alias("term"))
+    )
 
 
 def term_frequency(records: DataFrame) -> DataFrame:
-    return term_occurrences(records).groupBy(ROW, "term").agg(F.count("*").alias("tf"))
+    """Rows (row_index, term, tf); texts move once, by row, and their many terms not at all."""
+    dealt = records.select(ROW, "analysis_text").repartition(ROW)
+    return term_occurrences(dealt).groupBy(ROW, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(terms: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +51,7 @@ def valid_terms(terms: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST
 
 def tf_idf(records: DataFrame) -> DataFrame:
     """Rows (row_index, term, tf, df, weight): tf * ln(1 + N / df) as 32-bit floats."""
-    tf = term_frequency(records)
+    tf = save(term_frequency(records), "term-frequency")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = records.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
     weight = F.col("tf") * F.log1p(F.col("total") / F.col("df"))
@@ -59,13 +72,10 @@ def term_dictionary(records: DataFrame) -> DataFrame:
     """Rows (term, term_id): ids from 0 in order of first appearance (row, then place in the row)."""
     placed = records.select(ROW, F.posexplode(feature_terms(F.col("analysis_text"))).alias("at", "term"))
     first = placed.groupBy("term").agg(F.min(F.struct(ROW, "at")).alias("first"))
-    per_row = Window.partitionBy("first." + ROW).orderBy("first.at")
-    before = Window.orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
-    rows = first.groupBy(F.col("first." + ROW).alias(ROW)).agg(F.count("*").alias("n"))
-    # a running sum over one row a record that brings new terms, not over terms
-    starts = rows.select(ROW, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = first.withColumn("k", F.row_number().over(per_row) - 1).withColumn(ROW, F.col("first." + ROW))
-    return ranked.join(starts, ROW).select("term", (F.col("start") + F.col("k")).alias("term_id"))
+    placed, parts = in_order(first.select("term", F.col("first." + ROW).alias(ROW), F.col("first.at").alias("at")), ROW, "at")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = parts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, "_part").select("term", (F.col("start") + F.col("_at")).alias("term_id"))
 
 
 def inverted_index(terms: DataFrame, least: int = LEAST_DF, most: int = MOST_DF) -> DataFrame:

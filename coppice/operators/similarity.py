@@ -1,24 +1,36 @@
 """Jaccard edges between records over their valid terms.
 
-Two strategies with equal results.  ``counts`` joins posting lists (never longer
-than the frequency cap) and counts shared terms a pair.  ``prefix`` orders terms
-rare first, joins only prefixes with size and position filters, and intersects
-sorted id arrays; it wins where texts are short or the threshold is high.
+Three strategies with equal results.  ``blocks`` sends each posting list (never
+longer than the frequency cap) to the blocks of rows that are on it, where shared
+terms are counted in one table and the threshold applied: what moves grows with
+postings times blocks instead of pairs, and only edges leave a task.  ``counts``
+joins posting lists and counts shared terms a pair, in SQL's own terms.  ``prefix``
+orders terms rare first, joins only prefixes with size and position filters, and
+intersects sorted id arrays; it wins where texts are short and the threshold is high.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.operators.features import MOST_DF, distinct_terms, valid_terms
 from coppice.operators.records import ROW
-from coppice.session import save
+from coppice.session import save, ship
+
+BLOCK_ROWS = 512
+MOST_ENTRIES = 6_000_000  # of posting lists that one block gets, on average
+TABLE_COLUMNS, MOST_PAIRS = 8192, 1 << 20
+EDGE_SCHEMA = "src long, dst long, shared long, n_src long, n_dst long"
 
 
 def kept_terms(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
     """Rows (keys, row_index, term) of valid terms."""
-    terms = distinct_terms(records, keys)
+    terms = save(distinct_terms(records, keys), "terms")
     return terms.join(valid_terms(terms, keys, most=most_df).select(*keys, "term"), [*keys, "term"], "left_semi")
 
 
@@ -50,6 +62,96 @@ def edges_by_counts(records: DataFrame, percent: int, keys: tuple[str, ...] = ()
     )
 
 
+def posting_lists(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+    """Rows (rows, n): the rows on the list of each valid term, ascending, at most ``most_df``, and their set sizes."""
+    kept = save(kept_terms(records, keys, most_df), "kept-terms")
+    sizes = kept.groupBy(ROW).agg(F.count("*").cast("int").alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct(ROW, "n"))).alias("l")
+    return kept.join(sizes, ROW).groupBy(*keys, "term").agg(entries).select(F.col(f"l.{ROW}").alias("rows"), F.col("l.n").alias("n"))
+
+
+def blocks_for(lengths: dict[int, int], rows: int) -> int:
+    """How many blocks: at most ``BLOCK_ROWS`` rows and ``MOST_ENTRIES`` list entries each, on average; odd.
+
+    A list of d rows is on at most min(d, blocks) blocks.
+    """
+    blocks = -(-rows // BLOCK_ROWS)
+    while sum(k * d * min(1, d / blocks) for d, k in lengths.items()) > MOST_ENTRIES:
+        blocks *= 2
+    return blocks | 1  # odd, so that ids in even steps are spread too
+
+
+def block_edges(rows: np.ndarray, n: np.ndarray, ends: np.ndarray, own: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Columns of edges from the rows of a block (entries ``own``) to larger ones; lists lie one after another up to ``ends``."""
+    ids, local = np.unique(rows, return_inverse=True)
+    sizes = np.zeros(len(ids), np.int64)
+    sizes[local] = n
+    lengths = np.diff(ends, prepend=0)
+    key = np.repeat(np.arange(len(ends)), lengths) * len(ids) + local  # ascending: lists, then rows
+    sources, source = np.unique(local[own], return_inverse=True)
+    upto = np.repeat((np.arange(len(ends)) + 1) * len(ids), lengths)[own]
+    found = []
+    for low in range(0, len(ids), TABLE_COLUMNS):
+        inside = (local >= low) & (local < low + TABLE_COLUMNS)
+        columns, keys = local[inside] - low, key[inside]
+        first = np.searchsorted(keys, key[own], "right")  # only rows after its own
+        many = np.searchsorted(keys, upto) - first
+        width = min(TABLE_COLUMNS, len(ids) - low)
+        table = np.zeros(len(sources) * width, np.int32)
+        total = np.cumsum(many)
+        at = 0
+        while at < len(many):
+            done = int(total[at - 1]) if at else 0
+            upper = max(at + 1, int(np.searchsorted(total, done + MOST_PAIRS, "right")))
+            k = many[at:upper]
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            np.add.at(table, np.repeat(source[at:upper] * width, k) + columns[np.repeat(first[at:upper], k) + step], 1)
+            at = upper
+        pairs = np.flatnonzero(table)
+        shared = table[pairs].astype(np.int64)
+        src, dst = sources[pairs // width], pairs % width + low
+        linked = 100 * shared >= percent * (sizes[src] + sizes[dst] - shared)
+        found.append(np.stack([ids[src], ids[dst], shared, sizes[src], sizes[dst]])[:, linked])
+    return list(np.concatenate(found, 1)) if found else [np.zeros(0, np.int64)] * 5
+
+
+def edges_by_blocks(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+    """Rows (src, dst, shared, n_src, n_dst)."""
+    ship(records.sparkSession)
+    lists = save(posting_lists(records, keys, most_df), "posting-lists")
+    lengths = {r[0]: r[1] for r in lists.groupBy(F.size("rows")).count().collect()}  # at most ``most_df`` rows
+    if not lengths:
+        return records.sparkSession.createDataFrame([], EDGE_SCHEMA)
+    blocks = blocks_for(lengths, records.count())
+    names = [f.split()[0] for f in EDGE_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            rows, n, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+            columns = block_edges(rows, n, np.cumsum(lengths), np.flatnonzero(rows % blocks == block), percent)
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+        for batch in batches:
+            which = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(which, prepend=which[:1] - 1))
+            for a, b in zip(cuts, [*cuts[1:], len(which)], strict=True):
+                if parts and which[a] != block:
+                    yield from edges()
+                    parts = []
+                block, lists = which[a], batch.slice(a, b - a)
+                rows, n = (lists.column(c).flatten().to_numpy() for c in (1, 2))
+                parts.append((rows, n, lists.column(1).value_lengths().to_numpy()))
+        if parts:
+            yield from edges()
+
+    on = F.array_distinct(F.transform("rows", lambda r: F.pmod(r, F.lit(blocks))))
+    dealt = lists.select(F.explode(on).alias("block"), "rows", "n").repartition(min(4 * blocks, 20_000), "block")
+    return dealt.sortWithinPartitions("block").mapInArrow(run, EDGE_SCHEMA)
+
+
 def term_ids(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
     """Rows (row_index, ids): sorted ids of valid terms, rare terms first.
 
@@ -95,12 +197,14 @@ def prefix_join(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def linking_edges(
-    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "counts"
+    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "blocks"
 ) -> DataFrame:
     """Rows (src, dst) with the components of the full edge list, which needn't all be in it.
 
     ``collapse`` joins one representative of equal term sets and attaches the others to it.
     """
+    if strategy == "blocks":
+        return edges_by_blocks(records, percent, keys, most_df).select("src", "dst")
     if strategy == "counts":
         return edges_by_counts(records, percent, keys, most_df).select("src", "dst")
     if strategy == "prefix":

@@ -15,7 +15,7 @@ from coppice.operators.features import MOST_DF
 from coppice.operators.records import ROW, Mapping, build_records, validate_mapping
 from coppice.operators.similarity import linking_edges
 from coppice.plans.progress import Progress, Reporter
-from coppice.session import save, ship
+from coppice.session import save, ship, spread
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Settings:
     similarity_percent: int = 42
     theme_similarity_percent: int = 58
     most_document_frequency: int = MOST_DF
-    strategy: str = "counts"
+    strategy: str = "blocks"
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -119,7 +119,7 @@ def run_analysis(
     validate_mapping(mapping, columns)
     reporter.stage(2)
     records, ignored = build_records(source, mapping, columns)
-    records, ignored = save(records, "records"), save(ignored, "ignored")
+    records, ignored = spread(save(records, "records")), save(ignored, "ignored")
     timings = Timings(preprocessing_ms=int((time.perf_counter() - began) * 1000))
     began = time.perf_counter()
     found = cluster_records(records, settings, reporter)

@@ -20,7 +20,7 @@ from coppice.operators import similarity as S
 from coppice.operators.components import connected_components
 from coppice.operators.records import ROW, Mapping, build_records
 from coppice.plans.analysis import Run, Settings, run_analysis
-from coppice.session import ship
+from coppice.session import ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(minimum_cluster_size=2, similarity_percent=42, theme_similarity_percent=58)
@@ -33,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     number = F.concat(F.lit("INC"), F.col("doc_id").cast("string")).alias("number")
     return d.select(F.col("doc_id").alias(ROW), number, F.col("text").alias("description"), F.col("lang").alias("category"), F.col("source").alias("service"))
 
@@ -78,7 +78,7 @@ def ignored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's date written in five ways; the last has a time and isn't a date."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders"))
     ways = ("yyyy-MM-dd", "d.M.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd HH:mm")
     cells = F.array(*[F.struct(F.lit(i).alias("way"), F.date_format("o_orderdate", w).alias("cell")) for i, w in enumerate(ways)])
     return o.select("o_orderkey", F.explode(cells).alias("x")).select("o_orderkey", "x.way", "x.cell", X.parse_date(F.col("x.cell")).alias("parsed"))
@@ -98,7 +98,7 @@ def term_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.edges_by_counts(records_of(spark, sf_dir), SETTINGS.similarity_percent)
+    return S.edges_by_blocks(records_of(spark, sf_dir), SETTINGS.similarity_percent)
 
 
 def similarity_edges_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def similarity_edges_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = S.edges_by_counts(records_of(spark, sf_dir), SETTINGS.similarity_percent)
+    edges = S.edges_by_blocks(records_of(spark, sf_dir), SETTINGS.similarity_percent)
     return connected_components(edges).select(F.col("node").alias(ROW), "component")
 
 

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch: with long texts Spark's own 64 MB make buffers of that size, and copies, in every task.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even when the driver found it by sys.path."""
+    """Let Python workers import this package even when the driver found it by sys.path.
+
+    Arrow batches are made smaller where the session leaves their size at Spark's own.
+    """
+    name, usual, smaller = ARROW_BYTES
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, smaller)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -22,12 +30,28 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one of our own only where none is set."""
+    """The shared folder that the session names; where it names none, one in the warehouse, which is shared as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="coppice-checkpoints-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, over all cores where its files give fewer parts; a large one stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def in_order(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` sorted over partitions, with ``_part`` and 0-based ``_at`` inside it, and rows (_part, n).
+
+    Written first, so every later read sees the same parts; no task orders all rows.
+    """
+    sort = [F.col(c) for c in order]
+    mark = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_m", mark)
+    part, at = F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
+    placed = save(placed.select(*df.columns, part, at), "in-order")
+    return placed, placed.groupBy("_part").agg(F.count("*").alias("n"))
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

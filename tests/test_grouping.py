@@ -41,7 +41,7 @@ def brute_edges(spark, texts, percent, most=2000):
 
 
 @pytest.mark.parametrize("percent", [0, 42, 58, 100])
-@pytest.mark.parametrize("find", [S.edges_by_counts, S.edges_by_prefix])
+@pytest.mark.parametrize("find", [S.edges_by_blocks, S.edges_by_counts, S.edges_by_prefix])
 def test_edges_equal_brute_force(spark, percent, find):
     texts = some_texts()
     got = {(r.src, r.dst, r.shared) for r in find(records(spark, texts), percent).collect()}
@@ -52,7 +52,7 @@ def test_collapsed_edges_have_the_same_components(spark):
     rows = records(spark, some_texts() * 2)
     parts = [
         {tuple(r) for r in connected_components(S.linking_edges(rows, 42, strategy=s)).collect()}
-        for s in ("counts", "prefix", "collapse")
+        for s in ("blocks", "counts", "prefix", "collapse")
     ]
     assert parts[0] == parts[1] == parts[2]
 
@@ -134,3 +134,16 @@ def test_numbering_by_size_then_component(spark):
 def test_empty_input(spark):
     found = cluster_records(records(spark, []), Settings(minimum_cluster_size=1))
     assert all(df.count() == 0 for df in found.values())
+
+
+def test_blocks_are_cut_by_rows_and_entries(monkeypatch, spark):
+    assert S.blocks_for({2: 10}, 100) == 1 and S.blocks_for({2: 10}, 5 * S.BLOCK_ROWS) == 5
+    monkeypatch.setattr(S, "MOST_ENTRIES", 1000)
+    assert S.blocks_for({100: 100}, 100) > 100
+    monkeypatch.setattr(S, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(S, "TABLE_COLUMNS", 4)
+    monkeypatch.setattr(S, "MOST_PAIRS", 5)
+    texts = [f"word{i % 3} word{i % 5} other{i % 2} thing{i % 7}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_index long, analysis_text string")
+    got, expected = ({tuple(r) for r in f(rows, 42).collect()} for f in (S.edges_by_blocks, S.edges_by_counts))
+    assert got == expected and got
