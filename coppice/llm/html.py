@@ -4,13 +4,14 @@ Pages of a host share a template.  A page is a sequence of tokens: tags (with
 class or id) and strings between tags (long ones by a hash).  Tokens with the same occurrence
 vector over the pages of a host form an equivalence class; vectors are compared
 by a sum of hashes of (page, count), so a class is an aggregate and no host is
-gathered.  Classes whose tokens occur at most once a page and on most pages make
-the host's template, ordered by mean position; on a page, a class is valid if its
-tokens appear in that order and nest inside one slot of the classes before it.
+gathered.  Classes of tokens that occur equally often on each page that has them, on
+most pages, make the host's template, ordered by mean position; on a page, a class
+is valid if its tokens appear in that order, round by round, and each round nests
+inside one slot of the classes before it.
 
 The slots between template tokens are what the template leaves open; text of the
-template (on most pages of the host, and on two different ones at least) is left
-out wherever it is.  Slots inside ``article`` or ``main`` are the main text;
+template (on most pages of the host, three or more, and not only on copies of one)
+is left out wherever it is.  Slots inside ``article`` or ``main`` are the main text;
 without such an element, all that no boilerplate element encloses.  Inside them
 nested boilerplate (menus, adverts, forms, comments, scripts and the like, by
 element, role, class or id) is left out, the rest becomes blocks; open elements
@@ -19,13 +20,15 @@ that fits no template, or that is all template (pages of a host that repeat each
 other), is read by the same rules with all its text.
 
 Null and empty pages give an empty text; a null url is a host of its own; tags
-that are never closed end with what encloses them.
+that are never closed end with what encloses them; a null id stays null, repeated
+rows are read each.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import Counter
 from hashlib import blake2b
 
@@ -34,17 +37,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, table
-from coppice.session import save
+from coppice.session import save, ship, spread
 
 LEAST_SHARE = 0.5  # of the host's pages that a template token is on
-SHORT_TEXT = 40
+LEAST_PAGES = 3  # that a template's text is on
+LONG_TEXT = 40  # characters beyond which a hash stands for a text; it decides nothing
+HOT_SHARE = 64  # a host with more than this part of all pages is dealt out; so at most as many hosts are
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*\Z",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    # quotes only quote where a value begins, and only if they are closed
+    r"|</?[a-zA-Z][^\s/>]*+(?:\s++|/|[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+|[\"'=])*+>"
+    r"|</?[a-zA-Z][^>]*\Z",
     re.DOTALL,
 )
 NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content)(?:$|[\s_-])")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
@@ -53,12 +62,13 @@ BLOCKS = {
     *("section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"),
 }
 MAIN = {"article", "main"}
+HOLDERS = {*MAIN, "section", "div"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|masthead|ad|ads|advert\w*|adbox|adsense|promo\w*|sponsor\w*"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|footer|masthead|ad|ads|advert\w*|adbox|adsense|promo\w*|sponsor\w*"
     r"|cookie\w*|notices?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social"
-    r"|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|breadcrumbs?|pagination|pager|toolbar|widget|banner|alert)(?:$|[\s_-])"
+    r"|side$|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|breadcrumbs?|pagination|pager|toolbar|widget|banner|alert)(?:$|[\s_-])"
 )
 
 
@@ -96,7 +106,7 @@ def signature(kind: str, name: str, raw: str) -> str | None:
     """What identifies a token across pages; None for what no template could hold."""
     if kind == "text":
         text = " ".join(raw.split())
-        if len(text) > SHORT_TEXT:
+        if len(text) > LONG_TEXT:
             return f'"#{blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()}'
         return f'"{text}' if text else None
     if kind == "close":
@@ -124,6 +134,12 @@ def aside(name: str, raw: str) -> bool:
     return any(ASIDE_WORDS.search(own.get(k, "").lower()) for k in ("class", "id"))
 
 
+def articled(raw: str) -> bool:
+    """Whether a tag's class or id says that it holds an article."""
+    own = attributes(raw) if "=" in raw else {}
+    return any(ARTICLE_WORDS.search(own.get(k, "").lower()) for k in ("class", "id"))
+
+
 def page_tokens(df: DataFrame, html: str) -> DataFrame:
     """Rows (_host, token, page, n, at): how often a token is on a page and where it is first."""
 
@@ -151,21 +167,23 @@ def templates(df: DataFrame, html: str) -> DataFrame:
     """Rows (_host, classes): each class its tokens in order; classes by support, then size."""
     vector = F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(24,0)"))
     sizes = df.groupBy("_host").agg(F.count("*").alias("pages"))
+    tag = ~F.startswith("token", F.lit('"'))
     tokens = (
         page_tokens(df, html)
         .groupBy("_host", "token")
         .agg(
             F.count("*").alias("support"),
+            F.min("n").alias("least"),
             F.max("n").alias("most"),
             vector.alias("vector"),
             F.avg("at").alias("at"),
             (F.min("page") != F.max("page")).alias("repeated"),  # not only on copies of one page
         )
-        .where("most = 1")
-        .where(F.col("repeated") | ~F.startswith("token", F.lit('"')))
+        .where("least = most")
+        .where(tag | (F.col("repeated") & (F.col("support") >= LEAST_PAGES)))
         .join(sizes, "_host")
         .where(F.col("support") >= F.col("pages") * LEAST_SHARE)
-        .where((F.col("support") > F.col("pages") * LEAST_SHARE) | ~F.startswith("token", F.lit('"')))
+        .where(tag | (F.col("support") > F.col("pages") * LEAST_SHARE))
     )
     return (
         tokens.groupBy("_host", "vector", "support")
@@ -178,19 +196,23 @@ def templates(df: DataFrame, html: str) -> DataFrame:
 
 def skeleton(tokens: list[tuple[str, str, str]], classes: list[list[str]]) -> list[int]:
     """Places of the template's tokens on this page, from the classes that are valid on it."""
-    place: dict[str, int] = {}
+    places: dict[str, list[int]] = {}
     for i, token in enumerate(tokens):
         s = signature(*token)
         if s is not None:
-            place[s] = -1 if s in place else i
+            places.setdefault(s, []).append(i)
     taken: list[int] = []
     for members in classes:
-        here = [place[t] for t in members if place.get(t, -1) >= 0]
-        if len(here) < len(members) or any(a >= b for a, b in zip(here, here[1:], strict=False)):
+        here = [places.get(t, []) for t in members]
+        if len({len(x) for x in here}) > 1 or not here[0]:
             continue
-        if taken and len({sum(t < i for t in taken) for i in here}) > 1:
+        rounds = list(zip(*here, strict=True))
+        order = [i for r in rounds for i in r]
+        if any(a >= b for a, b in zip(order, order[1:], strict=False)):
+            continue
+        if any(bisect(taken, r[0]) != bisect(taken, r[-1]) for r in rounds):
             continue  # it doesn't nest inside one slot
-        taken = sorted([*taken, *here])
+        taken = sorted([*taken, *order])
     return taken
 
 
@@ -225,6 +247,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fi
     out: list[str] = []
     now: list[str] = []
     skipped, depth = None, 0
+    around: list[tuple[str, bool]] = []  # open elements that may hold an article, and whether one does
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(now)).split())
@@ -243,7 +266,16 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fi
                 continue
             if kind == "text":
                 now.append(" " if i in fixed else raw)
-            elif kind == "open" and name not in VOID and aside(name, raw):
+                continue
+            if name in HOLDERS:
+                if kind == "open":
+                    holds = bool(around) and around[-1][1]
+                    around.append((name, holds or name in MAIN or articled(raw)))
+                elif any(name == n for n, _ in around):
+                    while around.pop()[0] != name:
+                        pass
+            site_head = name == "header" and not (around and around[-1][1])
+            if kind == "open" and name not in VOID and (site_head or aside(name, raw)):
                 if name in BLOCKS or name in ASIDE:
                     flush()
                 skipped, depth = name, 1
@@ -261,10 +293,20 @@ def host_of(url: Column) -> Column:
 
 def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id") -> DataFrame:
     """Columns id, url, text, n_chars; one row a row of ``df``."""
-    pages = df.select(F.col(id_col), F.col(url), F.col(html), host_of(F.col(url)).alias("_host"))
+    ship(df.sparkSession)
+    named = {"_id": F.col(id_col), "_url": F.col(url), "_html": F.col(html), "_host": host_of(F.col(url))}
+    pages = df.select(*[c.alias(k) for k, c in named.items()])
     # written first, so the planner knows their size: below its threshold they are broadcast and pages stay put
-    known = save(templates(pages, html), "page-templates")
-    ready = pages.join(known, "_host", "left").select(id_col, url, html, "classes")
+    known = save(templates(pages, "_html"), "page-templates")
+    sizes = save(pages.groupBy("_host").count(), "page-hosts")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in sizes.where(F.col("count") * HOT_SHARE > total).collect()]  # fewer than HOT_SHARE
+    is_hot = F.col("_host").isin(hot) if hot else F.lit(False)
+    # the pages of a hot host are dealt into parts, each with the template
+    part = F.when(is_hot, F.pmod(F.xxhash64("_html", "_url"), F.lit(HOT_SHARE))).otherwise(0).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SHARE - 1))).otherwise(F.array(F.lit(0)))
+    known = known.withColumn("_part", F.explode(every))
+    ready = pages.withColumn("_part", part).join(known, ["_host", "_part"], "left").select("_id", "_url", "_html", "classes")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h, c) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -276,4 +318,4 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url", id_col: st
 
 
 def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(spread(table(spark, sf_dir, "pages")))

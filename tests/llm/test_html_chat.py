@@ -69,6 +69,73 @@ def test_templates_are_classes_of_equal_occurrence(spark):
     assert top.index("article") < top.index("/article") < top.index("/footer")
 
 
+def brute_templates(pages):
+    """Classes by host from plain dictionaries: tokens of equal vectors, largest support first."""
+    hosts = {}
+    for url, page in pages:
+        hosts.setdefault(url.split("/")[2], []).append(page)
+    found = {}
+    for host, texts in hosts.items():
+        counts = [[s for t in H.parse(p) if (s := H.signature(*t)) is not None] for p in texts]
+        classes = {}
+        for token in {s for c in counts for s in c}:
+            vector = tuple(c.count(token) for c in counts)
+            on = [texts[i] for i, n in enumerate(vector) if n]
+            text = token.startswith('"')
+            if len({n for n in vector if n}) > 1 or 2 * len(on) < len(texts):
+                continue
+            if text and (2 * len(on) == len(texts) or len(on) < 3 or len(set(on)) == 1):
+                continue
+            at = sum(c.index(token) for c in counts if token in c) / len(on)
+            classes.setdefault((len(on), vector), []).append((at, token))
+        found[host] = {(k[0], frozenset(t for _, t in v)) for k, v in classes.items()}
+    return found
+
+
+def test_templates_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    pages = [(f"http://a.x/{i}", SHELL.format(i % 3, "<article>" + "<p>x</p>" * (i % 2 + 1) + "<i>say</i><i>say</i></article>")) for i in range(7)]
+    pages += [(f"http://b.x/{i}", NEUTRAL.format(f"<p>Body {i}</p>" + "<b>both</b>" * (i < 2))) for i in range(4)]
+    pages += [("http://c.x/", NEUTRAL.format(""))]
+    df = spark.createDataFrame([(h, u) for u, h in pages], "html string, url string")
+    got = H.templates(df.withColumn("_host", H.host_of(F.col("url"))), "html").collect()
+    sets = {r["_host"]: {frozenset(c) for c in r.classes} for r in got}
+    assert sets == {h: {c for _, c in v} for h, v in brute_templates(pages).items()}
+
+
+def test_text_that_repeats_on_a_page_can_be_the_templates():
+    tokens = H.parse("<p>one</p><a>more</a><p>two</p><a>more</a>")
+    assert H.skeleton(tokens, [["a", '"more', "/a"]]) == [3, 4, 5, 9, 10, 11]
+    assert H.skeleton(tokens, [["a", "/a", '"more']]) == []
+
+
+def test_site_headers_odd_quotes_and_words_in_names(spark):
+    got = read(
+        spark,
+        [
+            ("http://a.x/", "<body><header><p>Site head</p></header><div class=text><p>Body</p></div></body>"),
+            ("http://b.x/", "<article><header><h1>Title</h1></header><p title=it's>Hello</p></article>"),
+            ("http://c.x/", '<article><div class="side-by-side">Both</div><div class="side">Not</div><p a="x>y" b=\'>\'>In</p></article>'),
+            ("http://d.x/", "<article><h1>Title</h1>Lead 0 text here</article>"),
+            ("http://e.x/", '<div class="post"><header><h1>Own</h1></header><p x="open>Text</p></div>'),
+        ],
+    )
+    assert [got[i].text for i in range(5)] == ["Body", "Title\n\nHello", "Both\n\nIn", "Title\n\nLead 0 text here", "Own\n\nText"]
+
+
+def test_a_hot_host_is_dealt_out_and_rows_repeat(spark):
+    pages = [(f"http://a.x/{i % 90}", NEUTRAL.format(f"<p>Body {i % 90}</p>")) for i in range(100)] + [("http://b.x/", "<p>" + "long " * 50_000 + "</p>")]
+    got = read(spark, pages)
+    assert [got[i].text for i in range(100)] == [f"Body {i % 90}" for i in range(100)] and got[100].n_chars == 249_999
+
+
+def test_null_ids_and_clashing_names(spark):
+    rows = [(None, "http://a.x/", "<p>one</p>", 1), (None, None, None, 2)]
+    df = spark.createDataFrame(rows, "page_id smallint, url string, html string, _host int").withColumnRenamed("_host", "classes")
+    assert sorted((r.page_id, r.text) for r in H.extract_text(df).collect()) == [(None, ""), (None, "one")]
+
+
 def test_slots_need_order_and_nesting():
     tokens = H.parse("<a1></a1><b1><c1></c1></b1>")
     assert H.skeleton(tokens, [["a1", "/a1", "b1", "/b1"], ["c1", "/c1"]]) == [0, 1, 2, 3, 4, 5]
