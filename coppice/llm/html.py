@@ -66,9 +66,9 @@ HOLDERS = {*MAIN, "section", "div"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|footer|masthead|ad|ads|advert\w*|adbox|adsense|promo\w*|sponsor\w*"
+    r"(?:^|\s)side(?:$|\s)|(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|footer|masthead|ad|ads|advert\w*|adbox|adsense|promo\w*|sponsor\w*"
     r"|cookie\w*|notices?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social"
-    r"|side$|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|breadcrumbs?|pagination|pager|toolbar|widget|banner|alert)(?:$|[\s_-])"
+    r"|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|breadcrumbs?|pagination|pager|toolbar|widget|banner|alert)(?:$|[\s_-])"
 )
 
 
