@@ -4,189 +4,227 @@ A line that starts with ``>`` signs is quoted at that level.  Quoted lines are
 parsed into passages (runs of one level); each is normalised (case, white space,
 markers) and hashed: whole, by paragraphs, by lines and by neighbouring lines.
 Originals are hashed the same way, so a passage meets its original, or the part of
-it that it quotes, in an equi-join on two 64-bit hashes.  For each piece the
-candidates are the conversation's own message before it and the earliest message
-of any conversation, so a text that a third of all messages share is one row a
-conversation, or one in all.  Of its candidates a passage links to the one that
-holds all of it, else most of its pieces; the conversation's own come first among
-equals.  Every passage keeps its link (``links``); a reply's parent is the original
-of its shallowest one.
-
-Conversations that quote each other, in any passage, form a thread.  Inside a thread messages are
-ordered so that every reply follows what it answers: by the depth of the
-conversation in the reply graph, then turn.  Output is one row a message, without
-its quotes, so no conversation is gathered in one row or task.
+it that it quotes, in an equi-join on two 64-bit hashes; a table of bits of fixed size
+keeps pieces that nobody quotes from moving.  For each piece the candidates are the
+conversation's own message before it and the earliest message of any conversation,
+so a text that a third of all messages share is one row a conversation, or one in
+all.  Of its candidates a passage links to the one that holds all of it, else most of
+its pieces; the conversation's own come first among equals.  Every passage keeps its
+link (``links``); a reply's parent is the original of its shallowest one.
+
+Conversations that quote each other, in any passage, form a thread.  Of the
+conversations that one quotes, it follows the one of smallest id; its depth is one
+more than that one's.  Depths come from pointer doubling, so a chain of N
+conversations takes log N rounds; a cycle of conversations is cut before its
+smallest id.  Inside a thread messages are ordered by depth, conversation, turn.
+Output is one row a message, without its quotes, so no conversation is gathered in
+one row or task.
 
 Null texts count as empty and quote nothing; nulls in role give ``user``; rows
-that repeat (conv_id, turn) stay and are ordered by role and text; a passage
-shorter than ``LEAST_CHARS`` links only to a whole message of its conversation; a message never links to itself or a later
-turn of its own conversation.
+that repeat (conv_id, turn) stay and are ordered by role and text; messages without
+conv_id or turn stay (those without conv_id as one thread without id) and link with
+nothing; a passage shorter than ``least_chars`` links only to a whole message of its
+conversation (1: every passage links like any other); a message never links to
+itself or a later turn of its own conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import table
+from coppice.llm.common import arrow_map, table
+from coppice.llm.ngram_join import bits_set, sieve
 from coppice.operators.components import connected_components
+from coppice.session import forget, save, ship, spread
 
 LEAST_CHARS = 12
-RANK_PARTS = 64
-
-
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Z}>]+", " "))
-
-
-def hashes(text: Column) -> Column:
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.concat(F.lit("\u0001"), text)).alias("b"))
-
-
-def quoted_lines(text: Column) -> Column:
-    """Lines of a message as structs (level, body), level 0 for its own."""
-
-    def line(x: Column) -> Column:
-        marks = F.regexp_extract(x, r"^((?:\s{0,3}>)*)", 1)
-        return F.struct(
-            F.length(F.regexp_replace(marks, r"\s", "")).alias("level"),
-            F.substr(x, F.length(marks) + 1).alias("body"),
-        )
-
-    return F.transform(F.split(text, "\r?\n"), line)
-
-
-def passages(lines: Column) -> Column:
-    """Runs of one quoted level as structs (level, body), in text order."""
-    empty = F.expr("cast(array() as array<struct<level:int,body:string>>)")
-
-    def add(found: Column, x: Column) -> Column:
-        n = F.size(found)
-        last = F.element_at(found, F.greatest(n, F.lit(1)))
-        same = (n > 0) & F.coalesce(F.try_element_at(found, F.greatest(n, F.lit(1)))["level"] == x["level"], F.lit(False))
-        joined = F.struct(x["level"].alias("level"), F.concat(last["body"], F.lit("\n"), x["body"]).alias("body"))
-        return F.when(same, F.concat(F.slice(found, 1, F.greatest(n - 1, F.lit(0))), F.array(joined))).otherwise(
-            F.concat(found, F.array(x))
-        )
-
-    return F.filter(F.aggregate(lines, empty, add), lambda x: x["level"] > 0)
-
-
-def pieces(text: Column) -> Column:
-    """Structs (h, whole, short) of the whole text, its paragraphs, lines and neighbouring lines."""
+SIEVE_BITS = 26
+MARKS = re.compile(r"(?:\s{0,3}>)*")
+BLANKS = re.compile(r"[\s>]+")
+LINE_ENDS, LINE_BREAKS, PARAGRAPHS = re.compile(r"\r?\n"), re.compile(r"\n+"), re.compile(r"\n\s*\n")
+PASSAGE = ("conv_id", "turn", "_m", "pos", "level")
+
+
+def normalised(text: str) -> str:
+    return BLANKS.sub(" ", text.lower()).strip()
+
+
+def split_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
+    """A message's own lines, and its quoted passages (level, text) in order."""
+    own, runs, last = [], [], 0
+    for line in LINE_ENDS.split(text or ""):
+        marks = MARKS.match(line)[0]
+        level, rest = marks.count(">"), line[len(marks) :]
+        if level == 0:
+            own.append(rest)
+        elif level == last:
+            runs[-1][1].append(rest)
+        else:
+            runs.append((level, [rest]))
+        last = level
+    return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in runs]
+
+
+def pieces(text: str, least_chars: int = LEAST_CHARS) -> dict[str, tuple[bool, bool]]:
+    """The whole text, its paragraphs, lines and neighbouring lines, each with (whole, short)."""
     whole = normalised(text)
-    lines = F.filter(F.transform(F.split(text, r"\n+"), normalised), lambda x: x != "")
-    most = F.greatest(F.size(lines) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(lines, F.lit(1), most), F.slice(lines, F.lit(2), most), lambda x, y: F.concat(x, F.lit("\n"), y))
-    parts = F.concat(F.transform(F.split(text, r"\n\s*\n"), normalised), lines, pairs)
-    long = F.filter(F.concat(F.array(whole), parts), lambda x: F.length(x) >= LEAST_CHARS)
-    few = F.filter(F.array(whole), lambda x: (F.length(x) > 0) & (F.length(x) < LEAST_CHARS))
+    if not whole:
+        return {}
+    if len(whole) < least_chars:
+        return {"\3" + whole: (True, True)}
+    lines = [x for x in map(normalised, LINE_BREAKS.split(text)) if x]
+    parts = [*map(normalised, PARAGRAPHS.split(text)), *lines, *(f"{x}\n{y}" for x, y in zip(lines, lines[1:], strict=False))]
+    return {x: (x == whole, False) for x in (whole, *parts) if len(x) >= least_chars}
 
-    def piece(x: Column, short: bool) -> Column:
-        mark = F.concat(F.lit("\u0003"), x) if short else x
-        return F.struct(hashes(mark).alias("h"), (x == whole).alias("whole"), F.lit(short).alias("short"))
 
-    return F.array_distinct(F.concat(F.transform(long, lambda x: piece(x, False)), F.transform(few, lambda x: piece(x, True))))
+def hashed(found: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of each text."""
+    whole = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in found)
+    return np.frombuffer(whole, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Messages with ``body`` (no quotes) and ``quotes`` (hashed passages)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.col("_lines")
-    own = F.filter(lines, lambda x: x["level"] == 0)
-    quote = F.when(F.exists(lines, lambda x: x["level"] > 0), passages(lines)).otherwise(
-        F.expr("cast(array() as array<struct<level:int,body:string>>)")
-    )
-    return (
-        messages.withColumn("_lines", quoted_lines(text))
-        .withColumn("_m", F.xxhash64(text))
-        .withColumns({"body": F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n")), "_quotes": quote})
-        .drop("_lines")
-    )
-
-
-def link(parsed: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, _m, pos, level, to_conv, to_turn, far): the message each passage quotes."""
-    from coppice.session import save
-
-    passage = ["conv_id", "turn", "_m", "pos", "level"]
-    asked = (
-        parsed.where(F.size("_quotes") > 0)
-        .select("conv_id", "turn", "_m", F.posexplode("_quotes").alias("pos", "q"))
-        .select("conv_id", "turn", "_m", "pos", F.col("q.level").alias("level"), F.explode(pieces(F.col("q.body"))).alias("p"))
-        .select(*passage, "p.*")
-        .distinct()
-    )
-    asked = save(asked, "chat-asked")
-    wanted = asked.select("h").distinct()
-    parts = parsed.select("conv_id", "turn", F.explode(pieces(F.col("body"))).alias("p")).select("conv_id", "turn", "p.h")
-    parts = save(parts.join(wanted, "h", "left_semi").distinct(), "chat-parts")
-    originals = parts.groupBy("h", "conv_id").agg(F.sort_array(F.collect_set("turn")).alias("turns"))
-    earliest = originals.groupBy("h").agg(F.min(F.struct("conv_id", F.col("turns")[0].alias("turn"))).alias("first"))
+    """Messages with ``body`` (no quotes) and ``quotes`` (passages) in place of the text, and ``_m``, the text's hash."""
+    kinds = dict(messages.dtypes)
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, _m long, body string, quotes array<struct<level:int,body:string>>"
+    quote = pa.list_(pa.struct([("level", pa.int32()), ("body", pa.string())]))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [split_message(t) for t in batch.column(4).to_pylist()]
+        quotes = [[{"level": level, "body": x} for level, x in found] for _, found in split]
+        arrays = [*batch.columns[:4], pa.array([body for body, _ in split], pa.string()), pa.array(quotes, quote)]
+        return pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "role", "_m", "body", "quotes"])
+
+    return arrow_map(messages.select("conv_id", "turn", "role", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_m"), "text"), one, schema)
+
+
+def asked_pieces(parsed: DataFrame, least_chars: int) -> DataFrame:
+    """Rows (passage, a, b, whole, short) of every quoted passage's pieces."""
+    kinds = dict(parsed.dtypes)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, texts, flags = [], [], []
+        for r, text in enumerate(batch.column(5).to_pylist()):
+            for x, marks in pieces(text, least_chars).items():
+                rows.append(r)
+                texts.append(x)
+                flags.append(marks)
+        h, marks = hashed(texts), np.array(flags, bool).reshape(-1, 2)
+        taken = batch.select(range(5)).take(pa.array(rows, pa.int64()))
+        arrays = [*taken.columns, *(pa.array(x.copy()) for x in (*h.T, *marks.T))]
+        return pa.RecordBatch.from_arrays(arrays, [*PASSAGE, "a", "b", "whole", "short"])
+
+    quoted = parsed.where("size(quotes) > 0 and conv_id is not null and turn is not null")
+    passage = quoted.select("conv_id", "turn", "_m", F.posexplode("quotes").alias("pos", "q")).select("conv_id", "turn", "_m", "pos", "q.level", "q.body")
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, _m long, pos int, level int, a long, b long, whole boolean, short boolean"
+    return arrow_map(passage, one, schema).distinct()
+
+
+def held_pieces(parsed: DataFrame, asked: DataFrame, least_chars: int) -> DataFrame:
+    """Rows (conv_id, turn, a, b) of the pieces of messages that somebody quotes."""
+    places = [F.shiftrightunsigned(c, 64 - SIEVE_BITS) for c in ("a", "b")]
+    shared = parsed.sparkSession.sparkContext.broadcast(sieve(asked, SIEVE_BITS, *places))  # of a fixed size
+    kinds = dict(parsed.dtypes)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, texts = [], []
+        for r, text in enumerate(batch.column(2).to_pylist()):
+            found = pieces(text, least_chars)
+            rows += [r] * len(found)
+            texts += found
+        h = hashed(texts)
+        bits = h.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+        keep = np.flatnonzero(bits_set(shared.value, bits[:, 0]) & bits_set(shared.value, bits[:, 1]))
+        taken = batch.select([0, 1]).take(pa.array(np.array(rows, np.int64)[keep]))
+        return pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x.copy()) for x in h[keep].T)], ["conv_id", "turn", "a", "b"])
+
+    messages = parsed.where("body <> '' and conv_id is not null and turn is not null").select("conv_id", "turn", "body")
+    found = arrow_map(messages, one, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, a long, b long")
+    return found.distinct().join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
+
+
+def link(parsed: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Rows (passage, to_conv, to_turn, far): the message each passage quotes."""
+    asked = save(asked_pieces(parsed, least_chars), "chat-asked")
+    parts = save(held_pieces(parsed, asked, least_chars), "chat-parts")
+    earliest = parts.groupBy("a", "b").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # the last holder before each asking message, from one sorted pass over both
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in asked.dtypes if c in ("_m", "pos", "level")]
+    holders = parts.select("a", "b", "conv_id", "turn", *nothing, F.col("turn").alias("held"))
+    askers = asked.select("a", "b", "conv_id", "turn", "_m", "pos", "level", F.lit(None).cast(dict(parts.dtypes)["turn"]).alias("held"))
+    before = Window.partitionBy("a", "b", "conv_id").orderBy("turn", F.col("held").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     own = (
-        asked.join(originals, ["h", "conv_id"])
-        .withColumn("to_turn", F.array_max(F.filter("turns", lambda t: t < F.col("turn"))))
-        .where("to_turn is not null")
-        .select(*passage, F.col("conv_id").alias("to_conv"), "to_turn", F.lit(0).alias("far"))
+        askers.unionByName(holders)
+        .withColumn("to_turn", F.max("held").over(before))
+        .where("held is null and to_turn is not null")
+        .select(*PASSAGE, F.col("conv_id").alias("to_conv"), "to_turn", F.lit(0).alias("far"))
     )
-    other = asked.where("not short").join(earliest, "h").where("first.conv_id <> conv_id").select(
-        *passage, F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.lit(1).alias("far")
+    other = asked.where("not short").join(earliest, ["a", "b"]).where("first.conv_id <> conv_id").select(
+        *PASSAGE, F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.lit(1).alias("far")
     )
-    held = parts.select("h", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
+    held = parts.select("a", "b", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
     scored = (
         own.unionByName(other)
         .distinct()
-        .join(asked, passage)
+        .join(asked, list(PASSAGE))
         .where("far = 0 or not short")
-        .join(held, ["h", "to_conv", "to_turn"])
-        .groupBy(*passage, "to_conv", "to_turn", "far")
+        .join(held, ["a", "b", "to_conv", "to_turn"])
+        .groupBy(*PASSAGE, "to_conv", "to_turn", "far")
         .agg(F.max("whole").alias("whole"), F.count("*").alias("matched"))
     )
     nearest = F.when(F.col("far") == 0, -F.col("to_turn")).otherwise(F.lit(0))
     worse = F.struct(~F.col("whole"), F.when(F.col("whole"), 0).otherwise(-F.col("matched")), "far", nearest, "to_conv", "to_turn")
-    return scored.groupBy(*passage).agg(F.min_by(F.struct("to_conv", "to_turn", "far"), worse).alias("p")).select(*passage, "p.*")
+    return scored.groupBy(*PASSAGE).agg(F.min_by(F.struct("to_conv", "to_turn", "far"), worse).alias("p")).select(*PASSAGE, "p.*")
 
 
-def conversation_depths(edges: DataFrame) -> DataFrame:
-    """Rows (conv, depth): 0 where a conversation answers no other, else one more than the least it answers.
+def roots_by_doubling(parents: DataFrame) -> DataFrame:
+    """Rows (node, ptr, dist, least) of (node, ptr): ``ptr`` null once the root is reached, ``dist`` steps away.
 
-    Breadth first over conversations; cycles of conversations that only answer
-    each other are broken at their smallest id.
+    A round doubles the steps of every pointer.  What has no root after more steps
+    than there are nodes leads into a cycle; ``least`` is the smallest id on the way.
     """
-    from coppice.session import save
+    state = save(parents.select("node", "ptr", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.col("node").alias("least")), "chat-roots")
+    left, rounds = state.where("ptr is not null").count(), 0
+    while left and (1 << rounds) <= left + 1:
+        moving = state.where("ptr is not null")
+        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"), F.col("least").alias("low"))
+        moved = moving.join(ahead, "ptr").select("node", F.col("next").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"), F.least("least", "low").alias("least"))
+        grown = save(state.where("ptr is null").unionByName(moved), "chat-roots")
+        forget(state)
+        state, before = grown, left
+        left, rounds = state.where("ptr is not null").count(), rounds + 1
+        left = max(left, before) if left else 0  # pointers that are left may lead into a long cycle
+    return state
+
 
+def conversation_depths(edges: DataFrame) -> DataFrame:
+    """Rows (conv_id, thread_id, depth): 0 where a conversation answers no other, else one more than that of the one it follows."""
     threads = connected_components(edges.select(F.col("conv_id").alias("src"), F.col("to_conv").alias("dst")))
-    starts = threads.join(edges.select(F.col("conv_id").alias("node")).distinct(), "node", "left_anti")
-    rootless = threads.groupBy("component").agg(F.min("node").alias("node")).join(
-        threads.join(starts, "node", "left_semi").select("component").distinct(), "component", "left_anti"
+    followed = edges.groupBy("conv_id").agg(F.min("to_conv").alias("ptr"))
+    parents = save(threads.join(followed, threads.node == followed.conv_id, "left").select("node", "component", "ptr"), "chat-parents")
+    found = roots_by_doubling(parents)
+    if not found.where("ptr is not null").isEmpty():
+        # every pointer left lies on a cycle, and the least id on the way from there is the cycle's
+        on = found.select(F.col("ptr").alias("node")).where("node is not null").distinct()
+        cut = save(found.join(on, "node", "left_semi").select(F.col("least").alias("node")).distinct(), "chat-cuts")
+        free = parents.join(cut.withColumn("cut", F.lit(True)), "node", "left")
+        found = roots_by_doubling(free.select("node", F.when(F.col("cut").isNull(), F.col("ptr")).alias("ptr")))
+    return parents.join(found.select("node", "dist"), "node").select(
+        F.col("node").alias("conv_id"), F.col("component").alias("thread_id"), F.col("dist").cast("int").alias("depth")
     )
-    done = save(starts.select("node").union(rootless.select("node")).select("node", F.lit(0).alias("depth")), "chat-depth")
-    step = 0
-    while True:
-        step += 1
-        fresh = (
-            edges.join(done.where(F.col("depth") == step - 1), F.col("to_conv") == F.col("node"), "left_semi")
-            .select(F.col("conv_id").alias("node"))
-            .distinct()
-            .join(done, "node", "left_anti")
-            .select("node", F.lit(step).alias("depth"))
-        )
-        grown = save(done.unionByName(fresh), "chat-depth")
-        if grown.where(F.col("depth") == step).isEmpty():
-            break
-        done = grown
-    rest = threads.join(done, "node", "left_anti").select("node", F.lit(step).alias("depth"))
-    return threads.join(done.unionByName(rest), "node").select(F.col("node").alias("conv_id"), F.col("component").alias("thread_id"), "depth")
 
 
-def build_threads(messages: DataFrame) -> DataFrame:
+def build_threads(messages: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row a message: thread_id, position, parent, all links, role, text without quotes."""
-    columns = {c: messages[c] for c in ("conv_id", "turn", "role", "text")}
-    parsed = parse(messages.select(*[c.alias(k) for k, c in columns.items()]))
-    links = link(parsed)
-    from coppice.session import save
-
-    links = save(links, "chat-links")
+    ship(messages.sparkSession)
+    parsed = save(parse(messages.select("conv_id", "turn", "role", "text")), "chat-parsed")
+    links = save(link(parsed, least_chars), "chat-links")
     across = links.where("conv_id <> to_conv").select("conv_id", "to_conv").distinct()
     if across.isEmpty():
         placed = parsed.withColumns({"thread_id": F.col("conv_id"), "depth": F.lit(0)})
@@ -195,7 +233,7 @@ def build_threads(messages: DataFrame) -> DataFrame:
             {"thread_id": F.coalesce("thread_id", "conv_id"), "depth": F.coalesce("depth", F.lit(0))}
         )
     first = F.min_by(F.struct("to_conv", "to_turn", F.col("level").alias("_level")), F.struct("level", "far", "pos", "to_conv", "to_turn"))
-    every = F.sort_array(F.collect_list(F.struct("pos", "level", "to_conv", "to_turn")))
+    every = F.sort_array(F.collect_list(F.struct("pos", "level", "to_conv", "to_turn")))  # one message's passages
     parents = links.groupBy("conv_id", "turn", "_m").agg(first.alias("_p"), every.alias("links"))
     answered = placed.join(parents.select("conv_id", "turn", "_m", "_p.*", "links"), ["conv_id", "turn", "_m"], "left")
     ordered = positions(
@@ -206,7 +244,7 @@ def build_threads(messages: DataFrame) -> DataFrame:
             "turn",
             F.coalesce("role", F.lit("user")).alias("role"),
             F.col("body").alias("text"),
-            F.size("_quotes").alias("quotes"),
+            F.size("quotes").alias("quotes"),
             F.col("to_conv").alias("parent_conv"),
             F.col("to_turn").alias("parent_turn"),
             F.col("_level").alias("quote_level"),
@@ -219,16 +257,19 @@ def build_threads(messages: DataFrame) -> DataFrame:
 
 
 def positions(df: DataFrame) -> DataFrame:
-    """A gapless position in every thread, counted in parts so that a long thread is no single task."""
-    keyed = df.withColumn("_part", F.struct("depth", "conv_id", F.expr("turn div 64").alias("block")))
+    """A gapless position in every thread, counted in parts so that a long thread is no single task.
+
+    The keys are structs, which are never null and compare the nulls inside them as equal.
+    """
+    keyed = df.withColumns({"_thread": F.struct("thread_id"), "_part": F.struct("depth", "conv_id", F.expr("turn div 64").alias("block"))})
     order = ("depth", "conv_id", "turn", "role", "text")
-    before = Window.partitionBy("thread_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = keyed.groupBy("thread_id", "_part").agg(F.count("*").alias("n"))
-    starts = parts.select("thread_id", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("thread_id", "_part").orderBy(*order)
-    ranked = keyed.withColumn("_at", F.row_number().over(inside) - 1).join(starts, ["thread_id", "_part"])
-    return ranked.withColumn("position", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    before = Window.partitionBy("_thread").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keyed.groupBy("_thread", "_part").agg(F.count("*").alias("n"))
+    starts = parts.select("_thread", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_thread", "_part").orderBy(*order)
+    ranked = keyed.withColumn("_at", F.row_number().over(inside) - 1).join(starts, ["_thread", "_part"])
+    return ranked.withColumn("position", F.col("_start") + F.col("_at")).drop("_thread", "_part", "_at", "_start")
 
 
 def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_threads(table(spark, sf_dir, "conversations"))
+    return build_threads(spread(table(spark, sf_dir, "conversations")))

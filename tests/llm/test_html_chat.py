@@ -203,5 +203,69 @@ def test_every_passage_keeps_its_link(spark):
     assert {r.thread_id for r in got.values()} == {0}
 
 
+def test_rows_without_conversation_or_turn_stay(spark):
+    long = "word " * 60_000 + "end"
+    rows = [(None, 0, "user", "the original words"), (None, None, None, "> the original words\nyes"), (1, None, "user", "> the original words"), (1, 5, "user", "the original words")]
+    rows += [(2, 0, "user", long), (2, 1, "user", "> " + long + "\nlong indeed")]
+    got = C.build_threads(messages(spark, rows)).collect()
+    assert len(got) == 6 and sorted(r.position for r in got if r.conv_id is None) == [0, 1]
+    assert all(r.parent_conv is None for r in got if r.conv_id is None or r.turn is None)
+    assert [r.parent_turn for r in got if (r.conv_id, r.turn) == (2, 1)] == [0]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], C.save
+    monkeypatch.setattr(C, "save", lambda df, tag: rounds.append(tag) or real(df, tag))
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(1001 + i, 1001 + (i + 1) % 40) for i in range(40)], "conv_id long, to_conv long")
+    got = {r.conv_id: (r.thread_id, r.depth) for r in C.conversation_depths(edges).collect()}
+    assert all(got[i] == (0, i) for i in range(300))
+    assert all(got[1001 + i] == (1001, (40 - i) % 40) for i in range(40))
+    assert rounds.count("chat-roots") < 25
+
+
+def brute_links(rows, least):
+    """The message each passage quotes, by comparing all pieces of all messages."""
+    held = [(c, t, C.pieces(C.split_message(x)[0], least)) for c, t, _, x in rows]
+    found = {}
+    for c, t, _, x in rows:
+        for pos, (level, body) in enumerate(C.split_message(x)[1]):
+            asked = C.pieces(body, least)
+            candidates = set()
+            for piece, (_, short) in asked.items():
+                on = [(c2, t2) for c2, t2, p in held if piece in p]
+                mine = [t2 for c2, t2 in on if c2 == c and t2 < t]
+                if mine:
+                    candidates.add((0, c, max(mine)))
+                if on and not short and min(on)[0] != c:
+                    candidates.add((1, *min(on)))
+            ranked = []
+            for far, c2, t2 in candidates:
+                theirs = set().union(*(p for c3, t3, p in held if (c3, t3) == (c2, t2)))
+                common = [p for p, (_, short) in asked.items() if p in theirs and (far == 0 or not short)]
+                whole = any(asked[p][0] for p in common)
+                ranked.append((not whole, 0 if whole else -len(common), far, -t2 if far == 0 else 0, c2, t2))
+            if ranked:
+                found[c, t, pos, level] = min(ranked)[-2:]
+    return found
+
+
+def test_links_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    lines = [f"sentence {k} about {k % 4} things" for k in range(12)] + ["yes", "thank you"]
+    rows = []
+    for c in range(9):
+        for t in range(4):
+            parts = []
+            for _ in range(rng.randint(0, 3)):
+                marks = "> " * rng.randint(1, 3)
+                parts += [marks + x for x in rng.sample(lines, rng.randint(1, 3))] + rng.sample(lines, rng.randint(0, 1))
+            rows.append((c, t, "user", "\n".join([*parts, *rng.sample(lines, rng.randint(0, 3))])))
+    for least in (12, 1):
+        got = C.link(C.parse(messages(spark, rows)), least).collect()
+        assert {(r.conv_id, r.turn, r.pos, r.level): (r.to_conv, r.to_turn) for r in got} == brute_links(rows, least)
+
+
 def test_empty_conversations(spark):
     assert C.build_threads(messages(spark, [])).count() == 0
