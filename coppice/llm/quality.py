@@ -3,11 +3,13 @@
 1. Word vectors, from the whole corpus.  Every token has a fixed sparse +-1 index
    vector (derived from its number); a token's context vector is the sum of the
    index vectors of the tokens beside it over all documents.  Tasks add into one
-   matrix of ``TOKENS x WIDTH`` each, and a two-step aggregate adds the matrices,
-   so the traffic is a constant a task and the broadcast model has a fixed size.
+   matrix of ``TOKENS x WIDTH`` each and send the rows of the tokens they met; a
+   two-step aggregate adds them, so the traffic has a bound a task and the broadcast
+   model (9 MB) a fixed size at any vocabulary.
 2. Documents are the mean of their tokens' centred unit vectors, separately over
-   word tokens (hashed lower-case cores) and shape tokens (hashed outlines such as
-   ``Aa.``, ``A!!`` or ``|``, and one for a word that repeats the one before).
+   word tokens (lower-case cores, hashed to ``WORDS`` places, many more than there are
+   frequent words: rare ones may share a place) and shape tokens (hashed outlines such
+   as ``Aa.``, ``A!!`` or ``|``, and one for a word that repeats the one before).
 3. A numpy network with one hidden layer, fitted on at most ``MOST_LABELLED``
    labelled documents outside the held-out quarter (the rows of lowest id hash;
    the bound holds for fitting only), with a temperature fitted on a fifth of
@@ -15,7 +17,8 @@
 
 Null and empty texts get a score too (the pooled vector is zero).  Labels that
 are null are left out, several labels of one id are averaged.  With no labels, or
-labels of one kind only, every score is their mean (0.5 without any).
+labels of one kind only, every score is their mean (0.5 without any).  Repeated
+rows count as often as they occur, rows without an id are scored and teach no label.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, give_back, held_out, mix64, slices, table
-from coppice.session import save
+from coppice.session import save, ship, spread
 
-WORDS, SHAPES, WIDTH, NONZERO = 6144, 2048, 32, 4
+WORDS, SHAPES, WIDTH, NONZERO = 1 << 16, 1 << 11, 32, 4
 TOKENS = WORDS + SHAPES
 REPEATED = TOKENS - 1
 CHUNKS = 32
@@ -55,7 +58,7 @@ class Vocabulary(dict):
         small = LETTERS.sub("a", DIGITS.sub("9", word))
         head = LETTERS.search(word)
         kind = "-" if head is None else "A" if head[0].isupper() and len(head[0]) > 1 else "B" if head[0][0].isupper() else "a"
-        shape = WORDS + xxhash.xxh64_intdigest(kind + small[:64]) % (SHAPES - 1)
+        shape = xxhash.xxh64_intdigest(kind + small) % (SHAPES - 1)
         found = xxhash.xxh64_intdigest(core or word) % WORDS << 16 | shape
         if len(self) >= MOST_CACHED:
             self.clear()
@@ -71,7 +74,7 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     split = [(t or "").split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     both = np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
-    word, shape = both >> 16, both & 0xFFFF
+    word, shape = both >> 16, (both & 0xFFFF) + WORDS
     repeats = np.zeros(len(word), bool)
     repeats[1:] = (word[1:] == word[:-1]) & (shape[1:] == shape[:-1])
     starts = np.cumsum(counts) - counts
@@ -84,7 +87,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the non-zero entries of every token's index vector."""
     n = np.arange(TOKENS * NONZERO, dtype=np.uint64).reshape(TOKENS, NONZERO)
     h = mix64(n + np.uint64(1))
-    return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1, -1)
 
 
 def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        sums, seen = np.zeros(TOKENS * WIDTH), np.zeros(TOKENS)
+        sums, seen = np.zeros(TOKENS * WIDTH, np.int64), np.zeros(TOKENS, np.int64)
         task = None
         for batch in batches:
             for part in slices(batch):
@@ -106,31 +109,38 @@ def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
                     left, right = stream[:-1][inner], stream[1:][inner]
                     for a, b in ((left, right), (right, left)):
                         at = a[:, None] * WIDTH + places[b]
-                        sums += np.bincount(at.reshape(-1), signs[b].reshape(-1), TOKENS * WIDTH)
+                        np.add.at(sums, at.reshape(-1), signs[b].reshape(-1))
                     seen += np.bincount(stream, minlength=TOKENS)
-        give_back()
         if task is not None:
-            both = np.concatenate([sums.reshape(TOKENS, WIDTH), seen[:, None]], 1)
-            parts = [x.astype("<f8").tobytes() for x in np.split(both, CHUNKS)]
-            arrays = [pa.array(range(CHUNKS), pa.int32()), pa.array([task % FAN_IN] * CHUNKS, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(parts, pa.binary())], ["chunk", "salt", "part"])
+            for chunk in range(CHUNKS):
+                low = chunk * (TOKENS // CHUNKS)
+                met = np.flatnonzero(seen[low : low + TOKENS // CHUNKS])
+                rows = np.concatenate([sums.reshape(TOKENS, WIDTH)[met + low], seen[met + low, None]], 1)
+                if len(met):
+                    yield one_part(chunk, task % FAN_IN, met, rows)
+        del sums, seen
+        give_back()
+
+    def one_part(chunk: int, salt: int, met: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32())]
+        arrays += [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((met, "<i4"), (rows, "<i8"))]
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "met", "part"])
 
     def total(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = 0
+        out = np.zeros((TOKENS // CHUNKS, WIDTH + 1), np.int64)
         for batch in groups:
-            for part in batch.column("part").to_pylist():
-                out = out + np.frombuffer(part, "<f8")
-        chunk, salt = key[0].as_py(), key[1].as_py() if len(key) > 1 else 0
-        arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()), pa.array([out.tobytes()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "part"])
+            for met, part in zip(batch.column("met").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                out[np.frombuffer(met, "<i4")] += np.frombuffer(part, "<i8").reshape(-1, WIDTH + 1)
+        met = np.flatnonzero(out[:, WIDTH])
+        yield one_part(key[0].as_py(), key[1].as_py() if len(key) > 1 else 0, met, out[met])
 
-    schema = "chunk int, salt int, part binary"
+    schema = "chunk int, salt int, met binary, part binary"
     parts = df.select(text).mapInArrow(add, schema)
     half = parts.groupBy("chunk", "salt").applyInArrow(total, schema)
-    rows = half.groupBy("chunk").applyInArrow(total, schema).orderBy("chunk").collect()
-    if not rows:
-        return np.zeros((TOKENS, WIDTH)), np.zeros(TOKENS)
-    both = np.concatenate([np.frombuffer(r["part"], "<f8") for r in rows]).reshape(TOKENS, WIDTH + 1)
+    both = np.zeros((TOKENS, WIDTH + 1))
+    for r in half.groupBy("chunk").applyInArrow(total, schema).collect():  # at most TOKENS rows of numbers
+        at = np.frombuffer(r["met"], "<i4") + r["chunk"] * (TOKENS // CHUNKS)
+        both[at] = np.frombuffer(r["part"], "<i8").reshape(-1, WIDTH + 1)
     return both[:, :WIDTH], both[:, WIDTH]
 
 
@@ -218,7 +228,7 @@ def score_quality(
     df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality"
 ) -> DataFrame:
     """Columns id, held_out, score, predicted; one row a row of ``df``."""
-    sc = df.sparkSession.sparkContext
+    sc = ship(df.sparkSession).sparkContext
     features = save(pooled(df, word_vectors(*context_sums(df, text)), text, id_col), "quality-features")
     known = (
         labels.where(F.col(label).isNotNull() & ~held_out(id_col))
@@ -247,4 +257,4 @@ def score_quality(
 
 
 def op3_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
