@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, give_back, held_out, mix64, slices, table
-from coppice.session import save
+from coppice.session import save, ship, spread
 
 ORDER = 4
 UNKNOWN = "und"
@@ -50,7 +50,7 @@ MOST_CELLS = 8_000_000
 SCORED_SLICES = 16
 REJECT_SHARE = 0.001
 REJECT_MARGIN = 1.0
-TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+TEMPERATURES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 EDGE = 32  # a space stands for everything that isn't a letter, and for both ends
 
 _letters: list[np.ndarray] = []
@@ -334,6 +334,7 @@ def train(df: DataFrame, text: str, lang: str, id_col: str) -> tuple[list[str],
 
 def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Columns id, held_out, lang_pred, score, cross_entropy, rejected; one row a row of ``df``."""
+    ship(df.sparkSession)
     model_languages, shards = train(df, text, lang, id_col)
     base = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     if not shards:
@@ -348,7 +349,7 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
                 *part.columns[:3],
                 pa.array([model_languages[i] if k else None for i, k in zip(best, n, strict=True)], pa.string()),
                 pa.array(entropy.min(1)),
-                pa.array(list(gap * np.minimum(n, 1000)[:, None]), pa.list_(pa.float64())),
+                pa.array(list(gap * n[:, None]), pa.list_(pa.float64())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -393,4 +394,4 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
 
 
 def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))
