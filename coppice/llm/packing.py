@@ -5,12 +5,12 @@
 2. The driver gets the histogram of lengths, at most ``capacity`` rows at any
    input size, and runs best-fit decreasing over counts: one step places up to
    all open sequences with the same room at once.
-3. Each piece gets its rank among the pieces of its length (counted in salted
-   parts, so that one very common length is no single task) and takes the
-   planned slot with that rank.
+3. Pieces that fill a sequence take one each, where they are.  Any other gets its
+   rank among the pieces of its length (counted in parts of bounded size, so that one
+   very common length is no single task) and takes the planned slot with that rank.
 
-Null and empty texts are one end token; repeated rows are packed each; an empty
-table gives an empty result.
+Null and empty texts are one end token; repeated rows, and rows without an id, are
+packed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +26,19 @@ from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, table
 from coppice.llm.tokens import BpeEncoder
-from coppice.session import save
+from coppice.session import save, spread
 
 CAPACITY = 2048
 END_ID = 0
-RANK_PARTS = 64
+PART_ROWS = 1 << 18  # about so many pieces of one length are ranked in one task
 RANK_BITS = 40
 
 
 def pieces_of(df: DataFrame, tokenizer: str, text: str, id_col: str, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (id, piece, start, length, ids_crc32); the first piece of a long document takes the rest."""
+    """Rows (id, piece, start, length, ids_crc32, _n); the first piece of a long document takes the rest.
+
+    ``_n`` is any number, spread evenly.
+    """
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = BpeEncoder.of(tokenizer)
@@ -54,11 +57,12 @@ def pieces_of(df: DataFrame, tokenizer: str, text: str, id_col: str, capacity: i
                 at, upto, k = upto, upto + capacity, k + 1
         columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
         columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
+        columns.append(pa.array(np.arange(len(rows), dtype=np.int32)))
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = [id_col, "piece", "start", "length", "ids_crc32"]
+    names = [id_col, "piece", "start", "length", "ids_crc32", "_n"]
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _n int"
     return arrow_map(df.select(id_col, text), cut, schema)
 
 
@@ -110,9 +114,10 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> np.nda
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame, id_col: str) -> DataFrame:
-    """A gapless 0-based rank among the pieces of each length, from salted parts."""
-    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64(F.col(id_col), "piece"), F.lit(RANK_PARTS)))
+def ranked(pieces: DataFrame, id_col: str, most: int) -> DataFrame:
+    """A gapless 0-based rank among the pieces of each length, of at most ``most`` rows, from parts."""
+    parts = max(64, -(-most // PART_ROWS))
+    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64("_n", "ids_crc32", F.col(id_col)), F.lit(parts)))
     inside = Window.partitionBy("length", "_part").orderBy(id_col, "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -130,8 +135,10 @@ def pack(
     """Columns id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = save(pieces_of(df, tokenizer, text, id_col, capacity), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    full, rest = counts.pop(capacity, 0), max(counts.values(), default=0)
     plan = plan_best_fit(counts, capacity)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
+    planned = int((plan[:, 2] + plan[:, 3]).max()) if len(plan) else 0
     shared = df.sparkSession.sparkContext.broadcast(plan)  # bounded by the number of lengths
 
     def take(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,10 +153,15 @@ def pack(
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return arrow_map(ranked(pieces, id_col), take, schema)
+    part = pieces.where(F.col("length") < capacity)
+    out = arrow_map(ranked(part, id_col, rest), take, schema)
+    if not full:
+        return out
+    alone = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(planned))
+    return out.unionByName(alone.withColumn("offset", F.lit(0).cast("long")).select(names))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
