@@ -8,8 +8,9 @@ in this order, so a group of copies is cut only where one shard could not hold
 it: a splitter that falls inside one hash is refined over ids.
 
 Everything is DataFrame code; the driver sees bounded histograms only.
-Null texts count as empty (size 1), null ids sort first, repeated rows are all
-kept, an empty table gives an empty result.
+Null texts count as empty (size 1), null ids sort first, ids that aren't whole
+numbers are ordered by hash, repeated rows are all kept, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.common import table
-from coppice.session import save
+from coppice.session import save, spread
 
 KEY_BITS = 62
 FIRST_BITS = 12
 PROBE_BITS = 10
-RANK_SALTS = 16
+RANK_SALTS, SALT_ROWS = 16, 1 << 20
 GROUP_TOLERANCE = 10  # times the tolerance, before equal texts are parted
 NO_ID = -(2**61)
 
@@ -51,6 +52,8 @@ def shard_by_bytes(
     ``tolerance``: how far a boundary may be from its target, as a share of one shard.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    whole = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("_id").cast("long") if whole else F.when(F.col("_id").isNotNull(), F.xxhash64(F.col("_id").cast("string")))
     rows = save(
         df.select(
             F.col(id_col).alias("_id"),
@@ -62,15 +65,16 @@ def shard_by_bytes(
                 "size": F.coalesce(F.col("_octets"), F.lit(0)) + F.lit(1).cast("long"),
                 # ids beyond the bounds share a rank, so that a difference of two ranks fits 64 bits
                 "_rank": F.coalesce(
-                    F.greatest(F.least(F.col("_id").cast("long"), F.lit(-NO_ID)), F.lit(NO_ID)), F.lit(NO_ID)
+                    F.greatest(F.least(number, F.lit(-NO_ID)), F.lit(NO_ID)), F.lit(NO_ID)
                 ),
+                "_n": F.monotonically_increasing_id(),  # written with the row, so it stays
             }
         ).drop("_octets"),
         "shard-keys",
     )
     splitters = find_splitters(rows, shards, tolerance)
     shard = reduce(lambda a, b: a + b, (at_or_above(s).cast("int") for s in splitters), F.lit(0))
-    placed = rows.withColumns({"shard": shard, "_part": rank_part()})
+    placed = rows.withColumns({"shard": shard, "_part": rank_part(max(RANK_SALTS, rows.count() // SALT_ROWS))})
     return with_slots(placed).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
@@ -159,10 +163,10 @@ def to_ids(rows: DataFrame, pending: list[Splitter], keys: set[int]) -> None:
             s.low, s.high = lo, hi + 1
 
 
-def rank_part() -> Column:
-    """Ranks are counted in many small parts: a slice of the key range, salted for hot keys."""
+def rank_part(salts: int) -> Column:
+    """Ranks are counted in many small parts: a slice of the key range, salted for hot keys, with ids or without."""
     slice_ = F.shiftright(F.col("_key"), KEY_BITS - FIRST_BITS)
-    return slice_ * RANK_SALTS + F.pmod(F.xxhash64("_rank"), F.lit(RANK_SALTS))
+    return slice_ * salts + F.pmod(F.xxhash64("_n"), F.lit(salts))
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
@@ -170,13 +174,13 @@ def with_slots(placed: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     starts = parts.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_part").orderBy("_key", "_rank", "size")
+    inside = Window.partitionBy("shard", "_part").orderBy("_key", "_rank", "size", "_n")
     ranked = placed.withColumn("_at", F.row_number().over(inside) - 1)
     return ranked.join(starts, ["shard", "_part"]).withColumn("slot", F.col("_start") + F.col("_at"))
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_by_bytes(table(spark, sf_dir, "documents"))
+    out = shard_by_bytes(spread(table(spark, sf_dir, "documents")))
     return out.select(
         "doc_id",
         "size",
