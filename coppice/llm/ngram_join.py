@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from coppice.llm.common import arrow_map, give_back, mix64, slices, table
 from coppice.llm.shingles import shingle_sets
 from coppice.operators.components import connected_components
-from coppice.session import forget, save
+from coppice.session import forget, save, ship, spread
 
 BUCKETS = 1 << 18
 SHORT_LIST = 4
@@ -78,8 +78,9 @@ def describe(df: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
     """Rows of two kinds: sets (id, n, a, b, parity words) and bucket counts (id null, a bucket, n count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(BUCKETS, np.int64), set()
+        counts, seen, id_type = np.zeros(BUCKETS, np.int64), set(), None
         for batch in batches:
+            id_type = batch.column(0).type
             for part in slices(batch):
                 rows = []
                 for s in shingle_sets(part.column(1).to_pylist(), width):
@@ -101,7 +102,6 @@ def describe(df: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
 
     names = ["kind", "id", "n", "a", "b", *(f"p{k}" for k in range(PARITY_WORDS))]
     id_kind = df.schema[id_col].dataType.simpleString()
-    id_type = pa.int64() if id_kind == "bigint" else pa.int32() if id_kind == "int" else pa.string()
     columns = ", ".join(f"{c} long" for c in names[2:])
     return df.select(id_col, text).mapInArrow(run, f"kind int, id {id_kind}, {columns}")
 
@@ -391,6 +391,7 @@ def jaccard_components(
     of at least ``percent`` hundredths; ``copies`` counts the rows with an equal set,
     ``n_links`` the other rows that a row links with, copies among them.
     """
+    ship(df.sparkSession)
     described = save(describe(df, text, id_col, width), "join-sets")
     order = np.zeros(BUCKETS, np.int64)
     for bucket, n in described.where(F.col("kind") == BUCKET).groupBy("a").agg(F.sum("n")).collect():
@@ -442,4 +443,4 @@ def index_lists(df: DataFrame, text: str, width: int, percent: int, order: np.nd
 
 
 def op1_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), links=True)
+    return jaccard_components(spread(table(spark, sf_dir, "documents")), links=True)
