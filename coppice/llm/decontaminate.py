@@ -8,8 +8,9 @@ in the surrounding window of the document.  Documents never move: the benchmark
 goes to them in blocks of bounded size, one pass over the documents a block.
 
 Null and empty items and texts match nothing; repeated items and documents are
-each matched; an item shorter than ``EXACT_BELOW`` characters has no edit budget
-and must stand at word boundaries.
+each matched, rows and items without an id too; an item shorter than ``exact_below``
+characters has no edit budget and must stand at word boundaries (0: every item has
+its budget).  Where the item's column has the name of another, it is called ``item``.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from coppice.llm.common import arrow_map, table
+from coppice.session import spread
 
 EDIT_SHARE = 0.05
 EXACT_BELOW = 20
@@ -32,8 +35,8 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(length: int, edit_share: float = EDIT_SHARE) -> int:
-    return 0 if length < EXACT_BELOW else int(length * edit_share)
+def budget(length: int, edit_share: float = EDIT_SHARE, exact_below: int = EXACT_BELOW) -> int:
+    return 0 if length < exact_below else int(length * edit_share)
 
 
 def pieces(pattern: str, k: int) -> list[tuple[int, str]]:
@@ -83,10 +86,14 @@ class Block:
 
     items: list[tuple[object, str]]
     edit_share: float
+    exact_below: int = EXACT_BELOW
     _parts: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return {"items": self.items, "edit_share": self.edit_share, "_parts": None}
+        return {**self.__dict__, "_parts": None}
+
+    def budget(self, pattern: str) -> int:
+        return budget(len(pattern), self.edit_share, self.exact_below)
 
     def parts(self) -> tuple:
         if self._parts is None:
@@ -94,7 +101,7 @@ class Block:
 
             automaton, found = ahocorasick.Automaton(), {}
             for i, (_, pattern) in enumerate(self.items):
-                for offset, piece in pieces(pattern, budget(len(pattern), self.edit_share)):
+                for offset, piece in pieces(pattern, self.budget(pattern)):
                     found.setdefault(piece, []).append((i, offset))
             for piece, places in found.items():
                 automaton.add_word(piece, (len(piece), places))
@@ -112,7 +119,7 @@ class Block:
                 pattern = self.items[i][1]
                 if best.get(i, (1, 0))[0] == 0:
                     continue
-                k, start = budget(len(pattern), self.edit_share), end + 1 - size - offset
+                k, start = self.budget(pattern), end + 1 - size - offset
                 if (i, start) in tried:
                     continue
                 tried.add((i, start))
@@ -124,7 +131,7 @@ class Block:
                     got = got and (got[0], low + got[1])
                 else:
                     got = None
-                if got and len(pattern) < EXACT_BELOW and not standing(text, got[1] - len(pattern), got[1]):
+                if got and len(pattern) < self.exact_below and not standing(text, got[1] - len(pattern), got[1]):
                     got = None
                 if got and got < best.get(i, (k + 1, 0)):
                     best[i] = got
@@ -135,7 +142,7 @@ def standing(text: str, start: int, end: int) -> bool:
     return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, edit_share: float) -> list[Block]:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, edit_share: float, exact_below: int = EXACT_BELOW) -> list[Block]:
     """The benchmark in blocks of at most ``BLOCK_CHARS`` (one larger item is a block of its own)."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).orderBy(item_col, text_col)
     blocks, size = [], 0
@@ -144,7 +151,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, edit_share: fl
         if not pattern:
             continue
         if not blocks or size + len(pattern) > BLOCK_CHARS:
-            blocks.append(Block([], edit_share))
+            blocks.append(Block([], edit_share, exact_below))
             size = 0
         blocks[-1].items.append((item, pattern))
         size += len(pattern)
@@ -159,6 +166,7 @@ def find_leaks(
     item_col: str = "item_id",
     item_text: str = "text",
     edit_share: float = EDIT_SHARE,
+    exact_below: int = EXACT_BELOW,
 ) -> DataFrame:
     """Rows (id, item, distance, allowed, end): items that a document contains; clean documents have none.
 
@@ -168,7 +176,7 @@ def find_leaks(
     names = [id_col, "item", "distance", "allowed", "end"]
     kinds, item_kind = dict(df.dtypes), dict(benchmark.dtypes)[item_col]
     schema = f"`{id_col}` {kinds[id_col]}, item {item_kind}, distance int, allowed int, end long"
-    item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def one(block: Block) -> DataFrame:
         shared = sc.broadcast(block)
@@ -180,20 +188,19 @@ def find_leaks(
                     for i, d, e in shared.value.matches(normalise(value)):
                         item, pattern = shared.value.items[i]
                         rows.append(r)
-                        found.append((item, d, budget(len(pattern), block_share), e))
+                        found.append((item, d, shared.value.budget(pattern), e))
             columns = list(zip(*found, strict=True)) or [[]] * 4
             arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], item_type)]
             arrays += [pa.array(x, k) for x, k in zip(columns[1:], (pa.int32(), pa.int32(), pa.int64()), strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        block_share = block.edit_share
         return arrow_map(df.select(id_col, text), search, schema)
 
-    parts = [one(b) for b in blocks_of(benchmark, item_col, item_text, edit_share)]
+    parts = [one(b) for b in blocks_of(benchmark, item_col, item_text, edit_share, exact_below)]
     if not parts:
         return df.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("item", item_col)
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("item", "item" if item_col in names else item_col)
 
 
 def op2_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
