@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm import jpeg
 from coppice.llm.common import arrow_map, table
+from coppice.session import spread
 
 PAD_TO = 576
 PAD = b"\xff"
@@ -108,4 +109,4 @@ def feature(rgb: np.ndarray) -> str:
 
 
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(table(spark, sf_dir, "documents")))
+    return digests(to_media(spread(table(spark, sf_dir, "documents"))))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from coppice.llm.common import arrow_map, table
+from coppice.session import spread
 
 SPACE = "▁"
 LONG_WORD = 64
@@ -152,4 +153,4 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", id_col: str = "d
 def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
