@@ -98,6 +98,14 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(p))) for p in patterns])
 
 
+def duration_text(seconds: Column) -> Column:
+    """``format_duration`` of a column of seconds."""
+    millis = F.floor(seconds * 1000)
+    whole, rest = F.floor(millis / 1000), F.pmod(millis, F.lit(1000))
+    minutes = F.format_string("%dm %02ds", F.floor(whole / 60), F.pmod(whole, F.lit(60)))
+    return F.when(whole >= 60, minutes).when(whole > 0, F.format_string("%d.%03ds", whole, rest)).otherwise(F.format_string("%dms", rest))
+
+
 def format_duration(seconds: float) -> str:
     """``Xm SSs``, ``S.mmms``-style seconds, or milliseconds."""
     millis = int(seconds * 1000)

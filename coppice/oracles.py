@@ -135,7 +135,36 @@ LOOKUP = """SELECT i.row_index, number, description, category, service,
   LEFT JOIN theme_rows t ON t.row_index = i.row_index LEFT JOIN themes n ON n.cluster_id = t.cluster_id AND n.theme_id = t.theme_id"""
 SHORT_TEXTS = "records AS (SELECT p_partkey AS row_index, p_name || ' ' || p_type AS analysis_text FROM part)"
 
+SUPPLIERS = """incidents AS (SELECT s_suppkey AS row_index, s_name AS number, 'aaa bbb ccc ddd eee x' || s_suppkey % 12 || ' y' || s_suppkey % 12
+  || ' z' || s_suppkey % 12 AS description, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE CAST(s_nationkey AS VARCHAR) END AS category, '' AS service FROM supplier)"""
+ORDER_TEXTS = "records AS (SELECT o_orderkey AS row_index, o_orderpriority || ' c' || o_custkey AS analysis_text FROM orders)"
+MILLIS = "millis AS (SELECT o_orderkey, CAST(floor(o_totalprice / pow(10.0, o_orderkey % 7) * 1000) AS BIGINT) AS m FROM orders)"
+HEADER_CASES = """(0, 'incnumber', 'incident_number', false), (1, 'incshortdescription', 'short_description', true), (2, 'category', 'category', true),
+  (3, 'priority', NULL, false), (4, 'assignmentgroup', 'assignment_group', true), (5, 'businessservice', 'service', true),
+  (6, 'cmdbci', 'configuration_item', true), (7, 'openedat', 'date', true), (8, 'comment', NULL, false), (9, 'number', 'incident_number', true)"""
+MAPPING_CASES = """(0, false, '0 of 2', 0, 0, 'incident number column is required'), (1, false, '1 of 2', 0, 1, 'short description column is required'),
+  (2, true, '2 of 2', 0, 2, NULL), (3, true, '2 of 2', 0, 2, 'column index 9 is outside the source header range'),
+  (4, true, '2 of 2', 0, 4, 'column index 7 is outside the source header range'),
+  (5, true, '2 of 2', 1, 3, 'column index 8 is outside the source header range'), (6, true, '2 of 2', 2, 5, NULL)"""
+FILE_CASES = """('a.csv', false, 'a_clustered.xlsx'), ('/x/B.XLSX', true, '/x/B_clustered.xlsx'), ('c.xlsm', true, 'c_clustered.xlsx'),
+  ('d.xls', true, 'd_clustered.xlsx'), ('e.txt', false, 'e_clustered.xlsx'), ('/y/no_suffix', false, '/y/no_suffix_clustered.xlsx')"""
+
 ORACLES: dict[str, str] = {
+    "supplier_themes": sql([SUPPLIERS, *THEMES[1:]], "SELECT cluster_id, theme_id, label, size FROM themes"),
+    "supplier_theme_rows": sql([SUPPLIERS, *THEMES[1:]], "SELECT cluster_id, theme_id, row_index FROM theme_rows"),
+    "blank_facets": sql([SUPPLIERS, FACETS], """SELECT "column", value, CASE WHEN value = '' THEN '(blank)' ELSE value END AS display FROM facets"""),
+    "composed_texts": "SELECT p_partkey AS row_index, p_name || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' ' || p_type ELSE '' END AS analysis_text FROM part",
+    "sparse_vectors": sql([SHORT_TEXTS, *BASE[2:]], "SELECT row_index, string_agg(term || '=' || CAST(round(round(CAST(CAST(tf * ln(1 + (SELECT count(*) FROM records) / df) AS FLOAT) AS DOUBLE), 2) * 100) AS BIGINT), '|' ORDER BY term) AS terms FROM (SELECT row_index, term, count(*) AS tf FROM occurrences GROUP BY ALL) JOIN frequency USING (term) GROUP BY row_index"),
+    "valid_terms": sql([ORDER_TEXTS, *BASE[2:]], "SELECT term, df FROM frequency WHERE df BETWEEN 2 AND 2000"),
+    "numbered_rows": "SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS row_index, c_custkey, c_name FROM customer",
+    "csv_import": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_index, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
+    "source_counts": "SELECT count(*) AS row_count, 4::BIGINT AS column_count FROM documents",
+    "durations": f"WITH {MILLIS} SELECT o_orderkey, CASE WHEN m >= 60000 THEN printf('%dm %02ds', m // 60000, m // 1000 % 60) WHEN m >= 1000 THEN printf('%d.%03ds', m // 1000, m % 1000) ELSE printf('%dms', m) END AS duration FROM millis",
+    "header_roles": f"SELECT * FROM (VALUES {HEADER_CASES}) t(position, normalized, role, used)",
+    "mapping_checks": f"SELECT * FROM (VALUES {MAPPING_CASES}) t(id, ready, required, filters, mapped, error)",
+    "selected_values": sql([INCIDENTS, FACETS], """SELECT "column", value, CASE WHEN "column" = 'category' THEN value <> (SELECT DISTINCT lang FROM documents ORDER BY lang LIMIT 1 OFFSET 1) ELSE value = 'src1' END AS selected FROM facets"""),
+    "work_split": "SELECT u::INT AS units, w::INT AS workers, i::INT AS worker, (u // w + CASE WHEN i < u % w THEN 1 ELSE 0 END)::INT AS n FROM range(13) a(u), range(1, 6) b(w), range(5) c(i) WHERE i < w",
+    "file_names": f"SELECT * FROM (VALUES {FILE_CASES}) t(path, excel, export)",
     "records": sql([LABELLED_INCIDENTS], f"SELECT row_index, number AS incident_number, {TRIM.format('description')} AS analysis_text, category, service FROM incidents WHERE number <> '' AND {TRIM.format('description')} <> ''"),
     "ignored_rows": sql([LABELLED_INCIDENTS, IGNORED], "SELECT * FROM ignored"),
     "ignored_reasons": sql([LABELLED_INCIDENTS, IGNORED], "SELECT missing_incident_number, missing_short_description, count(*) AS n FROM ignored GROUP BY ALL"),

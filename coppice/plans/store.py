@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from coppice.operators.export import METADATA, METADATA_HEADERS
 from coppice.operators.records import ROW, Mapping
 from coppice.plans.analysis import Run, Settings, Timings
+from coppice.session import save
 from coppice.sources.xlsx import write_workbook
 
 VERSION = 1
@@ -64,6 +65,48 @@ def load_run(spark: SparkSession, path: str) -> Run:
     )
 
 
+#: The layout of a session that is one JSON document.
+JSON_INDEX = "source_row_index long"
+JSON_ROLES = "incident_number int, short_description int, additional_text array<int>, assignment_group int, service int, category int, configuration_item int, date int"
+JSON_FILTERS = "assignment_group string, service string, category string, configuration_item string"
+JSON_GROUP = "id long, label string, incident_row_indices array<long>"
+JSON_RUN = f"""run struct<source struct<headers array<string>, rows array<array<string>>>, mapping struct<{JSON_ROLES}>,
+  settings struct<minimum_cluster_size int, similarity_threshold_percent int, subgroup_similarity_threshold_percent int>,
+  processed_incidents array<struct<{JSON_INDEX}, incident_number string, analysis_text string, filter_values struct<{JSON_FILTERS}>, parsed_date date>>,
+  ignored_rows array<struct<{JSON_INDEX}, missing_incident_number boolean, missing_short_description boolean>>,
+  clusters array<struct<{JSON_GROUP}, subgroups array<struct<{JSON_GROUP}>>>>, unclustered_row_indices array<long>,
+  timings struct<import_ms long, preprocessing_ms long, clustering_ms long, labeling_ms long, export_ms long>>"""
+
+
+def load_json_run(spark: SparkSession, path: str) -> Run:
+    """A session saved as one JSON document with its whole source inside."""
+    run = save(spark.read.schema(JSON_RUN).json(path, multiLine=True, mode="FAILFAST").select("run.*"), "json-run")
+    head = run.select("source.headers", "mapping", "settings", "timings").first()
+    if head is None or head.headers is None:
+        raise ValueError(f"failed to read {path}")
+    s, width = head.settings, len(head.headers)
+    cells = run.select(F.posexplode("source.rows").alias("at", "x"))
+    each = lambda name: run.select(F.explode(name).alias("x"))
+    groups = each("clusters").select(F.col("x.id").alias("cluster_id"), "x.label", "x.incident_row_indices", "x.subgroups")
+    themes = groups.select("cluster_id", F.explode("subgroups").alias("x")).select("cluster_id", F.col("x.id").alias("theme_id"), "x.label", "x.incident_row_indices")
+    size = F.size("incident_row_indices").cast("long").alias("size")
+    rows = F.explode("incident_row_indices").alias(ROW)
+    return Run(
+        source=cells.select(F.col("at").cast("long").alias(ROW), *[F.coalesce(F.try_element_at("x", F.lit(i + 1)), F.lit("")).alias(f"c{i}") for i in range(width)]),
+        headers=head.headers,
+        mapping=Mapping.from_dict(head.mapping.asDict()),
+        settings=Settings(s.minimum_cluster_size, s.similarity_threshold_percent, s.subgroup_similarity_threshold_percent),
+        records=each("processed_incidents").select(F.col("x.source_row_index").alias(ROW), "x.incident_number", "x.analysis_text", "x.filter_values.*", "x.parsed_date"),
+        ignored=each("ignored_rows").select(F.col("x.source_row_index").alias(ROW), "x.missing_incident_number", "x.missing_short_description"),
+        clusters=groups.select("cluster_id", "label", size),
+        members=groups.select("cluster_id", rows),
+        themes=themes.select("cluster_id", "theme_id", "label", size),
+        theme_rows=themes.select("cluster_id", "theme_id", rows),
+        unclustered=run.select(F.explode("unclustered_row_indices").alias(ROW)),
+        timings=Timings(**head.timings.asDict()),
+    )
+
+
 def export_table(run: Run, path: str, kind: str = "parquet") -> None:
     """The export in any format Spark writes, in parallel; columns carry the original headers where they are unique."""
     rows = run.export()

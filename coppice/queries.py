@@ -18,9 +18,11 @@ from coppice.operators import explore as E
 from coppice.operators import features as T
 from coppice.operators import similarity as S
 from coppice.operators.components import connected_components
-from coppice.operators.records import ROW, Mapping, build_records
+from coppice.operators.records import HEADER_ROLES, ROW, Mapping, MappingError, build_records, normalize_header, suggest_mapping, validate_mapping
 from coppice.plans.analysis import Run, Settings, run_analysis
-from coppice.session import ship, spread
+from coppice.plans.progress import even_split
+from coppice.session import scratch_root, ship, spread
+from coppice.sources import tables as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(minimum_cluster_size=2, similarity_percent=42, theme_similarity_percent=58)
@@ -206,7 +208,144 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("term", "df", F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows"))
 
 
+def grouped_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier shares five words with all others and three with a twelfth of them; a third has no category."""
+    s, group = read(spark, sf_dir, "supplier"), F.expr("cast(s_suppkey % 12 as string)")
+    text = F.concat(F.lit("aaa bbb ccc ddd eee x"), group, F.lit(" y"), group, F.lit(" z"), group)
+    category = F.when(F.expr("s_suppkey % 3 = 0"), F.lit("  ")).otherwise(F.col("s_nationkey").cast("string"))
+    return s.select(F.col("s_suppkey").alias(ROW), F.col("s_name").alias("number"), text.alias("description"), category.alias("category"), F.lit("").alias("service"))
+
+
+def supplier_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_analysis(grouped_suppliers(spark, sf_dir), MAPPING, SETTINGS).themes
+
+
+def supplier_theme_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_analysis(grouped_suppliers(spark, sf_dir), MAPPING, SETTINGS).theme_rows
+
+
+def blank_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grouped_suppliers(spark, sf_dir)
+    trimmed = rows.withColumn("category", X.trimmed(F.col("category")))
+    return E.facet_values(trimmed, build_records(rows, MAPPING)[0], ["category", "service"])
+
+
+def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with three more text columns, some of them blank."""
+    p = read(spark, sf_dir, "part")
+    brand = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), F.col("p_brand"), F.lit("\t"))).otherwise(F.lit(" \u00a0"))
+    kind = F.when(F.col("p_size") % 3 == 0, F.col("p_type"))
+    cells = p.select(F.col("p_partkey").alias(ROW), F.col("p_partkey").cast("string").alias("n"), F.col("p_name").alias("d"), brand.alias("b"), kind.alias("k"))
+    return build_records(cells, Mapping(0, 1).with_additional(3, 2, 3))[0].select(ROW, "analysis_text")
+
+
+def short_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), F.concat_ws(" ", "p_name", "p_type").alias("analysis_text"))
+
+
+def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each vector, as text: term and weight in hundredths."""
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.round(F.round(e["value"].cast("double"), 2) * 100).cast("long").cast("string"))
+    found = T.sparse_vectors(short_records(spark, sf_dir))
+    return found.select(ROW, F.array_join(F.transform(F.array_sort(F.map_entries("terms")), entry), "|").alias("terms"))
+
+
+def valid_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of orders: priorities are on more records than the cap, customers' on few."""
+    text = F.concat_ws(" ", "o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    records = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), text.alias("analysis_text"))
+    return T.valid_terms(T.distinct_terms(records))
+
+
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IO.number_rows(read(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+
+
+def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations written as CSV and imported again: numbered rows of strings."""
+    path = f"{scratch_root(spark)}/coppice/nations.csv"
+    read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey").write.mode("overwrite").csv(path, header=True)
+    source = IO.import_source(spark, path)
+    return source.df.toDF(ROW, *source.headers)
+
+
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = IO.Source(incidents(spark, sf_dir), ["number", "description", "category", "service"])
+    return spark.createDataFrame([(source.row_count, len(source.columns))], "row_count long, column_count long")
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.col("o_totalprice") / F.pow(F.lit(10.0), F.col("o_orderkey") % 7)
+    return spread(read(spark, sf_dir, "orders")).select("o_orderkey", X.duration_text(seconds).alias("duration"))
+
+
+HEADERS = ("INC Number", "INC Short Description", "Category", "Priority", "Assignment Group", "business_service", "CMDB-CI", "Opened At", "Comment", "Number")
+
+
+def header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised headers, the role each name has and whether the suggested mapping uses the column for it."""
+    role_of = {name: role for role, names in HEADER_ROLES.items() for name in names}
+    found, rows = suggest_mapping(HEADERS), []
+    for i, h in enumerate(HEADERS):
+        role = role_of.get(normalize_header(h))
+        rows.append((i, normalize_header(h), role, role is not None and getattr(found, role) == i))
+    return spark.createDataFrame(rows, "position int, normalized string, role string, used boolean")
+
+
+def mapping_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case with its readiness, counts and first error."""
+    cases = (Mapping(), Mapping(0), Mapping(0, 1), Mapping(0, 9), Mapping(0, 1, (2, 7)), Mapping(0, 1, category=8), Mapping(0, 1, (3,), date=2, service=3))
+    rows = []
+    for i, m in enumerate(cases):
+        try:
+            error = validate_mapping(m, "abcd")
+        except MappingError as e:
+            error = str(e)
+        rows.append((i, m.ready, m.required_status, m.filter_count, m.mapped_count, error))
+    return spark.createDataFrame(rows, "id int, ready boolean, required string, filters int, mapped int, error string")
+
+
+def selected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is selected after some clicks: two languages off and one on again, sources searched, one picked."""
+    values = facet_values(spark, sf_dir)
+    languages = [r[0] for r in values.where("column = 'category'").select("value").orderBy("value").collect()]
+    chosen = E.FacetFilter()
+    for value, on in ((languages[0], False), (languages[1], False), (languages[0], True)):
+        chosen.set_selected("category", value, on, languages)
+    chosen.search_for("service", "rc")
+    chosen.set_selected("service", "src1", True, {"src0", "src1", "src2"})
+    rows = values.select("column", "value", *[F.when(F.col("column") == c, F.col("value")).alias(c) for c in ("category", "service")])
+    one = {c: E.FacetFilter({c: chosen.selected[c]}).condition([c]) for c in ("category", "service")}
+    return rows.select("column", "value", F.when(F.col("column") == "category", one["category"]).otherwise(one["service"]).alias("selected"))
+
+
+def work_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(u, w, i, n) for u in range(13) for w in range(1, 6) for i, n in enumerate(even_split(u, w))]
+    return spark.createDataFrame(rows, "units int, workers int, worker int, n int")
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("a.csv", "/x/B.XLSX", "c.xlsm", "d.xls", "e.txt", "/y/no_suffix")
+    rows = [(n, IO.is_excel(n), IO.default_export_path(n)) for n in names]
+    return spark.createDataFrame(rows, "path string, excel boolean, export string")
+
+
 QUERIES: dict[str, Query] = {
+    "supplier_themes": supplier_themes,
+    "supplier_theme_rows": supplier_theme_rows,
+    "blank_facets": blank_facets,
+    "composed_texts": composed_texts,
+    "sparse_vectors": sparse_vectors,
+    "valid_terms": valid_terms,
+    "numbered_rows": numbered_rows,
+    "csv_import": csv_import,
+    "source_counts": source_counts,
+    "durations": durations,
+    "header_roles": header_roles,
+    "mapping_checks": mapping_checks,
+    "selected_values": selected_values,
+    "work_split": work_split,
+    "file_names": file_names,
     "records": valid_records,
     "ignored_rows": ignored_rows,
     "ignored_reasons": ignored_reasons,

@@ -70,3 +70,36 @@ def test_run_save_load_and_export(spark, tmp_path):
     assert store.load_mapping(str(tmp_path / "m.json")) == run.mapping
     with pytest.raises(ValueError, match="failed to read"):
         store.load_mapping(str(tmp_path / "none.json"))
+
+
+def test_a_session_of_one_json_document(spark, tmp_path):
+    import json
+
+    group = {"id": 1, "label": "Password", "incident_row_indices": [0, 2]}
+    run = {
+        "source": {"source_path": "/x/t.csv", "worksheet_name": None, "headers": ["Number", "Summary"], "rows": [["A", "one"], ["", "two"], ["C"], ["D", "four", "more"]]},
+        "mapping": {"incident_number": 0, "short_description": 1, "additional_text": [1], "assignment_group": None, "service": None, "category": None, "configuration_item": None, "date": None},
+        "settings": {"minimum_cluster_size": 2, "similarity_threshold_percent": 42, "subgroup_similarity_threshold_percent": 58},
+        "processed_incidents": [
+            {"source_row_index": i, "incident_number": "A", "analysis_text": "one", "filter_values": {"assignment_group": None, "service": "s", "category": None, "configuration_item": None}, "parsed_date": "2024-02-03"}
+            for i in (0, 2, 3)
+        ],
+        "ignored_rows": [{"source_row_index": 1, "missing_incident_number": True, "missing_short_description": False}],
+        "clusters": [{**group, "subgroups": [{**group, "label": "Reset"}]}],
+        "unclustered_row_indices": [3],
+        "timings": {"import_ms": 0, "preprocessing_ms": 5, "clustering_ms": 7, "labeling_ms": 0, "export_ms": 0},
+    }
+    path = tmp_path / "session.json"
+    path.write_text(json.dumps({"version": 1, "run": run}, indent=2), encoding="utf-8")
+    got = store.load_json_run(spark, str(path))
+    assert got.headers == ["Number", "Summary"] and got.mapping.additional_text == (1,) and got.settings.minimum_cluster_size == 2
+    assert got.timings.clustering_ms == 7 and got.ignored.count() == 1 and got.unclustered.first()[0] == 3
+    rows = got.export().orderBy("row_index").collect()
+    assert [tuple(r) for r in rows] == [
+        (0, "A", "one", "C0001", "Password", 2, "1", "Reset", 2),
+        (2, "C", "", "C0001", "Password", 2, "1", "Reset", 2),
+        (3, "D", "four", "Unclustered", "Unclustered", 0, "", "", 0),
+    ]
+    (tmp_path / "bad.json").write_text("{}", encoding="utf-8")
+    with pytest.raises(ValueError, match="failed to read"):
+        store.load_json_run(spark, str(tmp_path / "bad.json"))
