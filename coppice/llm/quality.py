@@ -40,7 +40,7 @@ WORDS, SHAPES, WIDTH, NONZERO = 1 << 16, 1 << 11, 32, 4
 TOKENS = WORDS + SHAPES
 REPEATED = TOKENS - 1
 CHUNKS = 32
-FAN_IN = 64
+FAN_IN = 16
 HIDDEN = 16
 MOST_LABELLED = 20_000
 ACCEPT = 0.7
@@ -122,15 +122,22 @@ def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         give_back()
 
     def one_part(chunk: int, salt: int, met: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        small = not len(rows) or max(rows.max(), -rows.min()) < 1 << 31
         arrays = [pa.array([chunk], pa.int32()), pa.array([salt], pa.int32())]
-        arrays += [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((met, "<i4"), (rows, "<i8"))]
+        arrays += [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((met, "<i4"), (rows, "<i4" if small else "<i8"))]
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "salt", "met", "part"])
 
+    def read_part(met: bytes, part: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(met, "<i4")
+        kind = "<i4" if len(part) == 4 * len(at) * (WIDTH + 1) else "<i8"
+        return at, np.frombuffer(part, kind).reshape(-1, WIDTH + 1)
+
     def total(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((TOKENS // CHUNKS, WIDTH + 1), np.int64)
         for batch in groups:
             for met, part in zip(batch.column("met").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                out[np.frombuffer(met, "<i4")] += np.frombuffer(part, "<i8").reshape(-1, WIDTH + 1)
+                at, rows = read_part(met, part)
+                out[at] += rows
         met = np.flatnonzero(out[:, WIDTH])
         yield one_part(key[0].as_py(), key[1].as_py() if len(key) > 1 else 0, met, out[met])
 
@@ -139,8 +146,8 @@ def context_sums(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     half = parts.groupBy("chunk", "salt").applyInArrow(total, schema)
     both = np.zeros((TOKENS, WIDTH + 1))
     for r in half.groupBy("chunk").applyInArrow(total, schema).collect():  # at most TOKENS rows of numbers
-        at = np.frombuffer(r["met"], "<i4") + r["chunk"] * (TOKENS // CHUNKS)
-        both[at] = np.frombuffer(r["part"], "<i8").reshape(-1, WIDTH + 1)
+        at, numbers = read_part(r["met"], r["part"])
+        both[at + r["chunk"] * (TOKENS // CHUNKS)] = numbers
     return both[:, :WIDTH], both[:, WIDTH]
 
 
