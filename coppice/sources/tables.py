@@ -20,6 +20,10 @@ class UnsupportedSource(ValueError):
     """A file of a kind that isn't read."""
 
 
+class UnreadableRecord(ValueError):
+    """A record of a file that isn't UTF-8."""
+
+
 @dataclass
 class Source:
     """A table: ``row_index`` and one string column a header, named by position (headers may repeat)."""
@@ -59,7 +63,12 @@ def import_source(spark: SparkSession, path: str, sep: str = ",") -> Source:
 
 
 def import_csv(spark: SparkSession, path: str, sep: str = ",") -> Source:
-    """All cells as strings; short rows end in empty cells, cells beyond the header are dropped."""
+    """All cells as strings; short rows end in empty cells, cells beyond the header are dropped.
+
+    Bytes that aren't UTF-8 fail the import: the parser would replace them without a word.
+    """
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        raise UnreadableRecord(f"failed to read CSV record of {path}: invalid UTF-8")
     options = {"sep": sep, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": -1}
     raw = spark.read.options(**options, header=False)
     # the first record alone, as strings; an empty file has none

@@ -20,6 +20,15 @@ def test_csv(spark, tmp_path):
     ]
 
 
+def test_csv_of_other_bytes_fails(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes("Number,Summary\nA1,für\n".encode())
+    assert tables.import_source(spark, str(path)).df.first().c1 == "für"
+    path.write_bytes("Number,Summary\nA1,good\nA2,für\n".encode("latin-1"))
+    with pytest.raises(tables.UnreadableRecord):
+        tables.import_source(spark, str(path))
+
+
 def test_rows_are_numbered_over_partitions(spark):
     df = spark.range(0, 1000, 1, 7)
     assert [r.id for r in tables.number_rows(df).orderBy("row_index").collect()] == list(range(1000))
