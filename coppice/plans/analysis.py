@@ -59,6 +59,7 @@ class Run:
     theme_rows: DataFrame  # cluster_id, theme_id, row_index
     unclustered: DataFrame  # row_index
     timings: Timings = field(default_factory=Timings)
+    extras: DataFrame | None = None  # row_index, cells: what source rows hold beyond the headers
 
     @property
     def columns(self) -> list[str]:
@@ -109,8 +110,12 @@ def run_analysis(
     settings: Settings | None = None,
     headers: Sequence[str] | None = None,
     listen: Callable[[Progress], None] | None = None,
+    extras: DataFrame | None = None,
 ) -> Run:
-    """Analyse a table with ``row_index`` and string columns; nothing of it is collected."""
+    """Analyse a table with ``row_index`` and string columns; nothing of it is collected.
+
+    ``extras`` (row_index, cells) are kept for the export alone.
+    """
     spark = ship(source.sparkSession)
     settings, reporter = settings or Settings(), Reporter(listen, spark)
     columns = [c for c in source.columns if c != ROW]
@@ -127,4 +132,4 @@ def run_analysis(
     loose = C.unclustered(records, found["members"])
     timings.clustering_ms = int((time.perf_counter() - began) * 1000)
     reporter.stage(8)
-    return Run(source, list(headers or columns), mapping, settings, records, ignored, unclustered=loose, timings=timings, **found)
+    return Run(source, list(headers or columns), mapping, settings, records, ignored, unclustered=loose, timings=timings, extras=extras, **found)

@@ -40,8 +40,11 @@ def save_run(path: str, run: Run) -> None:
     spark = run.source.sparkSession
     for name in TABLES:
         getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    if run.extras is not None:
+        run.extras.write.mode("overwrite").parquet(f"{path}/extras")
     manifest = {
         "version": VERSION,
+        "extras": run.extras is not None,
         "headers": run.headers,
         "mapping": run.mapping.to_dict(),
         "settings": run.settings.to_dict(),
@@ -61,6 +64,7 @@ def load_run(spark: SparkSession, path: str) -> Run:
         mapping=Mapping.from_dict(manifest["mapping"]),
         settings=Settings(**manifest["settings"]),
         timings=Timings(**manifest["timings"]),
+        extras=spark.read.parquet(f"{path}/extras") if manifest.get("extras") else None,
         **tables,
     )
 
@@ -104,6 +108,7 @@ def load_json_run(spark: SparkSession, path: str) -> Run:
         theme_rows=themes.select("cluster_id", "theme_id", rows),
         unclustered=run.select(F.explode("unclustered_row_indices").alias(ROW)),
         timings=Timings(**head.timings.asDict()),
+        extras=cells.where(F.size("x") > width).select(F.col("at").cast("long").alias(ROW), F.slice("x", width + 1, F.size("x")).alias("cells")),
     )
 
 
@@ -117,6 +122,13 @@ def export_table(run: Run, path: str, kind: str = "parquet") -> None:
 
 
 def export_workbook(run: Run, path: str) -> int:
-    """One workbook in source order, streamed to the driver a partition at a time; its rows are bounded by the format."""
-    rows = run.export().sort(ROW).drop(ROW).toLocalIterator(prefetchPartitions=True)
-    return write_workbook(path, [*run.headers, *METADATA_HEADERS], rows)
+    """One workbook in source order, streamed to the driver a partition at a time; its rows are bounded by the format.
+
+    Cells beyond the headers keep their places; the six added columns take the first of them.
+    """
+    headers, rows = [*run.headers, *METADATA_HEADERS], run.export()
+    if run.extras is None:
+        return write_workbook(path, headers, rows.sort(ROW).drop(ROW).toLocalIterator(prefetchPartitions=True))
+    past = run.extras.select(ROW, F.slice("cells", len(METADATA) + 1, F.size("cells")).alias("_past"))
+    wide = rows.join(past, ROW, "left").sort(ROW).drop(ROW).toLocalIterator(prefetchPartitions=True)
+    return write_workbook(path, headers, ([*values, *(past or ())] for *values, past in wide))

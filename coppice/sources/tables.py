@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,7 @@ from coppice.session import ship
 from coppice.sources import xlsx
 
 EXCEL = {".xlsx", ".xlsm", ".xls"}
+RAGGED = "_ragged"
 
 
 class UnsupportedSource(ValueError):
@@ -32,6 +37,7 @@ class Source:
     headers: list[str]
     path: str | None = None
     worksheet: str | None = None
+    extras: DataFrame | None = None  # row_index, cells: what rows hold beyond the header
 
     @property
     def columns(self) -> list[str]:
@@ -63,7 +69,7 @@ def import_source(spark: SparkSession, path: str, sep: str = ",") -> Source:
 
 
 def import_csv(spark: SparkSession, path: str, sep: str = ",") -> Source:
-    """All cells as strings; short rows end in empty cells, cells beyond the header are dropped.
+    """All cells as strings; short rows end in empty cells, cells beyond the header are in ``extras``.
 
     Bytes that aren't UTF-8 fail the import: the parser would replace them without a word.
     """
@@ -77,9 +83,28 @@ def import_csv(spark: SparkSession, path: str, sep: str = ",") -> Source:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
     if not headers:
         return Source(spark.createDataFrame([], f"{ROW} long"), [], path)
-    rows = spark.read.options(**options, header=True, enforceSchema=True).schema(schema).csv(path)
-    filled = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
-    return Source(number_rows(filled), headers, path)
+    # a record of another width comes with its own text, which is only read where it is asked for
+    ragged = T.StructType([*schema, T.StructField(RAGGED, T.StringType())])
+    reader = spark.read.options(**options, header=True, enforceSchema=True, columnNameOfCorruptRecord=RAGGED)
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in schema.names]
+    rows = number_rows(reader.schema(ragged).csv(path).select(*filled, RAGGED))
+    return Source(rows.drop(RAGGED), headers, path, extras=cells_beyond(rows, len(headers), sep))
+
+
+def cells_beyond(rows: DataFrame, width: int, sep: str) -> DataFrame:
+    """Rows (row_index, cells) of the records that are longer than the header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit((1 << 31) - 1)
+        for batch in batches:
+            records = (io.StringIO(x, newline="") for x in batch.column(1).to_pylist())
+            cells = [next(csv.reader(x, delimiter=sep), [])[width:] for x in records]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.string()))], [ROW, "cells"])
+
+    ship(rows.sparkSession)
+    # c0 comes along because the parser refuses to read the records' texts alone
+    ragged = rows.where(F.col(RAGGED).isNotNull()).select(ROW, RAGGED, "c0")
+    return ragged.mapInArrow(run, f"{ROW} long, cells array<string>").where(F.size("cells") > 0)
 
 
 def number_rows(df: DataFrame) -> DataFrame:
@@ -102,9 +127,12 @@ def list_worksheets(spark: SparkSession, path: str) -> list[str]:
 
 
 def import_sheet(spark: SparkSession, path: str, sheet: str) -> Source:
-    """A named sheet: the first row is the header, cells become strings."""
-    headers, width = xlsx.header_of(xlsx.file_bytes(spark, path), sheet)
-    return Source(xlsx.read_sheet(ship(spark), path, sheet, width), headers, path, sheet)
+    """A named sheet: the first row with a value is the header, cells become strings.
+
+    The table is as wide as the columns that hold a value in any row; headers may be empty.
+    """
+    headers, first = xlsx.header_of(ship(spark), path, sheet)
+    return Source(xlsx.read_sheet(spark, path, sheet, first, len(headers)), headers, path, sheet)
 
 
 def default_export_path(source_path: str | None) -> str:

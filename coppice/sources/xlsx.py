@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-MOST_ROWS = 1_048_576
+MOST_ROWS, MOST_COLUMNS = 1_048_576, 16_384
 BATCH_ROWS = 5_000
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -115,22 +115,44 @@ def sheet_rows(data: bytes, sheet: str) -> Iterator[list[str]]:
             yield cells
 
 
-def header_of(data: bytes, sheet: str) -> tuple[list[str], int]:
-    headers = next(sheet_rows(data, sheet), [])
-    return headers, len(headers)
+def filled_rows(data: bytes, sheet: str) -> Iterator[list[str]]:
+    """Rows from the first that holds a value."""
+    return itertools.dropwhile(lambda cells: not any(cells), sheet_rows(data, sheet))
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str, width: int) -> DataFrame:
-    """Rows (row_index, c0...) after the header, cut or filled to ``width`` cells."""
+def header_of(spark: SparkSession, path: str, sheet: str) -> tuple[list[str], int]:
+    """The header over all columns from the first to the last that holds a value in any row, and that first column."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                header, first, end = None, MOST_COLUMNS, 0
+                for cells in filled_rows(data, sheet):
+                    header = cells if header is None else header
+                    held = [i for i, c in enumerate(cells) if c]
+                    if held:
+                        first, end = min(first, held[0]), max(end, held[-1] + 1)
+                header = [*(header or []), *[""] * (end - len(header or []))]
+                found = [header[first:end]] if end else [[]]
+                arrays = [pa.array(found, pa.list_(pa.string())), pa.array([first if end else 0], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["header", "first"])
+
+    content = spark.read.format("binaryFile").load(path).select("content")
+    header, first = content.mapInArrow(find, "header array<string>, first long").first()
+    return header, first
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, first: int, width: int) -> DataFrame:
+    """Rows (row_index, c0...) after the header: ``width`` cells from column ``first`` on, empty where there are none."""
     names = ["row_index", *[f"c{i}" for i in range(width)]]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = enumerate(sheet_rows(data, sheet), -1)
+                rows = enumerate(filled_rows(data, sheet), -1)
                 next(rows, None)
                 while part := list(itertools.islice(rows, BATCH_ROWS)):
-                    cells = [[c[i] if i < len(c) else "" for _, c in part] for i in range(width)]
+                    cells = [[c[i] if i < len(c) else "" for _, c in part] for i in range(first, first + width)]
                     arrays = [pa.array([i for i, _ in part], pa.int64()), *(pa.array(c, pa.string()) for c in cells)]
                     yield pa.RecordBatch.from_arrays(arrays, names)
 

@@ -18,6 +18,33 @@ def test_csv(spark, tmp_path):
         (1, "A2", "short", "", ""),
         (2, "A3", "long", "1", "2"),
     ]
+    assert [tuple(r) for r in got.extras.collect()] == [(2, ["3"])]
+
+
+def test_cells_beyond_the_header_reach_the_workbook(spark, tmp_path):
+    path, beyond = tmp_path / "t.csv", ["e1", 'e "2",', "e3", "e4", "e5", "e6", "two\nlines", "", "e9"]
+    quoted = ",".join('"' + x.replace('"', '""') + '"' for x in beyond)
+    path.write_text(f"Number,Summary\nA1,one text\nA2,two text,{quoted}\nA3\nA4,four,,\n", encoding="utf-8")
+    source = tables.import_source(spark, str(path))
+    assert {r.row_index: r.cells for r in source.extras.collect()} == {1: beyond, 3: ["", ""]}
+    run = run_analysis(source.df, suggest_mapping(source.headers), headers=source.headers, extras=source.extras)
+    store.save_run(str(tmp_path / "run"), run)
+    for got in (run, store.load_run(spark, str(tmp_path / "run"))):
+        assert store.export_workbook(got, str(tmp_path / "out.xlsx")) == 3
+        rows = list(xlsx.sheet_rows((tmp_path / "out.xlsx").read_bytes(), "Sheet1"))
+        assert rows[0][2:] == list(store.METADATA_HEADERS)
+        assert rows[2] == ["A2", "two text", "Unclustered", "Unclustered", "0", "", "", "0", "two\nlines", "", "e9"]
+        assert rows[1][:2] == ["A1", "one text"] and len(rows[1]) == 8 and rows[3][:2] == ["A4", "four"]
+
+
+def test_a_sheet_is_as_wide_as_its_cells(spark, tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    xlsx.write_workbook(path, ["", "", ""], [("", "Number", "Summary"), ("", "A", "one", "more"), ("", "", ""), ("", "B", "two")])
+    got = tables.import_source(spark, path)
+    assert got.headers == ["Number", "Summary", ""]
+    assert [tuple(r) for r in got.df.orderBy("row_index").collect()] == [(0, "A", "one", "more"), (1, "", "", ""), (2, "B", "two", "")]
+    xlsx.write_workbook(path, ["", ""], [])
+    assert tables.import_source(spark, path).headers == []
 
 
 def test_csv_of_other_bytes_fails(spark, tmp_path):
@@ -109,6 +136,7 @@ def test_a_session_of_one_json_document(spark, tmp_path):
         (2, "C", "", "C0001", "Password", 2, "1", "Reset", 2),
         (3, "D", "four", "Unclustered", "Unclustered", 0, "", "", 0),
     ]
+    assert [tuple(r) for r in got.extras.collect()] == [(3, ["more"])]
     (tmp_path / "bad.json").write_text("{}", encoding="utf-8")
     with pytest.raises(ValueError, match="failed to read"):
         store.load_json_run(spark, str(tmp_path / "bad.json"))
