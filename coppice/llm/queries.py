@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coppice.llm.alignment import op12_token_alignment
 from coppice.llm.chat import op10_quotation_threads
 from coppice.llm.decontaminate import op2_edit_decontamination
 from coppice.llm.html import op7_template_text
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_quotation_threads": op10_quotation_threads,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: None of these has one: each fits a model, runs a search to convergence or a codec.
