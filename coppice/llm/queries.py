@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from coppice.llm.alignment import op12_token_alignment
+from coppice.llm.centroids import clusters_sql, op11_lloyd_clusters
 from coppice.llm.chat import op10_quotation_threads
 from coppice.llm.decontaminate import op2_edit_decontamination
 from coppice.llm.html import op7_template_text
@@ -25,8 +26,9 @@ QUERIES = {
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_quotation_threads": op10_quotation_threads,
+    "op11_lloyd_clusters": op11_lloyd_clusters,
     "op12_token_alignment": op12_token_alignment,
 }
 
-#: None of these has one: each fits a model, runs a search to convergence or a codec.
-ORACLES: dict[str, str] = {}
+#: The others have none: each fits a model, runs a search to convergence or a codec.
+ORACLES: dict[str, str] = {"op11_lloyd_clusters": clusters_sql()}
