@@ -14,6 +14,7 @@ from coppice.llm.packing import op5_best_fit_packing
 from coppice.llm.quality import op3_random_indexing_quality
 from coppice.llm.sharding import op9_histogram_shards
 from coppice.llm.token_counts import op4_trie_token_counts
+from coppice.llm.tokenfiles import op13_seekable_token_files
 
 QUERIES = {
     "op1_set_relation_join": op1_set_relation_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quotation_threads": op10_quotation_threads,
     "op11_lloyd_clusters": op11_lloyd_clusters,
     "op12_token_alignment": op12_token_alignment,
+    "op13_seekable_token_files": op13_seekable_token_files,
 }
 
 #: The others have none: each fits a model, runs a search to convergence or a codec.
