@@ -80,7 +80,7 @@ def labelled(groups: DataFrame, members: DataFrame, records: DataFrame, keys: tu
 
 
 def theme_members(
-    records: DataFrame, members: DataFrame, minimum: int, percent: int, most_df: int = MOST_DF, strategy: str = "blocks"
+    records: DataFrame, members: DataFrame, minimum: int, percent: int, most_df: int = MOST_DF, strategy: str = "overlap"
 ) -> DataFrame:
     """Rows (cluster_id, theme_id, row_index, size) of at most ten themes a cluster.
 

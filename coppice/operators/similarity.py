@@ -1,12 +1,16 @@
 """Jaccard edges between records over their valid terms.
 
-Three strategies with equal results.  ``blocks`` sends each posting list (never
-longer than the frequency cap) to the blocks of rows that are on it, where shared
-terms are counted in one table and the threshold applied: what moves grows with
-postings times blocks instead of pairs, and only edges leave a task.  ``counts``
-joins posting lists and counts shared terms a pair, in SQL's own terms.  ``prefix``
-orders terms rare first, joins only prefixes with size and position filters, and
-intersects sorted id arrays; it wins where texts are short and the threshold is high.
+Strategies with equal results.  ``overlap`` (default) orders the terms rare first and
+keeps lists of the first terms of each record only, ordered by set size.  On a list,
+two records are a candidate if their sizes allow the threshold and the term stands so
+early in both that the terms after it can still make up the overlap that is needed, and
+``SLACK`` more.  Tasks add up what a pair shares on their lists, Spark adds up the
+tasks, and the pair goes on only if it shares more than ``SLACK`` of these first terms:
+what it shares later could not reach the overlap without them.  Chance pairs share one
+or two rare terms and end here.  The rest are compared in whole, in blocks that hold each
+set once.  ``counts`` joins posting lists and counts shared terms a pair, in SQL's own terms.
+``collapse`` joins one representative of equal term sets and attaches the others to it
+(for components only).
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from coppice.operators.features import MOST_DF, distinct_terms, valid_terms
 from coppice.operators.records import ROW
 from coppice.session import save, ship
 
-BLOCK_ROWS = 512
-MOST_ENTRIES = 6_000_000  # of posting lists that one block gets, on average
-TABLE_COLUMNS, MOST_PAIRS = 8192, 1 << 20
+SLACK = 16  # more of it: more pairs are met and fewer compared in whole
+PART_ENTRIES = 1 << 19  # list entries of a task, about
+MOST_MET = 1 << 22  # meetings that a task expands, and shared terms that it adds up, at a time
+BLOCK_IDS = 1 << 21  # ids of the sets in one block of comparisons, about
+LEADER_PAIRS = 1 << 17  # of one leader that are compared in one place, about
 EDGE_SCHEMA = "src long, dst long, shared long, n_src long, n_dst long"
 
 
@@ -62,159 +68,194 @@ def edges_by_counts(records: DataFrame, percent: int, keys: tuple[str, ...] = ()
     )
 
 
-def posting_lists(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
-    """Rows (rows, n): the rows on the list of each valid term, ascending, at most ``most_df``, and their set sizes."""
-    kept = save(kept_terms(records, keys, most_df), "kept-terms")
-    sizes = kept.groupBy(ROW).agg(F.count("*").cast("int").alias("n"))
-    entries = F.sort_array(F.collect_list(F.struct(ROW, "n"))).alias("l")
-    return kept.join(sizes, ROW).groupBy(*keys, "term").agg(entries).select(F.col(f"l.{ROW}").alias("rows"), F.col("l.n").alias("n"))
+def term_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+    """Rows (row_index, ids, n): sorted ids of valid terms, rare terms first.
 
+    An id is a term's frequency above its place in the dictionary as written: in order
+    of frequency without sorting the dictionary.
+    """
+    terms = save(distinct_terms(records, keys), "terms")
+    place = F.monotonically_increasing_id()  # below 2**52 while the dictionary has at most 2**19 parts
+    dictionary = save(valid_terms(terms, keys, most=most_df).withColumn("id", F.shiftleft("df", 52).bitwiseOR(place)), "term-ids")
+    named = terms.join(dictionary.drop("df"), [*keys, "term"])
+    return named.groupBy(ROW).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids"))
 
-def blocks_for(lengths: dict[int, int], rows: int) -> int:
-    """How many blocks: at most ``BLOCK_ROWS`` rows and ``MOST_ENTRIES`` list entries each, on average; odd.
 
-    A list of d rows is on at most min(d, blocks) blocks.
-    """
-    blocks = -(-rows // BLOCK_ROWS)
-    while sum(k * d * min(1, d / blocks) for d, k in lengths.items()) > MOST_ENTRIES:
-        blocks *= 2
-    return blocks | 1  # odd, so that ids in even steps are spread too
-
-
-def block_edges(rows: np.ndarray, n: np.ndarray, ends: np.ndarray, own: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Columns of edges from the rows of a block (entries ``own``) to larger ones; lists lie one after another up to ``ends``."""
-    ids, local = np.unique(rows, return_inverse=True)
-    sizes = np.zeros(len(ids), np.int64)
-    sizes[local] = n
-    lengths = np.diff(ends, prepend=0)
-    key = np.repeat(np.arange(len(ends)), lengths) * len(ids) + local  # ascending: lists, then rows
-    sources, source = np.unique(local[own], return_inverse=True)
-    upto = np.repeat((np.arange(len(ends)) + 1) * len(ids), lengths)[own]
-    found = []
-    for low in range(0, len(ids), TABLE_COLUMNS):
-        inside = (local >= low) & (local < low + TABLE_COLUMNS)
-        columns, keys = local[inside] - low, key[inside]
-        first = np.searchsorted(keys, key[own], "right")  # only rows after its own
-        many = np.searchsorted(keys, upto) - first
-        width = min(TABLE_COLUMNS, len(ids) - low)
-        table = np.zeros(len(sources) * width, np.int32)
-        total = np.cumsum(many)
-        at = 0
-        while at < len(many):
-            done = int(total[at - 1]) if at else 0
-            upper = max(at + 1, int(np.searchsorted(total, done + MOST_PAIRS, "right")))
-            k = many[at:upper]
-            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            np.add.at(table, np.repeat(source[at:upper] * width, k) + columns[np.repeat(first[at:upper], k) + step], 1)
-            at = upper
-        pairs = np.flatnonzero(table)
-        shared = table[pairs].astype(np.int64)
-        src, dst = sources[pairs // width], pairs % width + low
-        linked = 100 * shared >= percent * (sizes[src] + sizes[dst] - shared)
-        found.append(np.stack([ids[src], ids[dst], shared, sizes[src], sizes[dst]])[:, linked])
-    return list(np.concatenate(found, 1)) if found else [np.zeros(0, np.int64)] * 5
-
-
-def edges_by_blocks(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
-    """Rows (src, dst, shared, n_src, n_dst)."""
-    ship(records.sparkSession)
-    lists = save(posting_lists(records, keys, most_df), "posting-lists")
-    lengths = {r[0]: r[1] for r in lists.groupBy(F.size("rows")).count().collect()}  # at most ``most_df`` rows
-    if not lengths:
-        return records.sparkSession.createDataFrame([], EDGE_SCHEMA)
-    blocks = blocks_for(lengths, records.count())
-    names = [f.split()[0] for f in EDGE_SCHEMA.split(", ")]
+def needed(n, m, percent: int):
+    """Terms that sets of these sizes share at least if they pass."""
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)))
+
+
+def list_entries(sets: DataFrame, percent: int, slack: int) -> DataFrame:
+    """Rows (id, row_index, n, at) of the first terms of every set, those that a pair can be met on."""
+    first = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int")) + 1 + slack
+    return sets.select(ROW, "n", F.posexplode(F.slice("ids", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "id")).select("id", ROW, "n", "at")
+
+
+def met_on_lists(ids: np.ndarray, rows: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, slack: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (src, dst, more) of the meetings on whole lists, sorted by list and size; ``more`` is what a pair must exceed."""
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    which = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(ids)))
+    # partners of an entry: those before it on its list, from the first that is large enough
+    step = int(n.max()) + 1
+    low = np.searchsorted(which * step + n, which * step + np.minimum(-(-percent * n // 100), step - 1))
+    many = np.maximum(np.arange(len(ids)) - low, 0)
+    total, done = np.cumsum(many), 0
+    while done < len(ids):
+        base = total[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(total, base + MOST_MET, "right")))
+        k = many[done:upto]
+        x = np.repeat(np.arange(done, upto), k)
+        y = np.repeat(low[done:upto] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        least = needed(n[x], n[y], percent)
+        more = np.minimum(slack, least - 1)
+        near = (at[x] <= n[x] - least + more) & (at[y] <= n[y] - least + more)
+        a, b = rows[x[near]], rows[y[near]]
+        yield np.minimum(a, b), np.maximum(a, b), more[near]
+        done = upto
+
+
+def added_up(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns (src, dst, shared, more), one row a pair."""
+    src, dst, shared, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(src):
+        return [src, dst, shared, more]
+    ids, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    pair = both[: len(src)] * len(ids) + both[len(src) :]
+    order = np.argsort(pair, kind="stable")
+    first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+    one = order[first]
+    return [src[one], dst[one], np.add.reduceat(shared[order], first), more[one]]
+
+
+def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
+    """Rows (src, dst) of the pairs that share more than ``slack`` of their first terms, or all that they must share."""
+    names = ["src", "dst", "shared", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
+        waiting, held = [], []
 
-        def edges() -> Iterator[pa.RecordBatch]:
-            rows, n, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = block_edges(rows, n, np.cumsum(lengths), np.flatnonzero(rows % blocks == block), percent)
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = added_up(held)
+            held[:] = [tuple(columns)]
+            if len(columns[0]) > MOST_MET // 2:
+                yield as_batch()
 
-        for batch in batches:
-            which = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(which, prepend=which[:1] - 1))
-            for a, b in zip(cuts, [*cuts[1:], len(which)], strict=True):
-                if parts and which[a] != block:
-                    yield from edges()
-                    parts = []
-                block, lists = which[a], batch.slice(a, b - a)
-                rows, n = (lists.column(c).flatten().to_numpy() for c in (1, 2))
-                parts.append((rows, n, lists.column(1).value_lengths().to_numpy()))
-        if parts:
-            yield from edges()
-
-    on = F.array_distinct(F.transform("rows", lambda r: F.pmod(r, F.lit(blocks))))
-    dealt = lists.select(F.explode(on).alias("block"), "rows", "n").repartition(min(4 * blocks, 20_000), "block")
-    return dealt.sortWithinPartitions("block").mapInArrow(run, EDGE_SCHEMA)
-
-
-def term_ids(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
-    """Rows (row_index, ids): sorted ids of valid terms, rare terms first.
-
-    Ids come from a range partitioning by (df, term): ordered, and no single task sees them all.
-    """
-    terms = save(distinct_terms(records, keys), "terms")
-    dictionary = save(
-        valid_terms(terms, keys, most=most_df)
-        .repartitionByRange("df", *keys, "term")
-        .sortWithinPartitions("df", *keys, "term")
-        .withColumn("id", F.monotonically_increasing_id()),
-        "term-ids",
-    )
-    named = terms.join(dictionary.drop("df"), [*keys, "term"])
-    return named.groupBy(ROW).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids"))
+        def as_batch() -> pa.RecordBatch:
+            columns = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], names)
 
+        def lists(whole: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for src, dst, more in met_on_lists(*whole, percent, slack):
+                held.append((src, dst, np.ones(len(src), np.int64), more))
+                if sum(len(x[0]) for x in held) > MOST_MET:
+                    yield from out()
 
-def edges_by_prefix(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
-    """Rows (src, dst, shared, n_src, n_dst), from candidates that share a prefix term."""
-    rows = save(term_ids(records, keys, most_df), "term-sets")
-    return prefix_join(rows, percent)
+        for batch in batches:
+            waiting.append([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            if sum(len(x[0]) for x in waiting) >= PART_ENTRIES:
+                columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+                last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+                waiting = [[x[last:] for x in columns]]
+                if last:
+                    yield from lists([x[:last] for x in columns])
+        if waiting and sum(len(x[0]) for x in waiting):
+            yield from lists([np.concatenate(x) for x in zip(*waiting, strict=True)])
+        if held:
+            yield from out()
+        if held:
+            yield as_batch()
+
+    spark = sets.sparkSession
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_ENTRIES))
+    entries = list_entries(sets, percent, slack).repartition(parts, "id").sortWithinPartitions("id", "n")
+    met = entries.mapInArrow(run, "src long, dst long, shared int, more int")
+    summed = met.groupBy("src", "dst").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"))
+    return summed.where("shared > more").select("src", "dst")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass, counted in whole: a block of pairs gets each of its sets once."""
+    dealt = dealt_by_leader(pairs)
+    members = dealt.select("leader", "part", F.explode(F.array("src", "dst")).alias(ROW)).distinct()
+    total = members.join(sets.select(ROW, "n"), ROW).agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("leader", "part"), F.lit(max(1, -(-total // BLOCK_IDS)))).alias("block")
+    asked = members.select(block, ROW).distinct().join(sets, ROW)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right[ROW].to_numpy()
+        lists = right["ids"].combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        _, terms = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(rows)
+        src, dst = (order[np.searchsorted(rows, left[c].to_numpy(), sorter=order)] for c in ("src", "dst"))
+        shared = shared_terms(terms, np.cumsum(n) - n, n, src, dst)
+        linked = (shared > 0) & (100 * shared >= percent * (n[src] + n[dst] - shared))
+        columns = [rows[src], rows[dst], shared, n[src], n[dst]]
+        return pa.table([pa.array(x[linked]) for x in columns], [f.split()[0] for f in EDGE_SCHEMA.split(", ")])
+
+    pairs_of, sets_of = dealt.select(block, "src", "dst").groupBy("block"), asked.select("block", ROW, "ids").groupBy("block")
+    return pairs_of.cogroup(sets_of).applyInArrow(run, EDGE_SCHEMA)
+
+
+def dealt_by_leader(pairs: DataFrame) -> DataFrame:
+    """Rows (leader, part, src, dst): pairs whose first rows have the same smallest neighbour, in parts of bounded size.
+
+    Records that are all alike meet in one place, so that each of their sets is sent there once.
+    """
+    pairs = save(pairs, "edge-candidates")
+    ends = pairs.select(F.col("src").alias(ROW), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias(ROW), F.col("src").alias("other")))
+    leaders = ends.groupBy(F.col(ROW).alias("src")).agg(F.min("other").alias("leader")).select("src", F.least("src", "leader").alias("leader"))
+    led = pairs.join(leaders, "src")
+    many = led.groupBy("leader").agg(F.count("*").alias("many"))
+    part = F.pmod(F.xxhash64("src"), F.lit(1) + F.expr(f"many div {LEADER_PAIRS}"))
+    return save(led.join(many, "leader").select("leader", part.alias("part"), "src", "dst"), "edge-groups")
+
+
+def shared_terms(terms: np.ndarray, starts: np.ndarray, n: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """How many terms each pair of sets (starts, n) has in common."""
+    shared = np.zeros(len(src), np.int64)
+    mark = np.zeros(int(terms.max(initial=-1)) + 1, bool)
+    order = np.argsort(src, kind="stable")
+    cuts = np.flatnonzero(np.diff(src[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        pairs = order[a:b]
+        mine = terms[starts[src[pairs[0]]] :][: n[src[pairs[0]]]]
+        mark[mine] = True
+        k = n[dst[pairs]]
+        ends = np.cumsum(k)
+        found = mark[terms[np.repeat(starts[dst[pairs]] - ends + k, k) + np.arange(ends[-1])]]
+        shared[pairs] = np.add.reduceat(found, ends - k, dtype=np.int64)  # sets of candidates aren't empty
+        mark[mine] = False
+    return shared
+
+
+def edges_of_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges of rows (row_index, ids, n)."""
+    ship(sets.sparkSession)
+    return compared(candidates(sets, percent), sets, percent)
 
 
-def prefix_join(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges of rows (row_index, ids, n)."""
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int"))
-    prefix = rows.select(ROW, "n", F.posexplode(F.slice("ids", F.lit(1), F.col("n") - least + 1)).alias("at", "id"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    share = F.least(n - F.col("a.at"), m - F.col("b.at"))
-    near = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (share * (100 + percent) >= (n + m) * percent)
-    on = (F.col("a.id") == F.col("b.id")) & (F.col(f"a.{ROW}") < F.col(f"b.{ROW}")) & near
-    pairs = a.join(b, on).select(F.col(f"a.{ROW}").alias("src"), F.col(f"b.{ROW}").alias("dst")).distinct()
-    met = pairs.join(rows.select(F.col(ROW).alias("src"), F.col("ids").alias("x"), F.col("n").alias("n_src")), "src").join(
-        rows.select(F.col(ROW).alias("dst"), F.col("ids").alias("y"), F.col("n").alias("n_dst")), "dst"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    return (
-        met.withColumn("shared", shared)
-        .where((F.col("shared") > 0) & passes(F.col("shared"), F.col("n_src"), F.col("n_dst"), percent))
-        .select("src", "dst", F.col("shared").cast("long").alias("shared"), F.col("n_src").cast("long").alias("n_src"), F.col("n_dst").cast("long").alias("n_dst"))
-    )
+def edges_by_overlap(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+    """Rows (src, dst, shared, n_src, n_dst)."""
+    return edges_of_sets(save(term_sets(records, keys, most_df), "term-sets"), percent)
 
 
 def linking_edges(
-    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "blocks"
+    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "overlap"
 ) -> DataFrame:
-    """Rows (src, dst) with the components of the full edge list, which needn't all be in it.
-
-    ``collapse`` joins one representative of equal term sets and attaches the others to it.
-    """
-    if strategy == "blocks":
-        return edges_by_blocks(records, percent, keys, most_df).select("src", "dst")
+    """Rows (src, dst) with the components of the full edge list, which needn't all be in it."""
+    if strategy in ("overlap", "blocks", "prefix"):  # the last two are in saved settings
+        return edges_by_overlap(records, percent, keys, most_df).select("src", "dst")
     if strategy == "counts":
         return edges_by_counts(records, percent, keys, most_df).select("src", "dst")
-    if strategy == "prefix":
-        return edges_by_prefix(records, percent, keys, most_df).select("src", "dst")
     if strategy != "collapse":
         raise ValueError(f"no such strategy: {strategy}")
-    rows = save(term_ids(records, keys, most_df), "term-sets")
+    rows = save(term_sets(records, keys, most_df), "term-sets")
     same = rows.groupBy("ids", "n").agg(F.min(ROW).alias("first"))
     reps = save(same.select(F.col("first").alias(ROW), "ids", "n"), "term-set-classes")
-    joined = prefix_join(reps, percent).select("src", "dst")
+    joined = edges_of_sets(reps, percent).select("src", "dst")
     if percent > 100:
         return joined
     copies = rows.join(same, ["ids", "n"]).where(F.col(ROW) != F.col("first"))

@@ -181,7 +181,7 @@ ORACLES: dict[str, str] = {
     "inverted_index": sql(BASE, "SELECT term, df, string_agg(CAST(row_index AS VARCHAR), ',' ORDER BY row_index) AS rows FROM terms JOIN frequency USING (term) WHERE df BETWEEN 2 AND 2000 GROUP BY ALL"),
     "term_set_sizes": sql([*BASE, KEPT, SIZES], "SELECT row_index, coalesce(n, 0) AS n FROM records LEFT JOIN sizes USING (row_index)"),
     "similarity_edges": sql(GRAPH, "SELECT * FROM edges"),
-    "similarity_edges_prefix": sql([SHORT_TEXTS, *GRAPH[2:]], "SELECT * FROM edges").replace(">= 42 *", ">= 70 *"),
+    "similarity_edges_prefix": sql(GRAPH, "SELECT * FROM edges"),
     "components": sql([*GRAPH, *reach("comp", "edges")], "SELECT node AS row_index, component FROM comp"),
     "clusters": sql(LABELS, "SELECT cluster_id, label, size FROM labelled"),
     "cluster_members": sql(CLUSTERS, "SELECT cluster_id, row_index FROM members"),

@@ -21,7 +21,7 @@ from coppice.operators.components import connected_components
 from coppice.operators.records import HEADER_ROLES, ROW, Mapping, MappingError, build_records, normalize_header, suggest_mapping, validate_mapping
 from coppice.plans.analysis import Run, Settings, run_analysis
 from coppice.plans.progress import even_split
-from coppice.session import scratch_root, ship, spread
+from coppice.session import save, scratch_root, ship, spread
 from coppice.sources import tables as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,17 +100,17 @@ def term_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.edges_by_blocks(records_of(spark, sf_dir), SETTINGS.similarity_percent)
+    return S.edges_by_overlap(records_of(spark, sf_dir), SETTINGS.similarity_percent)
 
 
 def similarity_edges_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other strategy, at the same threshold, over the short texts of ``part``."""
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), F.concat_ws(" ", "p_name", "p_type").alias("analysis_text"))
-    return S.edges_by_prefix(parts, 70)
+    """The same rows with shorter prefixes: more pairs are compared in whole, fewer are met on lists."""
+    sets = save(S.term_sets(records_of(spark, sf_dir)), "term-sets")
+    return S.compared(S.candidates(sets, SETTINGS.similarity_percent, slack=4), sets, SETTINGS.similarity_percent)
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = S.edges_by_blocks(records_of(spark, sf_dir), SETTINGS.similarity_percent)
+    edges = S.edges_by_overlap(records_of(spark, sf_dir), SETTINGS.similarity_percent)
     return connected_components(edges).select(F.col("node").alias(ROW), "component")
 
 

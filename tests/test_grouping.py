@@ -10,6 +10,7 @@ from coppice.operators import features as T
 from coppice.operators import similarity as S
 from coppice.operators.components import connected_components
 from coppice.plans.analysis import Settings, cluster_records
+from coppice.session import save
 
 FIVE_KINDS = ["password reset failure sap portal"] * 3 + ["vpn connection timeout remote access"] * 3
 
@@ -41,7 +42,7 @@ def brute_edges(spark, texts, percent, most=2000):
 
 
 @pytest.mark.parametrize("percent", [0, 42, 58, 100])
-@pytest.mark.parametrize("find", [S.edges_by_blocks, S.edges_by_counts, S.edges_by_prefix])
+@pytest.mark.parametrize("find", [S.edges_by_overlap, S.edges_by_counts])
 def test_edges_equal_brute_force(spark, percent, find):
     texts = some_texts()
     got = {(r.src, r.dst, r.shared) for r in find(records(spark, texts), percent).collect()}
@@ -52,9 +53,9 @@ def test_collapsed_edges_have_the_same_components(spark):
     rows = records(spark, some_texts() * 2)
     parts = [
         {tuple(r) for r in connected_components(S.linking_edges(rows, 42, strategy=s)).collect()}
-        for s in ("blocks", "counts", "prefix", "collapse")
+        for s in ("overlap", "counts", "collapse")
     ]
-    assert parts[0] == parts[1] == parts[2]
+    assert parts[0] and parts[0] == parts[1] == parts[2]
 
 
 def test_frequent_terms_join_nothing(spark):
@@ -136,14 +137,22 @@ def test_empty_input(spark):
     assert all(df.count() == 0 for df in found.values())
 
 
-def test_blocks_are_cut_by_rows_and_entries(monkeypatch, spark):
-    assert S.blocks_for({2: 10}, 100) == 1 and S.blocks_for({2: 10}, 5 * S.BLOCK_ROWS) == 5
-    monkeypatch.setattr(S, "MOST_ENTRIES", 1000)
-    assert S.blocks_for({100: 100}, 100) > 100
-    monkeypatch.setattr(S, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(S, "TABLE_COLUMNS", 4)
-    monkeypatch.setattr(S, "MOST_PAIRS", 5)
-    texts = [f"word{i % 3} word{i % 5} other{i % 2} thing{i % 7}" for i in range(40)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "row_index long, analysis_text string")
-    got, expected = ({tuple(r) for r in f(rows, 42).collect()} for f in (S.edges_by_blocks, S.edges_by_counts))
-    assert got == expected and got
+@pytest.mark.parametrize("slack", [0, 1, 3, 100])
+def test_small_parts_give_the_same_edges(monkeypatch, spark, slack):
+    """Tasks that cut their lists, send what they added up early, and compare in many blocks."""
+    for name in ("PART_ENTRIES", "MOST_MET", "BLOCK_IDS", "LEADER_PAIRS"):
+        monkeypatch.setattr(S, name, 7)
+    texts = [f"word{i % 3} word{i % 5} other{i % 2} thing{i % 7} item{i % 11}" for i in range(60)] + ["word1 thing1"] * 9 + ["", "x"]
+    rows = records(spark, texts).repartition(3)
+    sets = S.term_sets(rows)
+    expected = brute_edges(spark, texts, 42)
+    got = S.compared(S.candidates(sets, 42, slack), sets, 42).collect()
+    assert {(r.src, r.dst, r.shared) for r in got} == expected and len(got) == len(expected) > 100
+
+
+def test_rare_pairs_end_before_they_are_compared(spark):
+    """Texts that share two rare words each: met on lists, but none of them is a candidate."""
+    texts = [f"{'abcdefgh'[i % 8] * 9} " + " ".join(f"w{i:02d}{chr(97 + k) * 7}" for k in range(12)) for i in range(40)]
+    sets = save(S.term_sets(records(spark, [t for t in texts for _ in (0, 1)])), "sets")
+    found = {tuple(r) for r in S.candidates(sets, 42).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(40)} < {tuple(r) for r in S.candidates(sets, 1, 0).collect()}
