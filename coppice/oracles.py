@@ -149,6 +149,9 @@ MAPPING_CASES = """(0, false, '0 of 2', 0, 0, 'incident number column is require
 FILE_CASES = """('a.csv', false, 'a_clustered.xlsx'), ('/x/B.XLSX', true, '/x/B_clustered.xlsx'), ('c.xlsm', true, 'c_clustered.xlsx'),
   ('d.xls', true, 'd_clustered.xlsx'), ('e.txt', false, 'e_clustered.xlsx'), ('/y/no_suffix', false, '/y/no_suffix_clustered.xlsx')"""
 
+THRESHOLDS = (42, 58, 70)
+AT_THRESHOLDS = [part for t in THRESHOLDS for part in (f"edges{t} AS (SELECT src, dst FROM edges WHERE 100 * shared >= {t} * (n_src + n_dst - shared))", *reach(f"comp{t}", f"edges{t}"))]
+
 ORACLES: dict[str, str] = {
     "supplier_themes": sql([SUPPLIERS, *THEMES[1:]], "SELECT cluster_id, theme_id, label, size FROM themes"),
     "supplier_theme_rows": sql([SUPPLIERS, *THEMES[1:]], "SELECT cluster_id, theme_id, row_index FROM theme_rows"),
@@ -183,6 +186,7 @@ ORACLES: dict[str, str] = {
     "similarity_edges": sql(GRAPH, "SELECT * FROM edges"),
     "similarity_edges_prefix": sql(GRAPH, "SELECT * FROM edges"),
     "components": sql([*GRAPH, *reach("comp", "edges")], "SELECT node AS row_index, component FROM comp"),
+    "threshold_groups": sql([*GRAPH, *AT_THRESHOLDS], " UNION ALL ".join(f"SELECT {t} AS threshold, row_index, coalesce(component, row_index) AS component FROM records LEFT JOIN comp{t} ON node = row_index" for t in THRESHOLDS)),
     "clusters": sql(LABELS, "SELECT cluster_id, label, size FROM labelled"),
     "cluster_members": sql(CLUSTERS, "SELECT cluster_id, row_index FROM members"),
     "unclustered": sql(CLUSTERS, "SELECT row_index FROM records ANTI JOIN members USING (row_index)"),

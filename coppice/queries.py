@@ -17,6 +17,7 @@ from coppice.operators import clusters as C
 from coppice.operators import explore as E
 from coppice.operators import features as T
 from coppice.operators import similarity as S
+from coppice.operators import thresholds as H
 from coppice.operators.components import connected_components
 from coppice.operators.records import HEADER_ROLES, ROW, Mapping, MappingError, build_records, normalize_header, suggest_mapping, validate_mapping
 from coppice.plans.analysis import Run, Settings, run_analysis
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(minimum_cluster_size=2, similarity_percent=42, theme_similarity_percent=58)
 MAPPING = Mapping(0, 1, category=2, service=3)
 FILTERS = {"category": ["de", "fr"]}
+THRESHOLDS = (42, 58, 70)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +116,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias(ROW), "component")
 
 
+def threshold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components at three thresholds from one edge list and its spanning forest."""
+    records = save(records_of(spark, sf_dir).select(ROW, "analysis_text"), "records")
+    edges = S.edges_by_overlap(records, min(THRESHOLDS))
+    return H.groups_at(records, H.spanning_forest(H.with_percent(edges)), THRESHOLDS)
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis(spark, sf_dir).clusters
 
@@ -364,6 +373,7 @@ QUERIES: dict[str, Query] = {
     "similarity_edges": similarity_edges,
     "similarity_edges_prefix": similarity_edges_prefix,
     "components": components,
+    "threshold_groups": threshold_groups,
     "clusters": clusters,
     "cluster_members": cluster_members,
     "unclustered": unclustered,

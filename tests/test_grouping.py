@@ -8,6 +8,8 @@ from coppice.functions.text import feature_terms
 from coppice.operators import clusters as C
 from coppice.operators import features as T
 from coppice.operators import similarity as S
+from coppice.operators import components as K
+from coppice.operators import thresholds as H
 from coppice.operators.components import connected_components
 from coppice.plans.analysis import Settings, cluster_records
 from coppice.session import save
@@ -99,6 +101,79 @@ def test_components_equal_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def labels_of(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_parts_are_contracted_before_the_rounds(spark, monkeypatch, caplog, kind):
+    """What enters the rounds is at most one edge a node and partition, however many edges there are."""
+    monkeypatch.setattr(K, "HELD_EDGES", 100)
+    rng = random.Random(2)
+    edges = [(rng.randrange(40) + 100 * k, rng.randrange(40) + 100 * k) for k in range(3) for _ in range(1500)] + [(400 + i, 399 + i) for i in range(1, 50)]
+    edges = [(f"{a:04d}", f"{b:04d}") if kind == "string" else (a, b) for a, b in edges]
+    df = spark.createDataFrame(edges, f"src {kind}, dst {kind}").repartition(3)
+    sent = K.contracted(df).withColumn("part", F.spark_partition_id()).collect()
+    assert len(sent) == len({(r.part, r.u) for r in sent}) <= 3 * 170 and all(r.v <= r.u for r in sent)
+    with caplog.at_level("INFO", logger=K.__name__):
+        assert {r.node: r.component for r in connected_components(df).collect()} == labels_of(edges)
+    assert 2 <= sum("after round" in r.message for r in caplog.records) <= 12
+
+
+def test_least_reachable_along_paths():
+    """Long paths in every order of their nodes, the slow case of label spreading."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 50, 5000):
+        for order in (np.arange(n), np.arange(n)[::-1], rng.permutation(n)):
+            assert (K.least_reachable(order[:-1], order[1:], n) == 0).all()
+
+
+def test_spanning_forest_connects_at_every_threshold(spark, monkeypatch):
+    monkeypatch.setattr(H, "HELD_EDGES", 60)
+    rng = random.Random(4)
+    edges = list({(min(a, b), max(a, b)): (a, b, rng.choice([42, 50, 58, 58, 70, 99])) for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(400))}.values())
+    df = spark.createDataFrame([*edges, (500, 501, 42)], H.FOREST).repartition(4)
+    forest = [tuple(r) for r in H.spanning_forest(df).collect()]
+    nodes = {x for a, b, _ in edges if a != b for x in (a, b)} | {500, 501}
+    assert len(forest) == len(nodes) - len(set(labels_of([(a, b) for a, b, _ in [*edges, (500, 501, 42)] if a != b]).values()))
+    assert sum(p for *_, p in forest) == weight_by_kruskal([*edges, (500, 501, 42)])
+    records = spark.range(0, 600).select(F.col("id").alias("row_index"))
+    got = H.groups_at(records, spark.createDataFrame(forest, H.FOREST), (42, 58, 70, 100)).collect()
+    assert len(got) == 4 * 600
+    for t in (42, 58, 70, 100):
+        expected = labels_of([(a, b) for a, b, p in [*edges, (500, 501, 42)] if p >= t])
+        assert {r.row_index: r.component for r in got if r.threshold == t} == {i: expected.get(i, i) for i in range(600)}
+    assert H.spanning_forest(df.limit(0)).count() == 0
+
+
+def weight_by_kruskal(edges):
+    parent, total = {}, 0
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b, p in sorted(edges, key=lambda e: -e[2]):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a], total = b, total + p
+    return total
+
+
 def test_similar_records_cluster(spark):
     found = cluster_records(records(spark, FIVE_KINDS), Settings(minimum_cluster_size=3))
     assert sorted(map(tuple, found["clusters"].select("cluster_id", "label", "size").collect())) == [
