@@ -160,7 +160,7 @@ ORACLES: dict[str, str] = {
     "sparse_vectors": sql([SHORT_TEXTS, *BASE[2:]], "SELECT row_index, string_agg(term || '=' || CAST(round(round(CAST(CAST(tf * ln(1 + (SELECT count(*) FROM records) / df) AS FLOAT) AS DOUBLE), 2) * 100) AS BIGINT), '|' ORDER BY term) AS terms FROM (SELECT row_index, term, count(*) AS tf FROM occurrences GROUP BY ALL) JOIN frequency USING (term) GROUP BY row_index"),
     "valid_terms": sql([ORDER_TEXTS, *BASE[2:]], "SELECT term, df FROM frequency WHERE df BETWEEN 2 AND 2000"),
     "numbered_rows": "SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS row_index, c_custkey, c_name FROM customer",
-    "csv_import": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_index, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation",
+    "csv_import": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, concat_ws(chr(10), lang, '\"quoted\", ', text) AS text, source FROM documents",
     "source_counts": "SELECT count(*) AS row_count, 4::BIGINT AS column_count FROM documents",
     "durations": f"WITH {MILLIS} SELECT o_orderkey, CASE WHEN m >= 60000 THEN printf('%dm %02ds', m // 60000, m // 1000 % 60) WHEN m >= 1000 THEN printf('%d.%03ds', m // 1000, m % 1000) ELSE printf('%dms', m) END AS duration FROM millis",
     "header_roles": f"SELECT * FROM (VALUES {HEADER_CASES}) t(position, normalized, role, used)",

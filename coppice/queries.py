@@ -7,6 +7,7 @@ fields from an outer join with ``labels``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -271,16 +272,17 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations written as CSV and imported again: numbered rows of strings."""
-    path = f"{scratch_root(spark)}/coppice/nations.csv"
-    read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey").write.mode("overwrite").csv(path, header=True)
-    source = IO.import_source(spark, path)
+    """The documents written as CSV files, line breaks inside quotes, and imported again: numbered rows of strings."""
+    path = f"{scratch_root(spark)}/coppice/csv-{uuid.uuid4().hex}"
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "lang", F.lit('"quoted", '), "text").alias("text"), "source")
+    d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.csv(path, header=True, escape='"')
+    source = IO.import_csv(spark, path)
     return source.df.toDF(ROW, *source.headers)
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = IO.Source(incidents(spark, sf_dir), ["number", "description", "category", "service"])
-    return spark.createDataFrame([(source.row_count, len(source.columns))], "row_count long, column_count long")
+    """Rows and columns of a table, counted where it is."""
+    return IO.counts_of(incidents(spark, sf_dir))
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:

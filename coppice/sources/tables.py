@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from coppice.operators.records import ROW
-from coppice.session import ship
+from coppice.session import save, ship
 from coppice.sources import xlsx
+from coppice.sources.csvsplit import read_records
 
 EXCEL = {".xlsx", ".xlsm", ".xls"}
-RAGGED = "_ragged"
 
 
 class UnsupportedSource(ValueError):
@@ -71,57 +67,42 @@ def import_source(spark: SparkSession, path: str, sep: str = ",") -> Source:
 def import_csv(spark: SparkSession, path: str, sep: str = ",") -> Source:
     """All cells as strings; short rows end in empty cells, cells beyond the header are in ``extras``.
 
-    Bytes that aren't UTF-8 fail the import: the parser would replace them without a word.
+    ``path`` may be a folder of files with the same header.  Large files are read in many
+    tasks, line breaks inside quotes or not.  Bytes that aren't UTF-8 fail the import.
     """
-    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+    records, headers, fine = read_records(ship(spark), path, sep)
+    if not fine:
         raise UnreadableRecord(f"failed to read CSV record of {path}: invalid UTF-8")
-    options = {"sep": sep, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": -1}
-    raw = spark.read.options(**options, header=False)
-    # the first record alone, as strings; an empty file has none
-    first = raw.csv(path).limit(1).collect()
-    headers = ["" if x is None else x for x in first[0]] if first else []
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    if not headers:
-        return Source(spark.createDataFrame([], f"{ROW} long"), [], path)
-    # a record of another width comes with its own text, which is only read where it is asked for
-    ragged = T.StructType([*schema, T.StructField(RAGGED, T.StringType())])
-    reader = spark.read.options(**options, header=True, enforceSchema=True, columnNameOfCorruptRecord=RAGGED)
-    filled = [F.coalesce(c, F.lit("")).alias(c) for c in schema.names]
-    rows = number_rows(reader.schema(ragged).csv(path).select(*filled, RAGGED))
-    return Source(rows.drop(RAGGED), headers, path, extras=cells_beyond(rows, len(headers), sep))
-
-
-def cells_beyond(rows: DataFrame, width: int, sep: str) -> DataFrame:
-    """Rows (row_index, cells) of the records that are longer than the header."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit((1 << 31) - 1)
-        for batch in batches:
-            records = (io.StringIO(x, newline="") for x in batch.column(1).to_pylist())
-            cells = [next(csv.reader(x, delimiter=sep), [])[width:] for x in records]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.string()))], [ROW, "cells"])
-
-    ship(rows.sparkSession)
-    # c0 comes along because the parser refuses to read the records' texts alone
-    ragged = rows.where(F.col(RAGGED).isNotNull()).select(ROW, RAGGED, "c0")
-    return ragged.mapInArrow(run, f"{ROW} long, cells array<string>").where(F.size("cells") > 0)
+    cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(headers))]
+    beyond = F.slice("cells", len(headers) + 1, F.greatest(F.size("cells") - len(headers), F.lit(0)))
+    extras = records.where(F.size("cells") > len(headers)).select(ROW, beyond.alias("cells"))
+    return Source(records.select(ROW, *cells), headers, path, extras=extras if headers else None)
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """0-based contiguous ``row_index`` in file order: places inside partitions plus the rows of those before.
+    """0-based contiguous ``row_index`` of a table as it was read: by file path, block and place in it.
 
-    Partitions of a file scan are in file order; only one count a partition is brought together.
+    A table that isn't read from files is numbered by partition.  Written once, so that the
+    rows that are counted are the rows that are numbered; one count a block is brought together.
     """
-    placed = df.withColumn("_m", F.monotonically_increasing_id())
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumns({"_part": part, "_place": place})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    numbered = placed.join(starts, "_part").withColumn(ROW, F.col("_start") + F.col("_place"))
+    try:
+        place = [df["_metadata.file_path"].alias("_file"), df["_metadata.file_block_start"].alias("_block")]
+        df.select(*place)
+    except AnalysisException:
+        place = [F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block")]
+    marked = save(df.select("*", *place, F.monotonically_increasing_id().alias("_m")), "numbered")
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_m").alias("_least"))
+    starts = counts.select("_file", "_block", "_least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    numbered = marked.join(starts, ["_file", "_block"]).withColumn(ROW, F.col("_start") + F.col("_m") - F.col("_least"))
     return numbered.select(ROW, *df.columns)
 
 
+def counts_of(df: DataFrame) -> DataFrame:
+    """One row: how many rows and columns a numbered table has."""
+    return df.agg(F.count("*").alias("row_count"), F.lit(len(df.columns) - 1).cast("long").alias("column_count"))
+
+
 def list_worksheets(spark: SparkSession, path: str) -> list[str]:
     return xlsx.sheet_names(xlsx.file_bytes(spark, path))
 
