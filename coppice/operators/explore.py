@@ -124,6 +124,13 @@ def run_summary(records: DataFrame, visible: DataFrame, ignored: DataFrame, clus
     return counted.select(*[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in parts])
 
 
+def summary_of_run(counts: dict[str, int], visible: DataFrame) -> DataFrame:
+    """The same row from the counts that a run took as it wrote its tables; only what is visible is counted now."""
+    known = {"processed": counts["processed"], "ignored": counts["ignored"], "clusters": counts["clusters"], "unclustered": counts["processed"] - counts["clustered"]}
+    counted = visible.agg(F.count("*").alias("visible"))
+    return counted.select(*[F.col(c) if c == "visible" else F.lit(known[c]).cast("long").alias(c) for c in ("processed", "visible", "ignored", "clusters", "unclustered")])
+
+
 def result_tree(clusters: DataFrame, themes: DataFrame, theme_rows: DataFrame) -> DataFrame:
     """Rows of clusters (level 0), themes (1) and records (2); rows in no theme aren't shown.
 

@@ -110,8 +110,8 @@ def _cell(columns: Sequence[str], index: int | None) -> Column:
     return F.lit("") if index is None else F.coalesce(F.col(f"`{columns[index]}`").cast("string"), F.lit(""))
 
 
-def judged_rows(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
-    """All rows with their record columns and the two reasons to ignore them."""
+def judged_rows(df: DataFrame, mapping: Mapping, columns: Sequence[str], *more: Column) -> DataFrame:
+    """All rows with their record columns, the two reasons to ignore them, and further columns."""
     number, description = (trimmed(_cell(columns, i)) for i in mapping.required)
     extras = [null_if_blank(_cell(columns, i)) for i in mapping.additional_text]
     dimensions = [null_if_blank(_cell(columns, getattr(mapping, d))).alias(d) for d in DIMENSIONS]
@@ -123,14 +123,25 @@ def judged_rows(df: DataFrame, mapping: Mapping, columns: Sequence[str]) -> Data
         parse_date(trimmed(_cell(columns, mapping.date))).alias("parsed_date"),
         (number == "").alias("missing_incident_number"),
         (description == "").alias("missing_short_description"),
+        *more,
     )
 
 
+def ignored_row() -> Column:
+    return reduce(Column.__or__, (F.col("missing_incident_number"), F.col("missing_short_description")))
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid records and ignored rows of ``judged_rows``."""
+    bad = ignored_row()
+    return judged.where(~bad).select(*RECORD_COLUMNS), judged.where(bad).select(ROW, "missing_incident_number", "missing_short_description")
+
+
 def build_records(df: DataFrame, mapping: Mapping, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Valid records and ignored rows of a table with ``row_index``; ``columns`` are its cells in order."""
+    """Valid records and ignored rows of a table with ``row_index``; ``columns`` are its cells in order.
+
+    Two views of the table: where both are used, save ``judged_rows`` and split it, so that the table is read once.
+    """
     columns = list(columns or [c for c in df.columns if c != ROW])
     validate_mapping(mapping, columns)
-    judged = judged_rows(df, mapping, columns)
-    bad = reduce(Column.__or__, (F.col("missing_incident_number"), F.col("missing_short_description")))
-    ignored = judged.where(bad).select(ROW, "missing_incident_number", "missing_short_description")
-    return judged.where(~bad).select(*RECORD_COLUMNS), ignored
+    return split_judged(judged_rows(df, mapping, columns))

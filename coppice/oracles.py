@@ -139,16 +139,8 @@ SUPPLIERS = """incidents AS (SELECT s_suppkey AS row_index, s_name AS number, 'a
   || ' z' || s_suppkey % 12 AS description, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE CAST(s_nationkey AS VARCHAR) END AS category, '' AS service FROM supplier)"""
 ORDER_TEXTS = "records AS (SELECT o_orderkey AS row_index, o_orderpriority || ' c' || o_custkey AS analysis_text FROM orders)"
 MILLIS = "millis AS (SELECT o_orderkey, CAST(floor(o_totalprice / pow(10.0, o_orderkey % 7) * 1000) AS BIGINT) AS m FROM orders)"
-HEADER_CASES = """(0, 'incnumber', 'incident_number', false), (1, 'incshortdescription', 'short_description', true), (2, 'category', 'category', true),
-  (3, 'priority', NULL, false), (4, 'assignmentgroup', 'assignment_group', true), (5, 'businessservice', 'service', true),
-  (6, 'cmdbci', 'configuration_item', true), (7, 'openedat', 'date', true), (8, 'comment', NULL, false), (9, 'number', 'incident_number', true)"""
-MAPPING_CASES = """(0, false, '0 of 2', 0, 0, 'incident number column is required'), (1, false, '1 of 2', 0, 1, 'short description column is required'),
-  (2, true, '2 of 2', 0, 2, NULL), (3, true, '2 of 2', 0, 2, 'column index 9 is outside the source header range'),
-  (4, true, '2 of 2', 0, 4, 'column index 7 is outside the source header range'),
-  (5, true, '2 of 2', 1, 3, 'column index 8 is outside the source header range'), (6, true, '2 of 2', 2, 5, NULL)"""
-FILE_CASES = """('a.csv', false, 'a_clustered.xlsx'), ('/x/B.XLSX', true, '/x/B_clustered.xlsx'), ('c.xlsm', true, 'c_clustered.xlsx'),
-  ('d.xls', true, 'd_clustered.xlsx'), ('e.txt', false, 'e_clustered.xlsx'), ('/y/no_suffix', false, '/y/no_suffix_clustered.xlsx')"""
 
+SHOWN = "shown AS (SELECT row_index FROM incidents WHERE category IN ('de', 'fr') AND CAST(substring(service, 4) AS INT) % 2 = 0)"
 THRESHOLDS = (42, 58, 70)
 AT_THRESHOLDS = [part for t in THRESHOLDS for part in (f"edges{t} AS (SELECT src, dst FROM edges WHERE 100 * shared >= {t} * (n_src + n_dst - shared))", *reach(f"comp{t}", f"edges{t}"))]
 
@@ -163,11 +155,7 @@ ORACLES: dict[str, str] = {
     "csv_import": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, CAST(doc_id AS VARCHAR) AS doc_id, concat_ws(chr(10), lang, '\"quoted\", ', text) AS text, source FROM documents",
     "source_counts": "SELECT count(*) AS row_count, 4::BIGINT AS column_count FROM documents",
     "durations": f"WITH {MILLIS} SELECT o_orderkey, CASE WHEN m >= 60000 THEN printf('%dm %02ds', m // 60000, m // 1000 % 60) WHEN m >= 1000 THEN printf('%d.%03ds', m // 1000, m % 1000) ELSE printf('%dms', m) END AS duration FROM millis",
-    "header_roles": f"SELECT * FROM (VALUES {HEADER_CASES}) t(position, normalized, role, used)",
-    "mapping_checks": f"SELECT * FROM (VALUES {MAPPING_CASES}) t(id, ready, required, filters, mapped, error)",
     "selected_values": sql([INCIDENTS, FACETS], """SELECT "column", value, CASE WHEN "column" = 'category' THEN value <> (SELECT DISTINCT lang FROM documents ORDER BY lang LIMIT 1 OFFSET 1) ELSE value = 'src1' END AS selected FROM facets"""),
-    "work_split": "SELECT u::INT AS units, w::INT AS workers, i::INT AS worker, (u // w + CASE WHEN i < u % w THEN 1 ELSE 0 END)::INT AS n FROM range(13) a(u), range(1, 6) b(w), range(5) c(i) WHERE i < w",
-    "file_names": f"SELECT * FROM (VALUES {FILE_CASES}) t(path, excel, export)",
     "records": sql([LABELLED_INCIDENTS], f"SELECT row_index, number AS incident_number, {TRIM.format('description')} AS analysis_text, category, service FROM incidents WHERE number <> '' AND {TRIM.format('description')} <> ''"),
     "ignored_rows": sql([LABELLED_INCIDENTS, IGNORED], "SELECT * FROM ignored"),
     "ignored_reasons": sql([LABELLED_INCIDENTS, IGNORED], "SELECT missing_incident_number, missing_short_description, count(*) AS n FROM ignored GROUP BY ALL"),
@@ -196,6 +184,10 @@ ORACLES: dict[str, str] = {
     "export_rows": sql(THEMES, LOOKUP),
     "result_tree": sql(THEMES, "SELECT cluster_id, 0::BIGINT AS theme_id, -1::BIGINT AS row_index, label, size, 0 AS level FROM labelled UNION ALL SELECT cluster_id, theme_id, -1, label, size, 1 FROM themes UNION ALL SELECT cluster_id, theme_id, row_index, '', 1, 2 FROM theme_rows"),
     "filtered_clusters": sql(CLUSTERS, "SELECT cluster_id, count(*) AS visible FROM members JOIN incidents USING (row_index) WHERE category IN ('de', 'fr') GROUP BY cluster_id"),
+    "visible_records": sql([INCIDENTS, SHOWN], "SELECT count(*) AS visible FROM shown"),
+    "visible_members": sql([*CLUSTERS, SHOWN], "SELECT cluster_id, row_index FROM members SEMI JOIN shown USING (row_index)"),
+    "visible_groups": sql([*CLUSTERS, SHOWN], "SELECT cluster_id, count(*) AS visible FROM members SEMI JOIN shown USING (row_index) GROUP BY cluster_id"),
+    "visible_themes": sql([*THEMES, SHOWN], "SELECT cluster_id, theme_id, count(*) AS visible FROM theme_rows SEMI JOIN shown USING (row_index) GROUP BY ALL"),
     "facet_values": sql([INCIDENTS, FACETS], """SELECT "column", value, CASE WHEN value = '' THEN '(blank)' ELSE value END AS display FROM facets"""),
     "facet_search": sql([INCIDENTS, FACETS], """SELECT "column", value FROM facets WHERE contains(lower(value), 'rc1')"""),
     "facet_filter": sql([INCIDENTS], "SELECT row_index, category, service FROM incidents WHERE category IN ('de', 'fr')"),

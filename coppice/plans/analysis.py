@@ -6,16 +6,16 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from coppice.operators import clusters as C
 from coppice.operators.export import cluster_lookup, export_rows
 from coppice.operators.features import MOST_DF
-from coppice.operators.records import ROW, Mapping, build_records, validate_mapping
+from coppice.operators.records import ROW, Mapping, ignored_row, judged_rows, split_judged, validate_mapping
 from coppice.operators.similarity import linking_edges
 from coppice.plans.progress import Progress, Reporter
-from coppice.session import save, ship, spread
+from coppice.session import save, save_bucketed, ship
 
 
 @dataclass(frozen=True)
@@ -60,13 +60,14 @@ class Run:
     unclustered: DataFrame  # row_index
     timings: Timings = field(default_factory=Timings)
     extras: DataFrame | None = None  # row_index, cells: what source rows hold beyond the headers
+    counts: dict[str, int] = field(default_factory=dict)  # of the tables as they were written
 
     @property
     def columns(self) -> list[str]:
         return [c for c in self.source.columns if c != ROW]
 
     def export(self) -> DataFrame:
-        lookup = cluster_lookup(self.clusters, self.members, self.themes, self.theme_rows)
+        lookup = save_bucketed(cluster_lookup(self.clusters, self.members, self.themes, self.theme_rows), "lookup", ROW)
         return export_rows(self.source, self.records, lookup, self.columns)
 
     def nested_clusters(self) -> DataFrame:
@@ -75,8 +76,10 @@ class Run:
         return self.clusters.join(self.themes.groupBy("cluster_id").agg(themes), "cluster_id", "left")
 
 
-def cluster_records(records: DataFrame, settings: Settings, reporter: Reporter | None = None) -> dict[str, DataFrame]:
-    """Clusters, members, themes and theme rows of records (row_index, analysis_text)."""
+def cluster_records(
+    records: DataFrame, settings: Settings, reporter: Reporter | None = None, counts: dict[str, int] | None = None
+) -> dict[str, DataFrame]:
+    """Clusters, members, themes and theme rows of records (row_index, analysis_text); members and theme rows in buckets of rows."""
     reporter = reporter or Reporter()
     reporter.stage(3)
     reporter.substep(4, 1, 1, "Joining records on shared terms")
@@ -84,15 +87,20 @@ def cluster_records(records: DataFrame, settings: Settings, reporter: Reporter |
     edges = save(linking_edges(records, s.similarity_percent, (), s.most_document_frequency, s.strategy), "edges")
     reporter.substep(5, 1, 2, "Merging similarity edges")
     found, members = C.cluster_members(C.members_by_component(records, edges), s.minimum_cluster_size)
-    found, members = save(found, "clusters"), save(members, "members")
+    clustered, listed = Observation(), Observation()
+    found = save(found.observe(listed, F.count(F.lit(1)).alias("n")), "clusters")
+    members = save_bucketed(members.observe(clustered, F.count(F.lit(1)).alias("n")), "members", ROW)
+    if counts is not None:
+        counts.update(clusters=listed.get["n"], clustered=clustered.get["n"])
     reporter.substep(5, 2, 2, "Sorting retained clusters")
     reporter.stage(6)
     labels = C.labelled(found.select("cluster_id", "size"), members, records, ("cluster_id",))
-    theme_rows = save(
+    theme_rows = save_bucketed(
         C.theme_members(
             records, members, s.minimum_cluster_size, s.theme_similarity_percent, s.most_document_frequency, s.strategy
         ),
         "theme-rows",
+        ROW,
     )
     sizes = theme_rows.groupBy("cluster_id", "theme_id").agg(F.first("size").alias("size"))
     themes = C.labelled(sizes, theme_rows, records, ("cluster_id", "theme_id"))
@@ -123,13 +131,19 @@ def run_analysis(
     reporter.stage(1)
     validate_mapping(mapping, columns)
     reporter.stage(2)
-    records, ignored = build_records(source, mapping, columns)
-    records, ignored = spread(save(records, "records")), save(ignored, "ignored")
+    # the source is read once; cells, records and ignored rows are columns and rows of one table in buckets of rows
+    cells, seen = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_cells"), Observation()
+    judged = judged_rows(source, mapping, columns, cells)
+    measured = judged.observe(seen, F.count_if(~ignored_row()).alias("processed"), F.count_if(ignored_row()).alias("ignored"))
+    judged = save_bucketed(measured, "judged", ROW)
+    counts = dict(seen.get)
+    source = judged.select(ROW, "_cells.*")
+    records, ignored = split_judged(judged)
     timings = Timings(preprocessing_ms=int((time.perf_counter() - began) * 1000))
     began = time.perf_counter()
-    found = cluster_records(records, settings, reporter)
+    found = cluster_records(records, settings, reporter, counts)
     reporter.stage(7)
     loose = C.unclustered(records, found["members"])
     timings.clustering_ms = int((time.perf_counter() - began) * 1000)
     reporter.stage(8)
-    return Run(source, list(headers or columns), mapping, settings, records, ignored, unclustered=loose, timings=timings, extras=extras, **found)
+    return Run(source, list(headers or columns), mapping, settings, records, ignored, unclustered=loose, timings=timings, extras=extras, counts=counts, **found)

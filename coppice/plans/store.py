@@ -49,6 +49,7 @@ def save_run(path: str, run: Run) -> None:
         "mapping": run.mapping.to_dict(),
         "settings": run.settings.to_dict(),
         "timings": asdict(run.timings),
+        "counts": run.counts,
     }
     # written last: a folder with a manifest is a whole session
     line = spark.createDataFrame([(json.dumps(manifest),)], "value string")
@@ -64,6 +65,7 @@ def load_run(spark: SparkSession, path: str) -> Run:
         mapping=Mapping.from_dict(manifest["mapping"]),
         settings=Settings(**manifest["settings"]),
         timings=Timings(**manifest["timings"]),
+        counts=manifest.get("counts", {}),
         extras=spark.read.parquet(f"{path}/extras") if manifest.get("extras") else None,
         **tables,
     )

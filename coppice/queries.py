@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.functions import text as X
+from coppice.operators import bitmaps as B
 from coppice.operators import clusters as C
 from coppice.operators import explore as E
 from coppice.operators import features as T
 from coppice.operators import similarity as S
 from coppice.operators import thresholds as H
 from coppice.operators.components import connected_components
-from coppice.operators.records import HEADER_ROLES, ROW, Mapping, MappingError, build_records, normalize_header, suggest_mapping, validate_mapping
+from coppice.operators.records import ROW, Mapping, build_records
 from coppice.plans.analysis import Run, Settings, run_analysis
-from coppice.plans.progress import even_split
 from coppice.session import save, scratch_root, ship, spread
 from coppice.sources import tables as IO
 
@@ -30,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(minimum_cluster_size=2, similarity_percent=42, theme_similarity_percent=58)
 MAPPING = Mapping(0, 1, category=2, service=3)
 FILTERS = {"category": ["de", "fr"]}
+SOURCES = [f"src{i}" for i in range(0, 20, 2)]
 THRESHOLDS = (42, 58, 70)
 
 
@@ -167,10 +168,38 @@ def filtered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.filtered_group_counts(run.members, run.source, some_filter())
 
 
+def two_filters() -> E.FacetFilter:
+    return E.FacetFilter({k: set(v) for k, v in (FILTERS | {"service": SOURCES}).items()})
+
+
+def shown_bits(rows: DataFrame) -> DataFrame:
+    """Bitmaps of both facet columns, written once, and the rows that two active filters show."""
+    columns = ["category", "service"]
+    return B.visible_bits(save(B.facet_bitmaps(rows, columns), "facet-bitmaps"), two_filters(), columns)
+
+
+def visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.visible_count(shown_bits(incidents(spark, sf_dir)))
+
+
+def visible_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = analysis(spark, sf_dir)
+    return B.visible_members(run.members, shown_bits(run.source))
+
+
+def visible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = analysis(spark, sf_dir)
+    return B.visible_groups(run.members, shown_bits(run.source))
+
+
+def visible_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = analysis(spark, sf_dir)
+    return B.visible_groups(run.theme_rows, shown_bits(run.source), ("cluster_id", "theme_id"))
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = analysis(spark, sf_dir)
-    visible = some_filter().apply(E.processed_rows(run.source, run.records))
-    return E.run_summary(run.records, visible, run.ignored, run.clusters, run.unclustered)
+    return E.summary_of_run(run.counts, some_filter().apply(E.processed_rows(run.source, run.records)))
 
 
 def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,32 +319,6 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "orders")).select("o_orderkey", X.duration_text(seconds).alias("duration"))
 
 
-HEADERS = ("INC Number", "INC Short Description", "Category", "Priority", "Assignment Group", "business_service", "CMDB-CI", "Opened At", "Comment", "Number")
-
-
-def header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised headers, the role each name has and whether the suggested mapping uses the column for it."""
-    role_of = {name: role for role, names in HEADER_ROLES.items() for name in names}
-    found, rows = suggest_mapping(HEADERS), []
-    for i, h in enumerate(HEADERS):
-        role = role_of.get(normalize_header(h))
-        rows.append((i, normalize_header(h), role, role is not None and getattr(found, role) == i))
-    return spark.createDataFrame(rows, "position int, normalized string, role string, used boolean")
-
-
-def mapping_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each case with its readiness, counts and first error."""
-    cases = (Mapping(), Mapping(0), Mapping(0, 1), Mapping(0, 9), Mapping(0, 1, (2, 7)), Mapping(0, 1, category=8), Mapping(0, 1, (3,), date=2, service=3))
-    rows = []
-    for i, m in enumerate(cases):
-        try:
-            error = validate_mapping(m, "abcd")
-        except MappingError as e:
-            error = str(e)
-        rows.append((i, m.ready, m.required_status, m.filter_count, m.mapped_count, error))
-    return spark.createDataFrame(rows, "id int, ready boolean, required string, filters int, mapped int, error string")
-
-
 def selected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is selected after some clicks: two languages off and one on again, sources searched, one picked."""
     values = facet_values(spark, sf_dir)
@@ -330,17 +333,6 @@ def selected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("column", "value", F.when(F.col("column") == "category", one["category"]).otherwise(one["service"]).alias("selected"))
 
 
-def work_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(u, w, i, n) for u in range(13) for w in range(1, 6) for i, n in enumerate(even_split(u, w))]
-    return spark.createDataFrame(rows, "units int, workers int, worker int, n int")
-
-
-def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("a.csv", "/x/B.XLSX", "c.xlsm", "d.xls", "e.txt", "/y/no_suffix")
-    rows = [(n, IO.is_excel(n), IO.default_export_path(n)) for n in names]
-    return spark.createDataFrame(rows, "path string, excel boolean, export string")
-
-
 QUERIES: dict[str, Query] = {
     "supplier_themes": supplier_themes,
     "supplier_theme_rows": supplier_theme_rows,
@@ -352,11 +344,7 @@ QUERIES: dict[str, Query] = {
     "csv_import": csv_import,
     "source_counts": source_counts,
     "durations": durations,
-    "header_roles": header_roles,
-    "mapping_checks": mapping_checks,
     "selected_values": selected_values,
-    "work_split": work_split,
-    "file_names": file_names,
     "records": valid_records,
     "ignored_rows": ignored_rows,
     "ignored_reasons": ignored_reasons,
@@ -385,6 +373,10 @@ QUERIES: dict[str, Query] = {
     "export_rows": exported,
     "result_tree": result_tree,
     "filtered_clusters": filtered_clusters,
+    "visible_records": visible_records,
+    "visible_members": visible_members,
+    "visible_groups": visible_groups,
+    "visible_themes": visible_themes,
     "facet_values": facet_values,
     "facet_search": facet_search,
     "facet_filter": facet_filter,

@@ -1,3 +1,9 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from coppice.operators import bitmaps as B
 from coppice.operators import explore as E
 from coppice.operators.export import cluster_lookup, with_metadata
 
@@ -62,3 +68,26 @@ def test_facets_details_and_summary(spark):
     got = E.run_summary(rows, rows.where("category = 'de'"), rows.limit(0), members.limit(1), rows.where("row_index = 2"))
     assert tuple(got.first()) == (4, 2, 0, 1, 1)
     assert E.source_preview(rows, 2).collect()[1].service == ""
+
+
+@pytest.mark.parametrize("chosen", [{}, {"category": ["de"]}, {"category": ["de", ""], "service": ["a", "c"]}, {"service": []}, {"nowhere": [""]}, {"nowhere": ["x"]}, {"category": ["xx"], "service": ["a"]}])
+def test_bitmaps_count_what_filters_show(spark, chosen):
+    """Rows at both ends of blocks and far apart; empty cells; columns that aren't there."""
+    rng = random.Random(1)
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 65537, 10**9, *rng.sample(range(2, 10**6), 200)]
+    rows = [(i, rng.choice(["de", "fr", "", None]), rng.choice("abc"), i % 3) for i in sorted(set(ids))]
+    df = spark.createDataFrame(rows, "row_index long, category string, service string, cluster_id long")
+    filters, columns = E.FacetFilter({k: set(v) for k, v in chosen.items()}), ["category", "service"]
+    bits = B.visible_bits(B.facet_bitmaps(df, columns), filters, columns)
+    expected = {r.row_index: r.cluster_id for r in filters.apply(df).collect()}
+    assert B.visible_count(bits).first().visible == len(expected)
+    members = df.select("cluster_id", "row_index")
+    assert {r.row_index for r in B.visible_members(members, bits).collect()} == set(expected)
+    counted = {r.cluster_id: r.visible for r in B.visible_groups(members, bits).collect()}
+    assert counted == {c: n for c in range(3) if (n := sum(x == c for x in expected.values()))}
+    assert {r.cluster_id: r.visible for r in E.filtered_group_counts(members, df, filters).collect()} == counted
+
+
+def test_summary_from_counts(spark):
+    got = E.summary_of_run({"processed": 9, "ignored": 1, "clusters": 2, "clustered": 5}, spark.range(3).where(F.lit(True)))
+    assert got.first().asDict() == {"processed": 9, "visible": 3, "ignored": 1, "clusters": 2, "unclustered": 4}

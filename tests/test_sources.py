@@ -90,8 +90,14 @@ def test_run_save_load_and_export(spark, tmp_path):
     events = []
     run = run_analysis(source.df, suggest_mapping(source.headers), Settings(minimum_cluster_size=3), source.headers, events.append)
     assert [e.step for e in events] == sorted(e.step for e in events) and events[-1].step == 8
+    assert run.counts == {"processed": 7, "ignored": 1, "clusters": 2, "clustered": 6}
+    plan = run.export()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "HashJoin" in plan
+    assert "Exchange hashpartitioning(row_index" not in plan
+    assert "Exchange" not in run.unclustered._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
     store.save_run(str(tmp_path / "run"), run)
     again = store.load_run(spark, str(tmp_path / "run"))
+    assert again.counts == run.counts
     for got in (run, again):
         rows = got.export().orderBy("row_index").collect()
         assert len(rows) == 7 and rows[0].cluster_code == "C0001" and rows[6].cluster_label == "Unclustered"
