@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.functions.text import bigrams, char_ngrams, feature_terms, normalize_text, tokens
 from coppice.operators.records import ROW
-from coppice.session import in_order, save
+from coppice.session import in_order, save, ship
 
 LEAST_DF = 2
 MOST_DF = 2000
+SLOT_BITS = 25  # the count table has so many bits' worth of slots, whatever the input
+CHUNK_SLOTS = 1 << 15
 
 
 def term_occurrences(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -18,8 +25,8 @@ def term_occurrences(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     return records.select(*keys, ROW, F.explode(feature_terms(F.col("analysis_text"))).alias("term"))
 
 
-def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row.
+def term_arrays(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, row_index, terms): the terms of each record without repeats.
 
     Windows come from each word once.  Words, pairs and windows never equal each other:
     only pairs have a space, only windows a colon.
@@ -29,10 +36,70 @@ def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
         records.select(*keys, ROW, tokens(normalize_text(F.col("analysis_text"))).alias("_words"))
         .select(*keys, ROW, "_words", F.array_distinct("_words").alias("_once"))
-        .select(*keys, ROW, F.explode(parts).alias("term"))
+        .select(*keys, ROW, parts.alias("terms"))
     )
 
 
+def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row."""
+    return term_arrays(records, keys).select(*keys, ROW, F.explode("terms").alias("term"))
+
+
+def slot_of(term: Column, keys: tuple[str, ...]) -> Column:
+    return F.xxhash64(*keys, term).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def slots_seen_twice(arrays: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (bits): of each slot of the count table, whether two records or more have a term in it.
+
+    Tasks count up to two in a table of fixed size and send the parts of it that aren't empty.
+    """
+    ship(arrays.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SLOT_BITS, np.uint8)
+        for batch in batches:
+            slots, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            table[slots] = np.minimum(table[slots] + np.minimum(n, 2), 2)
+        for at in range(0, len(table), CHUNK_SLOTS):
+            part = table[at : at + CHUNK_SLOTS]
+            if part.any():
+                bits = np.packbits(np.stack([part == 1, part == 2]), bitorder="little")
+                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK_SLOTS], pa.int32()), pa.array([zstandard.compress(bits.tobytes())])], ["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                once, twice = np.frombuffer(zstandard.decompress(value), np.uint8).reshape(2, -1)
+                before = found.setdefault(chunk, np.zeros((2, len(once)), np.uint8))
+                before[1] |= twice | (before[0] & once)
+                before[0] |= once
+        for chunk, (_, twice) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([twice.tobytes()])], ["chunk", "bits"])
+
+    schema, spark = "chunk int, bits binary", arrays.sparkSession
+    slots = arrays.select(F.transform("terms", lambda t: slot_of(t, keys)).alias("slots"))
+    parts = slots.mapInArrow(count, schema).repartition(spark.sparkContext.defaultParallelism, "chunk").mapInArrow(merge, schema)
+    whole = np.zeros((max(1, (1 << SLOT_BITS) // CHUNK_SLOTS), min(CHUNK_SLOTS, 1 << SLOT_BITS) // 8), np.uint8)
+    for row in parts.collect():  # of a fixed size
+        whole[row.chunk] = np.frombuffer(row.bits, np.uint8)
+    one = pa.table([pa.array([whole.ravel().view("<i8")], pa.list_(pa.int64()))], ["bits"])
+    return spark.createDataFrame(one)
+
+
+def repeating_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, row_index, term) without repeats and without most terms of a single record.
+
+    A term whose slot only one record has met is of that record alone, so it never
+    enters a shuffle; one that shares its slot with others passes and is counted like any.
+    """
+    arrays = save(term_arrays(records, keys), "term-arrays")
+    bits, slot = slots_seen_twice(arrays, keys).scalar(), slot_of(F.col("term"), keys)
+    met = F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return arrays.select(*keys, ROW, F.explode("terms").alias("term")).where(met)
+
+
 def term_frequency(records: DataFrame) -> DataFrame:
     """Rows (row_index, term, tf); texts move once, by row, and their many terms not at all."""
     dealt = records.select(ROW, "analysis_text").repartition(ROW)

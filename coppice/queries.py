@@ -243,7 +243,7 @@ def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.inverted_index(T.distinct_terms(records_of(spark, sf_dir)))
+    found = T.inverted_index(save(T.repeating_terms(records_of(spark, sf_dir)), "terms"))
     return found.select("term", "df", F.array_join(F.transform("rows", lambda r: r.cast("string")), ",").alias("rows"))
 
 
@@ -290,6 +290,10 @@ def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.valid_terms(T.repeating_terms(records_of(spark, sf_dir)))
+
+
+def capped_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of orders: priorities are on more records than the cap, customers' on few."""
     text = F.concat_ws(" ", "o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     records = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW), text.alias("analysis_text"))
@@ -340,6 +344,7 @@ QUERIES: dict[str, Query] = {
     "composed_texts": composed_texts,
     "sparse_vectors": sparse_vectors,
     "valid_terms": valid_terms,
+    "capped_terms": capped_terms,
     "numbered_rows": numbered_rows,
     "csv_import": csv_import,
     "source_counts": source_counts,

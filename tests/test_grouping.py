@@ -66,6 +66,25 @@ def test_frequent_terms_join_nothing(spark):
     assert got == {(5, 6)}
 
 
+@pytest.mark.parametrize("bits", [6, 9, 25])
+def test_terms_of_one_record_are_left_out_before_the_shuffle(spark, monkeypatch, bits):
+    """Small tables let more single terms through, never one fewer of the others."""
+    monkeypatch.setattr(T, "SLOT_BITS", bits)
+    monkeypatch.setattr(T, "CHUNK_SLOTS", 64)
+    rows = records(spark, [*some_texts(40), *(f"alone{i:03d}x word" for i in range(30)), ""]).withColumn("k", F.col("row_index") % 2).repartition(3)
+    for keys in ((), ("k",)):
+        every = {tuple(r) for r in T.distinct_terms(rows, keys).collect()}
+        kept = [tuple(r) for r in T.repeating_terms(rows, keys).collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= every
+        df = {}
+        for r in every:
+            df[(*r[: len(keys)], r[-1])] = df.get((*r[: len(keys)], r[-1]), 0) + 1
+        assert {r for r in every if df[(*r[: len(keys)], r[-1])] > 1} <= set(kept)
+        assert bits < 25 or len(kept) == sum(n for n in df.values() if n > 1)
+        valid = {tuple(r) for r in T.valid_terms(T.repeating_terms(rows, keys), keys).collect()}
+        assert valid == {(*t, n) for t, n in df.items() if n > 1}
+
+
 def test_features(spark):
     rows = records(spark, ["reset reset portal", "portal", ""])
     tf = {(r.row_index, r.term): r.tf for r in T.term_frequency(rows).collect()}
