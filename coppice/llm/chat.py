@@ -5,12 +5,18 @@ parsed into passages (runs of one level); each is normalised (case, white space,
 markers) and hashed: whole, by paragraphs, by lines and by neighbouring lines.
 Originals are hashed the same way, so a passage meets its original, or the part of
 it that it quotes, in an equi-join on two 64-bit hashes; a table of bits of fixed size
-keeps pieces that nobody quotes from moving.  For each piece the candidates are the
-conversation's own message before it and the earliest message of any conversation,
-so a text that a third of all messages share is one row a conversation, or one in
-all.  Of its candidates a passage links to the one that holds all of it, else most of
-its pieces; the conversation's own come first among equals.  Every passage keeps its
-link (``links``); a reply's parent is the original of its shallowest one.
+keeps pieces that nobody quotes from moving.  Every message that holds a piece is a
+candidate, those of other conversations and earlier turns of the own.  A passage links
+to the one that holds all of it, else most of its pieces; among equals the own
+conversation's last comes first, then the one of smallest (conv_id, turn).
+
+Pieces that many messages hold are not joined with all of them.  Messages met on rarer
+pieces are counted in whole, common pieces included.  Only where a message that holds
+nothing but common pieces could do as well are those looked at, as sets: messages with
+the same common pieces are one set, passages too, and sets are joined with sets; of a set
+the smallest places of two conversations and, inside the passage's conversation, the last
+one before it are all that can win.  Every passage keeps its link (``links``); a reply's
+parent is the original of its shallowest one.
 
 Conversations that quote each other, in any passage, form a thread.  Of the
 conversations that one quotes, it follows the one of smallest id; its depth is one
@@ -23,9 +29,8 @@ one row or task.
 Null texts count as empty and quote nothing; nulls in role give ``user``; rows
 that repeat (conv_id, turn) stay and are ordered by role and text; messages without
 conv_id or turn stay (those without conv_id as one thread without id) and link with
-nothing; a passage shorter than ``least_chars`` links only to a whole message of its
-conversation (1: every passage links like any other); a message never links to
-itself or a later turn of its own conversation.
+nothing; passages of any length link alike; a message never links to itself or a later
+turn of its own conversation.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.llm.common import arrow_map, table
@@ -43,7 +48,7 @@ from coppice.llm.ngram_join import bits_set, sieve
 from coppice.operators.components import connected_components
 from coppice.session import forget, save, ship, spread
 
-LEAST_CHARS = 12
+COMMON = 64  # messages that hold a piece; more of it: more candidates are counted one by one
 SIEVE_BITS = 26
 MARKS = re.compile(r"(?:\s{0,3}>)*")
 BLANKS = re.compile(r"[\s>]+")
@@ -71,16 +76,14 @@ def split_message(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in runs]
 
 
-def pieces(text: str, least_chars: int = LEAST_CHARS) -> dict[str, tuple[bool, bool]]:
-    """The whole text, its paragraphs, lines and neighbouring lines, each with (whole, short)."""
+def pieces(text: str) -> dict[str, bool]:
+    """The whole text (true), its paragraphs, lines and neighbouring lines."""
     whole = normalised(text)
     if not whole:
         return {}
-    if len(whole) < least_chars:
-        return {"\3" + whole: (True, True)}
     lines = [x for x in map(normalised, LINE_BREAKS.split(text)) if x]
     parts = [*map(normalised, PARAGRAPHS.split(text)), *lines, *(f"{x}\n{y}" for x, y in zip(lines, lines[1:], strict=False))]
-    return {x: (x == whole, False) for x in (whole, *parts) if len(x) >= least_chars}
+    return {x: x == whole for x in (whole, *parts) if x}
 
 
 def hashed(found: list[str]) -> np.ndarray:
@@ -104,29 +107,28 @@ def parse(messages: DataFrame) -> DataFrame:
     return arrow_map(messages.select("conv_id", "turn", "role", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_m"), "text"), one, schema)
 
 
-def asked_pieces(parsed: DataFrame, least_chars: int) -> DataFrame:
-    """Rows (passage, a, b, whole, short) of every quoted passage's pieces."""
+def asked_pieces(parsed: DataFrame) -> DataFrame:
+    """Rows (passage, a, b, whole) of every quoted passage's pieces."""
     kinds = dict(parsed.dtypes)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, texts, flags = [], [], []
         for r, text in enumerate(batch.column(5).to_pylist()):
-            for x, marks in pieces(text, least_chars).items():
+            for x, whole in pieces(text).items():
                 rows.append(r)
                 texts.append(x)
-                flags.append(marks)
-        h, marks = hashed(texts), np.array(flags, bool).reshape(-1, 2)
+                flags.append(whole)
         taken = batch.select(range(5)).take(pa.array(rows, pa.int64()))
-        arrays = [*taken.columns, *(pa.array(x.copy()) for x in (*h.T, *marks.T))]
-        return pa.RecordBatch.from_arrays(arrays, [*PASSAGE, "a", "b", "whole", "short"])
+        arrays = [*taken.columns, *(pa.array(x.copy()) for x in hashed(texts).T), pa.array(flags, pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, [*PASSAGE, "a", "b", "whole"])
 
     quoted = parsed.where("size(quotes) > 0 and conv_id is not null and turn is not null")
     passage = quoted.select("conv_id", "turn", "_m", F.posexplode("quotes").alias("pos", "q")).select("conv_id", "turn", "_m", "pos", "q.level", "q.body")
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, _m long, pos int, level int, a long, b long, whole boolean, short boolean"
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, _m long, pos int, level int, a long, b long, whole boolean"
     return arrow_map(passage, one, schema).distinct()
 
 
-def held_pieces(parsed: DataFrame, asked: DataFrame, least_chars: int) -> DataFrame:
+def held_pieces(parsed: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, a, b) of the pieces of messages that somebody quotes."""
     places = [F.shiftrightunsigned(c, 64 - SIEVE_BITS) for c in ("a", "b")]
     shared = parsed.sparkSession.sparkContext.broadcast(sieve(asked, SIEVE_BITS, *places))  # of a fixed size
@@ -135,7 +137,7 @@ def held_pieces(parsed: DataFrame, asked: DataFrame, least_chars: int) -> DataFr
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, texts = [], []
         for r, text in enumerate(batch.column(2).to_pylist()):
-            found = pieces(text, least_chars)
+            found = pieces(text)
             rows += [r] * len(found)
             texts += found
         h = hashed(texts)
@@ -149,38 +151,74 @@ def held_pieces(parsed: DataFrame, asked: DataFrame, least_chars: int) -> DataFr
     return found.distinct().join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
 
 
-def link(parsed: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def link(parsed: DataFrame, common: int = COMMON) -> DataFrame:
     """Rows (passage, to_conv, to_turn, far): the message each passage quotes."""
-    asked = save(asked_pieces(parsed, least_chars), "chat-asked")
-    parts = save(held_pieces(parsed, asked, least_chars), "chat-parts")
-    earliest = parts.groupBy("a", "b").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    # the last holder before each asking message, from one sorted pass over both
-    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in asked.dtypes if c in ("_m", "pos", "level")]
-    holders = parts.select("a", "b", "conv_id", "turn", *nothing, F.col("turn").alias("held"))
-    askers = asked.select("a", "b", "conv_id", "turn", "_m", "pos", "level", F.lit(None).cast(dict(parts.dtypes)["turn"]).alias("held"))
-    before = Window.partitionBy("a", "b", "conv_id").orderBy("turn", F.col("held").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    own = (
-        askers.unionByName(holders)
-        .withColumn("to_turn", F.max("held").over(before))
-        .where("held is null and to_turn is not null")
-        .select(*PASSAGE, F.col("conv_id").alias("to_conv"), "to_turn", F.lit(0).alias("far"))
-    )
-    other = asked.where("not short").join(earliest, ["a", "b"]).where("first.conv_id <> conv_id").select(
-        *PASSAGE, F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.lit(1).alias("far")
-    )
-    held = parts.select("a", "b", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
-    scored = (
-        own.unionByName(other)
-        .distinct()
-        .join(asked, list(PASSAGE))
-        .where("far = 0 or not short")
-        .join(held, ["a", "b", "to_conv", "to_turn"])
-        .groupBy(*PASSAGE, "to_conv", "to_turn", "far")
-        .agg(F.max("whole").alias("whole"), F.count("*").alias("matched"))
-    )
+    asked = save(asked_pieces(parsed), "chat-asked")
+    held = save(held_pieces(parsed, asked), "chat-held")
+    many = held.groupBy("a", "b").agg((F.count("*") > common).alias("common"))
+    asked = save(asked.join(many, ["a", "b"]), "chat-pieces")  # pieces that somebody holds
+    places = held.select("a", "b", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
+    earlier = (F.col("to_conv") != F.col("conv_id")) | (F.col("to_turn") < F.col("turn"))
+    rare = asked.where("not common").join(places, ["a", "b"]).where(earlier).select(*PASSAGE, "to_conv", "to_turn", "whole")
+    rare = save(rare.groupBy(*PASSAGE, "to_conv", "to_turn").agg(F.max("whole").alias("whole"), F.count("*").alias("matched")), "chat-met")
+    shared = rare.join(asked.where("common").drop("whole"), list(PASSAGE)).join(places, ["a", "b", "to_conv", "to_turn"])
+    more = shared.groupBy(*PASSAGE, "to_conv", "to_turn").agg(F.count("*").alias("_more"))
+    scored = rare.join(more, [*PASSAGE, "to_conv", "to_turn"], "left").withColumn("matched", F.col("matched") + F.coalesce("_more", F.lit(0))).drop("_more")
+    # the whole of a passage may be a common piece of a message met on a rarer one
+    at_whole = asked.where("common and whole").select(*PASSAGE, "a", "b").join(places, ["a", "b"]).join(rare.drop("whole", "matched"), [*PASSAGE, "to_conv", "to_turn"], "left_semi")
+    scored = scored.join(at_whole.select(*PASSAGE, "to_conv", "to_turn", F.lit(True).alias("_whole")), [*PASSAGE, "to_conv", "to_turn"], "left")
+    scored = save(scored.withColumn("whole", F.col("whole") | F.coalesce("_whole", F.lit(False))).drop("_whole"), "chat-scored")
+    candidates = scored.unionByName(common_candidates(asked, places, scored))
+    ranked = candidates.withColumn("far", (F.col("to_conv") != F.col("conv_id")).cast("int"))
+    return ranked.groupBy(*PASSAGE).agg(F.min_by(F.struct("to_conv", "to_turn", "far"), worse()).alias("p")).select(*PASSAGE, "p.*")
+
+
+def worse() -> Column:
+    """The order of a passage's candidates (to_conv, to_turn, whole, matched, far), the best first."""
     nearest = F.when(F.col("far") == 0, -F.col("to_turn")).otherwise(F.lit(0))
-    worse = F.struct(~F.col("whole"), F.when(F.col("whole"), 0).otherwise(-F.col("matched")), "far", nearest, "to_conv", "to_turn")
-    return scored.groupBy(*PASSAGE).agg(F.min_by(F.struct("to_conv", "to_turn", "far"), worse).alias("p")).select(*PASSAGE, "p.*")
+    return F.struct(~F.col("whole"), F.when(F.col("whole"), 0).otherwise(-F.col("matched")), "far", nearest, "to_conv", "to_turn")
+
+
+def common_candidates(asked: DataFrame, places: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rows (passage, to_conv, to_turn, whole, matched) of messages that hold only common pieces of a passage, where one might win."""
+    most = asked.where("common").groupBy(*PASSAGE).agg(F.count("*").alias("_most"), F.max("whole").alias("_whole"))
+    best = scored.groupBy(*PASSAGE).agg(F.max("matched").alias("_matched"), F.max("whole").alias("_held"))
+    settled = ~F.col("_whole") & (F.coalesce("_held", F.lit(False)) | (F.coalesce("_matched", F.lit(0)) > F.col("_most")))
+    open_ = most.join(best, list(PASSAGE), "left").where(~settled).select(*PASSAGE)
+    common = asked.where("common").join(open_, list(PASSAGE), "left_semi")
+    if common.isEmpty():
+        return scored.where(F.lit(False))
+    # sets are named by a digest of their pieces; a message's or passage's pieces are few
+    name = lambda *c: F.md5(F.to_json(F.struct(F.sort_array(F.collect_set(F.struct(*c))).alias("s"))))
+    asking = save(common.groupBy(*PASSAGE).agg(name("a", "b", "whole").alias("ask"), F.collect_set(F.struct("a", "b", "whole")).alias("_s")), "chat-asking")
+    asks = asking.groupBy("ask").agg(F.first("_s").alias("_s")).select("ask", F.explode("_s").alias("_p")).select("ask", "_p.*")
+    wanted = common.select("a", "b").distinct()
+    holding = places.join(wanted, ["a", "b"], "left_semi").groupBy("to_conv", "to_turn").agg(name("a", "b").alias("hold"), F.collect_set(F.struct("a", "b")).alias("_s"))
+    holding = save(holding, "chat-holding")
+    holds = holding.groupBy("hold").agg(F.first("_s").alias("_s")).select("hold", F.explode("_s").alias("_p")).select("hold", "_p.*")
+    met = save(asks.join(holds, ["a", "b"]).groupBy("ask", "hold").agg(F.max("whole").alias("whole"), F.count("*").alias("matched")), "chat-sets")
+    # other conversations: the smallest places of two, one of which isn't the passage's own
+    place = F.struct("to_conv", "to_turn")
+    score = F.struct(~F.col("whole"), F.when(F.col("whole"), 0).otherwise(-F.col("matched")), "to_conv", "to_turn")
+    first = save(holding.groupBy("hold").agg(F.min(place).alias("p")), "chat-first")
+    second = holding.join(first, "hold").where("to_conv <> p.to_conv").groupBy("hold").agg(F.min(place).alias("p"))
+    two = met.join(first.unionByName(second), "hold").select("ask", "whole", "matched", "p.*")
+    top = F.min_by(F.struct("to_conv", "to_turn", "whole", "matched"), score).alias("p")
+    one = save(two.groupBy("ask").agg(top), "chat-far")
+    other = two.join(one.select("ask", F.col("p.to_conv").alias("_first")), "ask").where("to_conv <> _first").groupBy("ask").agg(top)
+    far = asking.select(*PASSAGE, "ask").join(one.unionByName(other), "ask").where("p.to_conv <> conv_id").select(*PASSAGE, "p.*")
+    # the own conversation: the last message before the passage of each set, from one sorted pass
+    here = holding.select(F.col("to_conv").alias("conv_id"), "hold").distinct()
+    own = asking.select(*PASSAGE, "ask").join(met, "ask").join(here, ["conv_id", "hold"])
+    asked_rows = own.select(*PASSAGE, "hold", "whole", "matched", F.lit(None).cast(dict(places.dtypes)["to_turn"]).alias("held"))
+    held_rows = holding.join(own.select(F.col("conv_id").alias("to_conv"), "hold").distinct(), ["to_conv", "hold"], "left_semi")
+    kinds = dict(asked_rows.dtypes)
+    blank = [F.lit(None).cast(kinds[c]).alias(c) for c in ("_m", "pos", "level", "whole", "matched")]
+    held_rows = held_rows.select(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"), "hold", *blank, F.col("to_turn").alias("held"))
+    before = Window.partitionBy("conv_id", "hold").orderBy("turn", F.col("held").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    last = asked_rows.unionByName(held_rows).withColumn("to_turn", F.max("held").over(before)).where("held is null and to_turn is not null")
+    near = last.select(*PASSAGE, F.col("conv_id").alias("to_conv"), "to_turn", "whole", "matched")
+    return far.unionByName(near)
 
 
 def roots_by_doubling(parents: DataFrame) -> DataFrame:
@@ -220,11 +258,11 @@ def conversation_depths(edges: DataFrame) -> DataFrame:
     )
 
 
-def build_threads(messages: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def build_threads(messages: DataFrame) -> DataFrame:
     """One row a message: thread_id, position, parent, all links, role, text without quotes."""
     ship(messages.sparkSession)
     parsed = save(parse(messages.select("conv_id", "turn", "role", "text")), "chat-parsed")
-    links = save(link(parsed, least_chars), "chat-links")
+    links = save(link(parsed), "chat-links")
     across = links.where("conv_id <> to_conv").select("conv_id", "to_conv").distinct()
     if across.isEmpty():
         placed = parsed.withColumns({"thread_id": F.col("conv_id"), "depth": F.lit(0)})

@@ -1,3 +1,5 @@
+import pytest
+
 from coppice.llm import chat as C
 from coppice.llm import html as H
 
@@ -155,7 +157,7 @@ def test_quotes_link_to_originals(spark):
         (2, 0, "user", "> > How do I reset the PASSWORD of   the portal?\n> Open the settings.\n> Then press reset and wait.\nSame here"),
         (2, 1, "assistant", None),
         (3, 0, "user", "alone > not a quote"),
-        (4, 0, "user", "> Same here\ntoo short to link"),
+        (4, 0, "user", "> Same here\nshort quotes link alike"),
         (1, 2, None, "> Then press reset and wait.\nThat fails."),
     ]
     got = C.build_threads(messages(spark, rows).selectExpr("*", "0 as thread_id", "1 as level"))
@@ -165,7 +167,7 @@ def test_quotes_link_to_originals(spark):
     assert got[1, 2].text == "That fails." and (got[1, 2].parent_conv, got[1, 2].parent_turn) == (1, 1)
     assert got[1, 4].text == "Same here" and (got[1, 4].parent_conv, got[1, 4].parent_turn, got[1, 4].depth) == (1, 1, 1)
     assert got[1, 5].text == "" and got[1, 2].role == "user"
-    assert got[3, 0].quotes == 0 and got[4, 0].parent_conv is None and got[4, 0].text == "too short to link"
+    assert got[3, 0].quotes == 0 and (got[1, 6].parent_conv, got[1, 6].depth) == (2, 2) and got[1, 6].text == "short quotes link alike"
 
 
 def test_cycles_and_chains_of_conversations(spark):
@@ -190,7 +192,7 @@ def test_parts_of_a_message_link(spark):
         (7, 0, "user", "> Yes, please\nNot mine."),
     ]
     got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in C.build_threads(messages(spark, rows)).collect()}
-    assert got[3, 0] == (2, 0) and got[5, 0] == (4, 0) and got[6, 1] == (6, 0) and got[7, 0] == (None, None)
+    assert got[3, 0] == (2, 0) and got[5, 0] == (4, 0) and got[6, 1] == (6, 0) and got[7, 0] == (6, 0)
 
 
 def test_every_passage_keeps_its_link(spark):
@@ -223,48 +225,56 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert rounds.count("chat-roots") < 25
 
 
-def brute_links(rows, least):
-    """The message each passage quotes, by comparing all pieces of all messages."""
-    held = [(c, t, C.pieces(C.split_message(x)[0], least)) for c, t, _, x in rows]
+def brute_links(rows):
+    """The message each passage quotes: of all other conversations' messages and all earlier ones of its own, whichever holds most."""
+    held = {(c, t): set() for c, t, _, _ in rows}
+    for c, t, _, x in rows:
+        held[c, t] |= set(C.pieces(C.split_message(x)[0]))
     found = {}
     for c, t, _, x in rows:
         for pos, (level, body) in enumerate(C.split_message(x)[1]):
-            asked = C.pieces(body, least)
-            candidates = set()
-            for piece, (_, short) in asked.items():
-                on = [(c2, t2) for c2, t2, p in held if piece in p]
-                mine = [t2 for c2, t2 in on if c2 == c and t2 < t]
-                if mine:
-                    candidates.add((0, c, max(mine)))
-                if on and not short and min(on)[0] != c:
-                    candidates.add((1, *min(on)))
-            ranked = []
-            for far, c2, t2 in candidates:
-                theirs = set().union(*(p for c3, t3, p in held if (c3, t3) == (c2, t2)))
-                common = [p for p, (_, short) in asked.items() if p in theirs and (far == 0 or not short)]
-                whole = any(asked[p][0] for p in common)
-                ranked.append((not whole, 0 if whole else -len(common), far, -t2 if far == 0 else 0, c2, t2))
+            asked, ranked = C.pieces(body), []
+            for (c2, t2), theirs in held.items():
+                common = [p for p in asked if p in theirs]
+                if common and (c2 != c or t2 < t):
+                    whole, far = any(asked[p] for p in common), c2 != c
+                    ranked.append((not whole, 0 if whole else -len(common), far, 0 if far else -t2, c2, t2))
             if ranked:
                 found[c, t, pos, level] = min(ranked)[-2:]
     return found
 
 
-def test_links_equal_brute_force(spark):
+def quoting_messages(seed, conversations=9, turns=4):
+    """Trimmed and nested quotes, passages of any length, and two lines that every third message has."""
     import random
 
-    rng = random.Random(3)
-    lines = [f"sentence {k} about {k % 4} things" for k in range(12)] + ["yes", "thank you"]
+    rng = random.Random(seed)
+    lines = [f"sentence {k} about {k % 4} things" for k in range(14)] + ["yes", "a", "thank you"]
+    often = ["Best regards", "Sent from my phone"]
     rows = []
-    for c in range(9):
-        for t in range(4):
+    for c in range(conversations):
+        for t in range(turns):
             parts = []
             for _ in range(rng.randint(0, 3)):
                 marks = "> " * rng.randint(1, 3)
-                parts += [marks + x for x in rng.sample(lines, rng.randint(1, 3))] + rng.sample(lines, rng.randint(0, 1))
-            rows.append((c, t, "user", "\n".join([*parts, *rng.sample(lines, rng.randint(0, 3))])))
-    for least in (12, 1):
-        got = C.link(C.parse(messages(spark, rows)), least).collect()
-        assert {(r.conv_id, r.turn, r.pos, r.level): (r.to_conv, r.to_turn) for r in got} == brute_links(rows, least)
+                quoted = rng.sample(lines, rng.randint(0, 3)) + rng.sample(often, rng.choice([0, 0, 1, 2]))
+                parts += [marks + x for x in quoted] + rng.sample(lines, rng.randint(0, 1))
+            rows.append((c, t, "user", "\n".join([*parts, *rng.sample(lines, rng.randint(0, 3)), *rng.sample(often, rng.choice([0, 0, 1, 2]))])))
+    return rows
+
+
+@pytest.mark.parametrize("common", [0, 2, 5, 64])
+def test_links_equal_brute_force(spark, common):
+    for seed in (3, 4):
+        rows = quoting_messages(seed)
+        got = C.link(C.parse(messages(spark, rows)), common).collect()
+        assert {(r.conv_id, r.turn, r.pos, r.level): (r.to_conv, r.to_turn) for r in got} == brute_links(rows)
+
+
+def test_the_message_that_holds_both_lines_wins(spark):
+    rows = [(1, 0, "user", "A"), (2, 0, "user", "C"), (3, 0, "user", "A\nB\nC"), (4, 0, "user", "> A\n> C\nnew")]
+    got = {r.conv_id: r for r in C.build_threads(messages(spark, rows)).collect()}
+    assert (got[4].parent_conv, got[4].parent_turn) == (3, 0) and got[4].thread_id == 3
 
 
 def test_empty_conversations(spark):
