@@ -9,15 +9,17 @@ most pages, make the host's template, ordered by mean position; on a page, a cla
 is valid if its tokens appear in that order, round by round, and each round nests
 inside one slot of the classes before it.
 
-The slots between template tokens are what the template leaves open; text of the
-template (on most pages of the host, three or more, and not only on copies of one)
-is left out wherever it is.  Slots inside ``article`` or ``main`` are the main text;
-without such an element, all that no boilerplate element encloses.  Inside them
-nested boilerplate (menus, adverts, forms, comments, scripts and the like, by
-element, role, class or id) is left out, the rest becomes blocks; open elements
-and blocks are told from all tags of the page, the template's or not.  A page
-that fits no template, or that is all template (pages of a host that repeat each
-other), is read by the same rules with all its text.
+The slots between template tokens are what the template leaves open, and text in them
+is the page's own; text of the template is on most pages of the host, three or more,
+and not only on copies of one.  The article is an ``article`` or ``main`` element with
+text of its own (one that is all template, such as a teaser, is left out where another
+has some); without such an element it is the smallest element that holds nearly all of
+the page's own text, or, where only the whole page does, what lies between the first and
+the last slot that isn't empty.  Inside the article nothing is dropped because it repeats on
+other pages, headings for one; left out are elements that are boilerplate by their
+kind, role or whole class or id name (menus, adverts, forms, comments, scripts and the
+like), the rest becomes blocks; open elements and blocks are told from all tags.  A page
+that fits no template, or that is all template, is read by the same rules with all its text.
 
 Null and empty pages give an empty text; a null url is a host of its own; tags
 that are never closed end with what encloses them; a null id stays null, repeated
@@ -65,10 +67,17 @@ MAIN = {"article", "main"}
 HOLDERS = {*MAIN, "section", "div"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-ASIDE_WORDS = re.compile(
-    r"(?:^|\s)side(?:$|\s)|(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|footer|masthead|ad|ads|advert\w*|adbox|adsense|promo\w*|sponsor\w*"
-    r"|cookie\w*|notices?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social"
-    r"|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|breadcrumbs?|pagination|pager|toolbar|widget|banner|alert)(?:$|[\s_-])"
+MAIN_SHARE = 0.8  # of a page's own text that its article holds at least
+#: Names of boilerplate: a class or id is one if each of its words is here or below, and one here.
+ASIDE_NAMES = set(
+    "nav navbar navigation menu side sidebar footer masthead ad ads advert adverts advertisement advertising adbox adsense promo promos promotion "
+    "sponsor sponsors sponsored cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "share shares sharing social related recommended recommendations comment comments commentlist disqus reply replies breadcrumb breadcrumbs "
+    "pagination pager toolbar widget widgets banner alert alerts".split()
+)
+HOLDER_NAMES = set(
+    "area bar block body bottom box button buttons container content div group header holder icon icons inner item items left link links list "
+    "main message outer page panel post posts right section site text thread title tools top wrap wrapper".split()
 )
 
 
@@ -131,7 +140,13 @@ def aside(name: str, raw: str) -> bool:
         return True
     if name in MAIN or name in ("body", "html"):
         return False
-    return any(ASIDE_WORDS.search(own.get(k, "").lower()) for k in ("class", "id"))
+    return any(boilerplate_name(x) for k in ("class", "id") for x in own.get(k, "").lower().split())
+
+
+def boilerplate_name(name: str) -> bool:
+    """Whether a class or id names boilerplate as a whole: ``share-buttons`` does, ``share-price`` and ``side-by-side`` don't."""
+    words = [w for w in re.split(r"[_\d-]+", name) if w]
+    return any(w in ASIDE_NAMES for w in words) and all(w in ASIDE_NAMES or w in HOLDER_NAMES for w in words)
 
 
 def articled(raw: str) -> bool:
@@ -219,18 +234,18 @@ def skeleton(tokens: list[tuple[str, str, str]], classes: list[list[str]]) -> li
 def main_text(page: str | None, classes: list[list[str]] | None) -> str:
     tokens = parse(page or "")
     fixed = {i for i in skeleton(tokens, classes or []) if tokens[i][0] == "text"}
-    inside = own_slots(tokens)
-    return "\n\n".join(blocks(tokens, inside, fixed) or blocks(tokens, inside, set()))
+    own = [i for i, (kind, _, raw) in enumerate(tokens) if kind == "text" and i not in fixed and not raw.isspace()]
+    inside = main_elements(tokens)
+    if not inside:
+        return "\n\n".join(blocks(tokens, *slot_region(tokens, own, bool(fixed))))
+    filled = [(a, b) for a, b in inside if bisect(own, b) > bisect(own, a)]
+    return "\n\n".join(blocks(tokens, filled or inside, False))
 
 
-def own_slots(tokens: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
-    """Ranges of tokens of the page's main elements, else all of it."""
-    starts = [i for i, (kind, name, _) in enumerate(tokens) if kind == "open" and name in MAIN]
-    if not starts:
-        return [(0, len(tokens))]
+def main_elements(tokens: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
+    """Ranges of tokens of the page's outermost main elements."""
     out, depth, start = [], 0, 0
-    for i in range(starts[0], len(tokens)):
-        kind, name, _ = tokens[i]
+    for i, (kind, name, _) in enumerate(tokens):
         if name in MAIN:
             if kind == "open":
                 start = i if depth == 0 else start
@@ -242,8 +257,39 @@ def own_slots(tokens: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
     return [*out, (start, len(tokens))] if depth else out
 
 
-def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fixed: set[int]) -> list[str]:
-    """Blocks of the tokens inside the ranges, nested boilerplate and the text at ``fixed`` left out."""
+def slot_region(tokens: list[tuple[str, str, str]], own: list[int], template: bool) -> tuple[list[tuple[int, int]], bool]:
+    """The range of tokens with nearly all of the page's own text, and whether it is one element; all of the page without a template."""
+    open_: list[tuple[str, int]] = []
+    around: dict[int, list[tuple[int, str]]] = {}
+    ends: dict[int, int] = {}
+    mine = set(own)
+    for i, (kind, name, raw) in enumerate(tokens):
+        if kind == "open" and (name in HOLDERS or name in ASIDE) and not raw.endswith("/>"):
+            open_.append((name, i))
+        elif kind == "close" and any(name == n for n, _ in open_):
+            while True:
+                n, at = open_.pop()
+                ends[at] = i
+                if n == name:
+                    break
+        elif i in mine:
+            around[i] = [(at, n) for n, at in open_]
+    weight: Counter = Counter()
+    outside = [i for i in own if not any(aside(tokens[at][1], tokens[at][2]) for at, _ in around[i])]
+    for i in outside:
+        for at, _ in around[i]:  # none of them is boilerplate
+            weight[at] += len(tokens[i][2])
+    total = sum(len(tokens[i][2]) for i in outside)
+    if not template or not total:
+        return [(0, len(tokens))], True
+    holding = [at for at, w in weight.items() if w >= MAIN_SHARE * total]
+    if holding:
+        return [(max(holding), ends.get(max(holding), len(tokens)))], False
+    return [(outside[0], outside[-1] + 1)], True
+
+
+def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], of_page: bool) -> list[str]:
+    """Blocks of the tokens inside the ranges, nested boilerplate left out; in a range of the page, not of an article, headers too."""
     out: list[str] = []
     now: list[str] = []
     skipped, depth = None, 0
@@ -256,7 +302,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fi
         now.clear()
 
     for start, end in inside:
-        for i, (kind, name, raw) in enumerate(tokens[start:end], start):
+        for kind, name, raw in tokens[start:end]:
             if skipped is not None:
                 if name == skipped:
                     depth += (kind == "open") - (kind == "close")
@@ -265,7 +311,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fi
                     skipped = None
                 continue
             if kind == "text":
-                now.append(" " if i in fixed else raw)
+                now.append(raw)
                 continue
             if name in HOLDERS:
                 if kind == "open":
@@ -274,7 +320,7 @@ def blocks(tokens: list[tuple[str, str, str]], inside: list[tuple[int, int]], fi
                 elif any(name == n for n, _ in around):
                     while around.pop()[0] != name:
                         pass
-            site_head = name == "header" and not (around and around[-1][1])
+            site_head = of_page and name == "header" and not (around and around[-1][1])
             if kind == "open" and name not in VOID and (site_head or aside(name, raw)):
                 if name in BLOCKS or name in ASIDE:
                     flush()

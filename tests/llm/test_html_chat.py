@@ -43,11 +43,42 @@ def test_template_text_is_left_out(spark):
     pages = [(f"http://a.x/{i}", NEUTRAL.format("<article>" + body.format(i) + "</article>")) for i in range(4)]
     pages += [(f"http://b.x/{i}", NEUTRAL.format("<div class=text>" + body.format(i) + "</div>")) for i in range(4)]
     got = read(spark, pages)
-    assert [got[i].text for i in range(8)] == [f"Body {i % 4} of this page.\n\nMore of {i % 4}" for i in range(8)]
+    assert [got[i].text for i in range(8)] == [f"Body {i % 4} of this page.\n\nMore of {i % 4}\n\nFiled under news" for i in range(8)]
     copies = read(spark, [("http://c.x/", pages[0][1])] * 3 + [("http://d.x/", pages[0][1])])
     assert all(r.text == "Body 0 of this page.\n\nMore of 0\n\nFiled under news" for r in copies.values())
 
 
+def test_an_article_keeps_what_repeats_and_what_only_sounds_like_boilerplate(spark):
+    """However many neighbours a page has."""
+    recipe = "<article><h1>Dish {0}</h1><h2>Ingredients</h2><p>Flour {0}</p><h2>Method</h2><p>Bake {0}</p></article>"
+    report = "<article><h1>Market</h1><div class='share-price'>Up {0}</div><section class='social-history'>Of {0}</section><div class='share-buttons'>Tell</div><p>End.</p></article>"
+    teaser = "<article class=x><p>Read our best stories</p></article><article><p>Own {0}</p></article>"
+    for n in (1, 2, 4, 6):
+        pages = [(f"http://{h}.x/{i}", NEUTRAL.format(x.format(i))) for h, x in zip("abc", (recipe, report, teaser), strict=True) for i in range(n)]
+        got = read(spark, pages)
+        assert [got[i].text for i in range(n)] == [f"Dish {i}\n\nIngredients\n\nFlour {i}\n\nMethod\n\nBake {i}" for i in range(n)]
+        assert [got[n + i].text for i in range(n)] == [f"Market\n\nUp {i}\n\nOf {i}\n\nEnd." for i in range(n)]
+        assert n < 3 or [got[2 * n + i].text for i in range(n)] == [f"Own {i}" for i in range(n)]
+
+
+def test_articles_come_from_the_slots_of_neutral_hosts(spark):
+    """Hosts whose names tell nothing: the article is known, only the template can find it."""
+    import random
+
+    rng, pages, expected = random.Random(8), [], []
+    for h in range(12):
+        first, last = [f"<div class=k{rng.randrange(9)}>Fixed {h} {k}</div>" for k in range(2)]
+        holder = rng.choice(["<div class=q{0}>{1}</div>", "<section>{1}</section>", "<div><div class=z>{1}</div></div>", "{1}"])
+        for i in range(rng.randint(3, 6)):
+            texts = [f"Opening {h} {i}", *rng.sample(["Ingredients", f"Words of {h} and {i}", f"More {i} {h}", "Filed alike"], 3), f"Ending {i} {h}"]
+            body = "".join(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>"]).format(t) for t in texts)
+            pages.append((f"http://h{h}.x/{i}", f"<html><body>{first}<p>Strip {h}</p>{holder.format(h, body)}<p>Tail {h}</p>{last}</body></html>"))
+            expected.append("\n\n".join(texts))
+    got = read(spark, pages)
+    assert [got[i].text for i in range(len(pages))] == expected
+    assert all(H.main_text(page, None) != text for (_, page), text in zip(pages, expected, strict=True))  # without the template
+
+
 def test_boilerplate_inside_the_article_ends_at_its_own_tag(spark):
     article = "<article><h1>Head {0}</h1><div class='share'>Tell all</div><p>Body {0}</p><div class='fig'>Figure {0}</div></article>"
     before = "<html><body><div class='x'>Other</div>{}<div>End</div></body></html>"
