@@ -7,6 +7,7 @@ saved wherever the cluster can write.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from coppice.session import save
 from coppice.sources.xlsx import write_workbook
 
 VERSION = 1
+FURTHER_CELLS = "Further Cells"
 TABLES = ("source", "records", "ignored", "clusters", "members", "themes", "theme_rows", "unclustered")
 
 
@@ -114,13 +116,35 @@ def load_json_run(spark: SparkSession, path: str) -> Run:
     )
 
 
+def distinct_names(headers: Sequence[str]) -> list[str]:
+    """Headers as column names that differ in any case: a repeated one gets its number, an empty one its place."""
+    taken: set[str] = set()
+    out = []
+    for place, header in enumerate(headers, 1):
+        base, n = header or f"Column {place}", 1
+        name = base
+        while name.lower() in taken:
+            n += 1
+            name = f"{base} ({n})"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def export_table(run: Run, path: str, kind: str = "parquet") -> None:
-    """The export in any format Spark writes, in parallel; columns carry the original headers where they are unique."""
-    rows = run.export()
-    headers = run.headers if len({h.lower() for h in [*run.headers, *METADATA_HEADERS]}) == len(run.headers) + 6 else run.columns
-    renamed = [F.col(f"`{c}`").alias(h) for c, h in zip([*run.columns, *METADATA], [*headers, *METADATA_HEADERS], strict=True)]
+    """The export in any format Spark writes, in parallel, in source order.
+
+    Columns carry the headers; a repeated header is numbered.  Cells beyond the headers that
+    a workbook would keep come last, as a JSON array in a column of their own.
+    """
+    rows, columns, headers = run.export(), [*run.columns, *METADATA], [*run.headers, *METADATA_HEADERS]
+    if run.extras is not None:
+        past = F.to_json(F.slice("cells", len(METADATA) + 1, F.size("cells"))).alias("_past")
+        rows = rows.join(run.extras.where(F.size("cells") > len(METADATA)).select(ROW, past), ROW, "left")
+        columns, headers = [*columns, "_past"], [*headers, FURTHER_CELLS]
+    renamed = [F.col(f"`{c}`").alias(h) for c, h in zip(columns, distinct_names(headers), strict=True)]
     writer = rows.select(ROW, *renamed).sort(ROW).drop(ROW).write.mode("overwrite")
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+    (writer.option("header", True).option("escape", '"') if kind == "csv" else writer).format(kind).save(path)
 
 
 def export_workbook(run: Run, path: str) -> int:

@@ -211,6 +211,15 @@ def test_themes_are_recomputed_inside_a_cluster_and_cut_at_ten(spark):
     assert sorted((r.theme_id, r["size"]) for r in got) == [(k, 2) for k in range(1, 11)]
 
 
+def test_clusters_beyond_the_largest_themed_size_are_one_theme(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_THEMED", 5)
+    members = spark.createDataFrame([(1, i, 6) for i in range(6)] + [(2, i, 5) for i in range(6, 11)] + [(3, i, 2) for i in (11, 12)], "cluster_id long, row_index long, size long")
+    rows = records(spark, [f"kind{i // 2 % 3} word{i // 2 % 3}" for i in range(13)])
+    got = sorted(tuple(r) for r in C.theme_members(rows, members, 2, 90).groupBy("cluster_id", "theme_id", "size").count().collect())
+    assert [r for r in got if r[0] != 2] == [(1, 1, 6, 6), (3, 1, 2, 2)]
+    assert sum(r[3] for r in got if r[0] == 2) == 5 and len([r for r in got if r[0] == 2]) > 1
+
+
 def test_label_templates(spark):
     texts = ["", "printer", "printer printer mailbox"]
     rows = records(spark, texts)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from coppice.operators.records import suggest_mapping
@@ -35,6 +37,14 @@ def test_cells_beyond_the_header_reach_the_workbook(spark, tmp_path):
         assert rows[0][2:] == list(store.METADATA_HEADERS)
         assert rows[2] == ["A2", "two text", "Unclustered", "Unclustered", "0", "", "", "0", "two\nlines", "", "e9"]
         assert rows[1][:2] == ["A1", "one text"] and len(rows[1]) == 8 and rows[3][:2] == ["A4", "four"]
+        store.export_table(got, str(tmp_path / "table"))
+        table = spark.read.parquet(str(tmp_path / "table"))
+        assert table.columns == ["Number", "Summary", *store.METADATA_HEADERS, store.FURTHER_CELLS]
+        assert [json.loads(r[-1]) if r[-1] else r[-1] for r in table.collect()] == [None, ["two\nlines", "", "e9"], None]
+
+
+def test_repeated_headers_are_numbered_in_tables():
+    assert store.distinct_names(["a", "A", "", "a", "b", "a (2)"]) == ["a", "A (2)", "Column 3", "a (3)", "b", "a (2) (2)"]
 
 
 def test_a_sheet_is_as_wide_as_its_cells(spark, tmp_path):
