@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions.text import bigrams, char_ngrams, feature_terms, normalize_text, tokens
 from coppice.operators.records import ROW
-from coppice.session import in_order, save, ship
+from coppice.session import in_order, save, save_bucketed, ship
 
 LEAST_DF = 2
 MOST_DF = 2000
@@ -25,24 +25,33 @@ def term_occurrences(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     return records.select(*keys, ROW, F.explode(feature_terms(F.col("analysis_text"))).alias("term"))
 
 
-def term_arrays(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (keys, row_index, terms): the terms of each record without repeats.
+def terms_of(words: Column, once: Column) -> Column:
+    """The terms of a text without repeats, from its words and its distinct words.
 
     Windows come from each word once.  Words, pairs and windows never equal each other:
     only pairs have a space, only windows a colon.
     """
-    words, once = F.col("_words"), F.col("_once")
-    parts = F.concat(once, F.array_distinct(bigrams(words)), F.array_distinct(char_ngrams(once)))
+    return F.concat(once, F.array_distinct(bigrams(words)), F.array_distinct(char_ngrams(once)))
+
+
+def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row."""
     return (
         records.select(*keys, ROW, tokens(normalize_text(F.col("analysis_text"))).alias("_words"))
         .select(*keys, ROW, "_words", F.array_distinct("_words").alias("_once"))
-        .select(*keys, ROW, parts.alias("terms"))
+        .select(*keys, ROW, F.explode(terms_of(F.col("_words"), F.col("_once"))).alias("term"))
     )
 
 
-def distinct_terms(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (keys, row_index, term) without repeats; no shuffle, repeats are inside a row."""
-    return term_arrays(records, keys).select(*keys, ROW, F.explode("terms").alias("term"))
+def term_arrays(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, row_index, terms): the terms of each record without repeats."""
+
+    def once(value: Column, use) -> Column:
+        # a variable of a function isn't computed again where it is used, a column of a projection may be
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    words = tokens(normalize_text(F.col("analysis_text")))
+    return records.select(*keys, ROW, once(words, lambda w: once(F.array_distinct(w), lambda o: terms_of(w, o))).alias("terms"))
 
 
 def slot_of(term: Column, keys: tuple[str, ...]) -> Column:
@@ -117,14 +126,15 @@ def valid_terms(terms: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST
 
 
 def tf_idf(records: DataFrame) -> DataFrame:
-    """Rows (row_index, term, tf, df, weight): tf * ln(1 + N / df) as 32-bit floats."""
-    tf = save(term_frequency(records), "term-frequency")
+    """Rows (row_index, term, tf, df, weight): tf * ln(1 + N / df) as 32-bit floats.
+
+    The long table is moved once, into buckets of terms: its count and the join with it stay there.
+    """
+    tf = save_bucketed(term_frequency(records), "term-frequency", "term", ordered=False)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = records.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
-    weight = F.col("tf") * F.log1p(F.col("total") / F.col("df"))
-    # one row of one number joins all others: an aggregate, not a pairing of rows
-    joined = tf.join(df, "term").join(F.broadcast(total))
-    return joined.select(ROW, "term", "tf", "df", weight.cast("float").alias("weight"))
+    total = records.agg(F.greatest(F.count("*"), F.lit(1)).alias("total")).scalar()
+    weight = F.col("tf") * F.log1p(total / F.col("df"))
+    return tf.join(df, "term").select(ROW, "term", "tf", "df", weight.cast("float").alias("weight"))
 
 
 def sparse_vectors(records: DataFrame) -> DataFrame:

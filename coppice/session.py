@@ -67,14 +67,15 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def save_bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
-    """Like ``save``, as a table in as many buckets of ``key`` as a shuffle has parts, each sorted by it.
+def save_bucketed(df: DataFrame, tag: str, key: str, ordered: bool = True) -> DataFrame:
+    """Like ``save``, as a table in as many buckets of ``key`` as a shuffle has parts, each sorted by it unless not ``ordered``.
 
     Tables saved so join on ``key`` where they lie: nothing is exchanged.
     """
     spark, name = df.sparkSession, f"coppice_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     path, n = f"{scratch_root(spark)}/coppice/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path)
+    (writer.sortBy(key) if ordered else writer).saveAsTable(name)
     out = spark.table(name)
     out._coppice_path, out._coppice_table = path, name
     return out
