@@ -26,7 +26,7 @@ class Settings:
     similarity_percent: int = 42
     theme_similarity_percent: int = 58
     most_document_frequency: int = MOST_DF
-    strategy: str = "overlap"
+    strategy: str = "collapse"
 
     def to_dict(self) -> dict:
         return asdict(self)
