@@ -4,8 +4,8 @@ Strategies with equal results.  ``overlap`` (default) orders the terms rare firs
 keeps lists of the first terms of each record only, ordered by set size.  On a list,
 two records are a candidate if their sizes allow the threshold and the term stands so
 early in both that the terms after it can still make up the overlap that is needed, and
-``SLACK`` more.  Tasks add up what a pair shares on their lists, Spark adds up the
-tasks, and the pair goes on only if it shares more than ``SLACK`` of these first terms:
+some more (``SLACK``, less for short records).  Tasks add up what a pair shares on their lists, Spark adds up the
+tasks, and the pair goes on only if it shares more than so many of these first terms:
 what it shares later could not reach the overlap without them.  Chance pairs share one
 or two rare terms and end here.  The rest are compared in whole, in blocks that hold each
 set once.  ``counts`` joins posting lists and counts shared terms a pair, in SQL's own terms.
@@ -27,6 +27,7 @@ from coppice.operators.records import ROW
 from coppice.session import save, ship
 
 SLACK = 16  # more of it: more pairs are met and fewer compared in whole
+SLACK_SHARE = 16  # of the terms needed, one in so many at most: short records would have all their terms on lists
 PART_ENTRIES = 1 << 19  # list entries of a task, about
 MOST_MET = 1 << 22  # meetings that a task expands, and shared terms that it adds up, at a time
 BLOCK_IDS = 1 << 21  # ids of the sets in one block of comparisons, about
@@ -88,7 +89,9 @@ def needed(n, m, percent: int):
 
 def list_entries(sets: DataFrame, percent: int, slack: int) -> DataFrame:
     """Rows (id, row_index, n, at) of the first terms of every set, those that a pair can be met on."""
-    first = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int")) + 1 + slack
+    # a pair needs no more terms than its smaller set has, so this covers the slack of any pair
+    more = F.least(F.lit(slack), F.expr(f"cast(n div {SLACK_SHARE} as int)"))
+    first = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int")) + 1 + more
     return sets.select(ROW, "n", F.posexplode(F.slice("ids", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "id")).select("id", ROW, "n", "at")
 
 
@@ -108,7 +111,7 @@ def met_on_lists(ids: np.ndarray, rows: np.ndarray, n: np.ndarray, at: np.ndarra
         x = np.repeat(np.arange(done, upto), k)
         y = np.repeat(low[done:upto] - np.cumsum(k) + k, k) + np.arange(k.sum())
         least = needed(n[x], n[y], percent)
-        more = np.minimum(slack, least - 1)
+        more = np.minimum(slack, least // SLACK_SHARE)
         near = (at[x] <= n[x] - least + more) & (at[y] <= n[y] - least + more)
         a, b = rows[x[near]], rows[y[near]]
         yield np.minimum(a, b), np.maximum(a, b), more[near]
@@ -129,7 +132,7 @@ def added_up(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 
 
 def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
-    """Rows (src, dst) of the pairs that share more than ``slack`` of their first terms, or all that they must share."""
+    """Rows (src, dst) of the pairs that share more of their first terms than their slack, at most ``slack``."""
     names = ["src", "dst", "shared", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
