@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.operators.features import MOST_DF, distinct_terms, valid_terms
+from coppice.functions.hashed import mix64
+from coppice.functions.packing import firsts, from_binary, packed, sorted_within, spans, unpacked
+from coppice.operators.features import LEAST_DF, MOST_DF, distinct_terms, valid_terms
 from coppice.operators.records import ROW
-from coppice.session import save, ship
+from coppice.operators.termsets import term_sets as packed_term_sets
+from coppice.session import release, save, ship
 
 SLACK = 16  # more of it: more pairs are met and fewer compared in whole
 SLACK_SHARE = 16  # of the terms needed, one in so many at most: short records would have all their terms on lists
@@ -32,6 +35,8 @@ PART_ENTRIES = 1 << 19  # list entries of a task, about
 MOST_MET = 1 << 22  # meetings that a task expands, and shared terms that it adds up, at a time
 BLOCK_IDS = 1 << 21  # ids of the sets in one block of comparisons, about
 LEADER_PAIRS = 1 << 17  # of one leader that are compared in one place, about
+HELD_ENTRIES = 1 << 20  # list entries that a task packs at a time, about
+PART_SCHEMA = "part int, ids binary, local binary, places binary, rows binary, sizes binary"
 EDGE_SCHEMA = "src long, dst long, shared long, n_src long, n_dst long"
 
 
@@ -70,16 +75,15 @@ def edges_by_counts(records: DataFrame, percent: int, keys: tuple[str, ...] = ()
 
 
 def term_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
-    """Rows (row_index, ids, n): sorted ids of valid terms, rare terms first.
+    """Rows (row_index, ids, n): sorted ids of valid terms, rare terms first, packed."""
+    return packed_term_sets(records, keys, LEAST_DF, most_df)
 
-    An id is a term's frequency above its place in the dictionary as written: in order
-    of frequency without sorting the dictionary.
-    """
-    terms = save(distinct_terms(records, keys), "terms")
-    place = F.monotonically_increasing_id()  # below 2**52 while the dictionary has at most 2**19 parts
-    dictionary = save(valid_terms(terms, keys, most=most_df).withColumn("id", F.shiftleft("df", 52).bitwiseOR(place)), "term-ids")
-    named = terms.join(dictionary.drop("df"), [*keys, "term"])
-    return named.groupBy(ROW).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids"))
+
+def saved_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+    """``term_sets``, written; what was shuffled for them is given back."""
+    sets = save(term_sets(records, keys, most_df), "term-sets")
+    release(records.sparkSession)
+    return sets
 
 
 def needed(n, m, percent: int):
@@ -87,12 +91,53 @@ def needed(n, m, percent: int):
     return np.maximum(1, -(-percent * (n + m) // (100 + percent)))
 
 
-def list_entries(sets: DataFrame, percent: int, slack: int) -> DataFrame:
-    """Rows (id, row_index, n, at) of the first terms of every set, those that a pair can be met on."""
+def first_entries(rows: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int, slack: int) -> tuple[np.ndarray, ...]:
+    """Columns (id, row, n, at) of the first terms of every set, those that a pair can be met on."""
     # a pair needs no more terms than its smaller set has, so this covers the slack of any pair
-    more = F.least(F.lit(slack), F.expr(f"cast(n div {SLACK_SHARE} as int)"))
-    first = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("int")) + 1 + more
-    return sets.select(ROW, "n", F.posexplode(F.slice("ids", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "id")).select("id", ROW, "n", "at")
+    first = n - np.maximum(1, -(-percent * n // 100)) + 1 + np.minimum(slack, n // SLACK_SHARE)
+    many = np.clip(first, 0, n)
+    places = spans(np.zeros(len(n), np.int64), many)
+    return ids[np.repeat(firsts(n), many) + places], np.repeat(rows, many), np.repeat(n, many), places
+
+
+def list_parts(sets: DataFrame, percent: int, slack: int, parts: int) -> DataFrame:
+    """Rows (part, entries, ...): entries of the lists that are dealt to a part, in compressed columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64)
+            held.append(first_entries(batch.column(0).to_numpy(), from_binary(batch.column(1), n), n, percent, slack))
+            many += len(held[-1][0])
+            if many >= HELD_ENTRIES:
+                yield from out(held)
+                held, many = [], 0
+        if many:
+            yield from out(held)
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, rows, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = sorted_within(part, ids)
+        ids, rows, n, at, part = ids[order], rows[order], n[order], at[order], part[order]
+        known, which = np.unique(rows, return_inverse=True)
+        size = np.zeros(len(known), np.int64)
+        size[which] = n
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[p], cuts[p + 1]
+            used, local = np.unique(which[a:b], return_inverse=True)
+            columns = packed(np.diff(ids[a:b], prepend=0)), packed(local), packed(at[a:b]), packed(np.diff(known[used], prepend=0)), packed(size[used])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], [x.split()[0] for x in PART_SCHEMA.split(", ")])
+
+    return sets.select(ROW, "ids", "n").mapInArrow(run, PART_SCHEMA)
+
+
+def read_part(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (id, row, n, at) of each row of ``list_parts``."""
+    for ids, local, at, rows, n in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        local = unpacked(local)
+        yield np.cumsum(unpacked(ids)), np.cumsum(unpacked(rows))[local], unpacked(n)[local], unpacked(at)
 
 
 def met_on_lists(ids: np.ndarray, rows: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, slack: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -136,7 +181,7 @@ def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
     names = ["src", "dst", "shared", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], []
+        waiting, held, part = [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
             columns = added_up(held)
@@ -154,16 +199,20 @@ def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
                 if sum(len(x[0]) for x in held) > MOST_MET:
                     yield from out()
 
+        def one_part() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            order = np.lexsort((columns[2], columns[0]))
+            yield from lists([x[order] for x in columns])
+
         for batch in batches:
-            waiting.append([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
-            if sum(len(x[0]) for x in waiting) >= PART_ENTRIES:
-                columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-                last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
-                waiting = [[x[last:] for x in columns]]
-                if last:
-                    yield from lists([x[:last] for x in columns])
-        if waiting and sum(len(x[0]) for x in waiting):
-            yield from lists([np.concatenate(x) for x in zip(*waiting, strict=True)])
+            for i, entries in enumerate(read_part(batch)):
+                if waiting and batch.column(0)[i].as_py() != part:
+                    yield from one_part()
+                part = batch.column(0)[i].as_py()
+                waiting.append(entries)
+        if waiting:
+            yield from one_part()
         if held:
             yield from out()
         if held:
@@ -172,7 +221,7 @@ def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
     spark = sets.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_ENTRIES))
-    entries = list_entries(sets, percent, slack).repartition(parts, "id").sortWithinPartitions("id", "n")
+    entries = list_parts(sets, percent, slack, parts).repartition(parts, "part").sortWithinPartitions("part")
     met = entries.mapInArrow(run, "src long, dst long, shared int, more int")
     summed = met.groupBy("src", "dst").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"))
     return summed.where("shared > more").select("src", "dst")
@@ -188,9 +237,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right[ROW].to_numpy()
-        lists = right["ids"].combine_chunks()
-        n = lists.value_lengths().to_numpy().astype(np.int64)
-        _, terms = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        n = right["n"].to_numpy().astype(np.int64)
+        _, terms = np.unique(from_binary(right["ids"], n), return_inverse=True)
         order = np.argsort(rows)
         src, dst = (order[np.searchsorted(rows, left[c].to_numpy(), sorter=order)] for c in ("src", "dst"))
         shared = shared_terms(terms, np.cumsum(n) - n, n, src, dst)
@@ -198,7 +246,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         columns = [rows[src], rows[dst], shared, n[src], n[dst]]
         return pa.table([pa.array(x[linked]) for x in columns], [f.split()[0] for f in EDGE_SCHEMA.split(", ")])
 
-    pairs_of, sets_of = dealt.select(block, "src", "dst").groupBy("block"), asked.select("block", ROW, "ids").groupBy("block")
+    pairs_of, sets_of = dealt.select(block, "src", "dst").groupBy("block"), asked.select("block", ROW, "ids", "n").groupBy("block")
     return pairs_of.cogroup(sets_of).applyInArrow(run, EDGE_SCHEMA)
 
 
@@ -208,6 +256,7 @@ def dealt_by_leader(pairs: DataFrame) -> DataFrame:
     Records that are all alike meet in one place, so that each of their sets is sent there once.
     """
     pairs = save(pairs, "edge-candidates")
+    release(pairs.sparkSession)
     ends = pairs.select(F.col("src").alias(ROW), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias(ROW), F.col("src").alias("other")))
     leaders = ends.groupBy(F.col(ROW).alias("src")).agg(F.min("other").alias("leader")).select("src", F.least("src", "leader").alias("leader"))
     led = pairs.join(leaders, "src")
@@ -242,7 +291,7 @@ def edges_of_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 def edges_by_overlap(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
     """Rows (src, dst, shared, n_src, n_dst)."""
-    return edges_of_sets(save(term_sets(records, keys, most_df), "term-sets"), percent)
+    return edges_of_sets(saved_sets(records, keys, most_df), percent)
 
 
 def linking_edges(
@@ -255,11 +304,12 @@ def linking_edges(
         return edges_by_counts(records, percent, keys, most_df).select("src", "dst")
     if strategy != "collapse":
         raise ValueError(f"no such strategy: {strategy}")
-    rows = save(term_sets(records, keys, most_df), "term-sets")
-    same = rows.groupBy("ids", "n").agg(F.min(ROW).alias("first"))
-    reps = save(same.select(F.col("first").alias(ROW), "ids", "n"), "term-set-classes")
+    rows = saved_sets(records, keys, most_df)
+    digests = rows.select(ROW, F.sha2("ids", 256).alias("digest"))
+    same = digests.groupBy("digest").agg(F.min(ROW).alias("first"), F.count("*").alias("many")).where("many > 1")
+    copies = save(digests.join(same, "digest").where(F.col(ROW) != F.col("first")).select("first", ROW), "term-set-copies")
+    reps = save(rows.join(copies.select(ROW), ROW, "left_anti"), "term-set-classes")
     joined = edges_of_sets(reps, percent).select("src", "dst")
     if percent > 100:
         return joined
-    copies = rows.join(same, ["ids", "n"]).where(F.col(ROW) != F.col("first"))
     return joined.unionByName(copies.select(F.col("first").alias("src"), F.col(ROW).alias("dst")))

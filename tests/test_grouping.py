@@ -259,3 +259,40 @@ def test_rare_pairs_end_before_they_are_compared(spark):
     sets = save(S.term_sets(records(spark, [t for t in texts for _ in (0, 1)])), "sets")
     found = {tuple(r) for r in S.candidates(sets, 42).collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(40)} < {tuple(r) for r in S.candidates(sets, 1, 0).collect()}
+
+
+def test_packed_sets_are_the_valid_terms_and_move_less_than_the_long_table(spark):
+    from coppice.functions.packing import from_binary
+
+    rng = random.Random(5)
+    words = ["straße", "élève", "日本語学習", "a", "é", "x1", "ΣΊΣΥΦΟΣ", "wort", "wörter", "the", "und"] + [f"w{i}" for i in range(60)]
+    texts = ["", "  ", "the und", "a", *[" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(80)]]
+    rows = records(spark, texts)
+    want = {}
+    for r in S.kept_terms(rows, most_df=30).collect():
+        want.setdefault(r.row_index, set()).add(r.term)
+    df = {r.term: r.df for r in T.document_frequency(T.distinct_terms(rows)).collect()}
+    sets = S.term_sets(rows, most_df=30)
+    got = sets.toArrow().to_pydict()
+    n = __import__("numpy").array(got["n"])
+    ids = iter(from_binary(__import__("pyarrow").array(got["ids"]), n).tolist())
+    found = {row: [next(ids) for _ in range(k)] for row, k in zip(got["row_index"], n, strict=True)}
+    assert {k: len(v) for k, v in want.items()} == {k: len(v) for k, v in found.items()}
+    for row, mine in found.items():
+        assert mine == sorted(set(mine)) and sorted(df[t] for t in want[row]) == [i >> 52 for i in mine]
+    for a, b in combinations(want, 2):
+        assert len(want[a] & want[b]) == len({*found[a]} & {*found[b]})
+    assert "Generate" not in sets._jdf.queryExecution().executedPlan().toString()  # no row a term
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_packed_numbers_come_back(size):
+    import numpy as np
+
+    from coppice.functions.packing import as_binary, from_binary, packed, unpacked
+
+    rng = np.random.default_rng(size)
+    n = rng.integers(0, 40, 50)
+    ids = np.concatenate([np.sort(rng.choice(1 << 12, k, replace=False)) << 50 | np.arange(k) ** 9 % (1 << 50) for k in n])
+    assert from_binary(as_binary(ids, n), n).tolist() == ids.tolist()
+    assert from_binary(as_binary(ids[:0], n[:0]), n[:0]).tolist() == [] and unpacked(packed(ids)).tolist() == ids.tolist()
