@@ -285,6 +285,12 @@ def test_packed_sets_are_the_valid_terms_and_move_less_than_the_long_table(spark
     assert "Generate" not in sets._jdf.queryExecution().executedPlan().toString()  # no row a term
 
 
+def test_packed_sets_are_keyed_and_their_sizes_cover_every_record(spark):
+    rows = records(spark, ["alpha beta"] * 3 + ["alpha gamma"] * 3 + [""]).withColumn("k", F.col("row_index") % 2)
+    want = {r.row_index: r.n for r in T.term_set_sizes(rows, S.kept_terms(rows, ("k",))).collect()}
+    assert {r.row_index: r.n for r in T.sizes_of_sets(rows, S.term_sets(rows, ("k",))).collect()} == want
+
+
 @pytest.mark.parametrize("size", [1, 2])
 def test_packed_numbers_come_back(size):
     import numpy as np
