@@ -27,7 +27,7 @@ from coppice.functions.packing import firsts, from_binary, packed, sorted_within
 from coppice.operators.features import LEAST_DF, MOST_DF, distinct_terms, valid_terms
 from coppice.operators.records import ROW
 from coppice.operators.termsets import term_sets as packed_term_sets
-from coppice.session import release, save, ship
+from coppice.session import forget, release, save, ship
 
 SLACK = 16  # more of it: more pairs are met and fewer compared in whole
 SLACK_SHARE = 16  # of the terms needed, one in so many at most: short records would have all their terms on lists
@@ -262,7 +262,9 @@ def dealt_by_leader(pairs: DataFrame) -> DataFrame:
     led = pairs.join(leaders, "src")
     many = led.groupBy("leader").agg(F.count("*").alias("many"))
     part = F.pmod(F.xxhash64("src"), F.lit(1) + F.expr(f"many div {LEADER_PAIRS}"))
-    return save(led.join(many, "leader").select("leader", part.alias("part"), "src", "dst"), "edge-groups")
+    dealt = save(led.join(many, "leader").select("leader", part.alias("part"), "src", "dst"), "edge-groups")
+    forget(pairs)
+    return dealt
 
 
 def shared_terms(terms: np.ndarray, starts: np.ndarray, n: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -309,7 +311,11 @@ def linking_edges(
     same = digests.groupBy("digest").agg(F.min(ROW).alias("first"), F.count("*").alias("many")).where("many > 1")
     copies = save(digests.join(same, "digest").where(F.col(ROW) != F.col("first")).select("first", ROW), "term-set-copies")
     reps = save(rows.join(copies.select(ROW), ROW, "left_anti"), "term-set-classes")
-    joined = edges_of_sets(reps, percent).select("src", "dst")
+    forget(rows)
+    release(records.sparkSession)
+    joined = save(edges_of_sets(reps, percent).select("src", "dst"), "linking-edges")
+    forget(reps)
+    release(records.sparkSession)
     if percent > 100:
         return joined
     return joined.unionByName(copies.select(F.col("first").alias("src"), F.col(ROW).alias("dst")))

@@ -15,7 +15,7 @@ from coppice.operators.features import MOST_DF
 from coppice.operators.records import ROW, Mapping, ignored_row, judged_rows, split_judged, validate_mapping
 from coppice.operators.similarity import linking_edges
 from coppice.plans.progress import Progress, Reporter
-from coppice.session import save, save_bucketed, ship
+from coppice.session import release, save, save_bucketed, ship
 
 
 @dataclass(frozen=True)
@@ -92,9 +92,11 @@ def cluster_records(
     members = save_bucketed(members.observe(clustered, F.count(F.lit(1)).alias("n")), "members", ROW)
     if counts is not None:
         counts.update(clusters=listed.get["n"], clustered=clustered.get["n"])
+    release(records.sparkSession)
     reporter.substep(5, 2, 2, "Sorting retained clusters")
     reporter.stage(6)
-    labels = C.labelled(found.select("cluster_id", "size"), members, records, ("cluster_id",))
+    labels = save(C.labelled(found.select("cluster_id", "size"), members, records, ("cluster_id",)), "cluster-labels")
+    release(records.sparkSession)
     theme_rows = save_bucketed(
         C.theme_members(
             records, members, s.minimum_cluster_size, s.theme_similarity_percent, s.most_document_frequency, s.strategy
@@ -102,10 +104,11 @@ def cluster_records(
         "theme-rows",
         ROW,
     )
+    release(records.sparkSession)
     sizes = theme_rows.groupBy("cluster_id", "theme_id").agg(F.first("size").alias("size"))
     themes = C.labelled(sizes, theme_rows, records, ("cluster_id", "theme_id"))
     return {
-        "clusters": save(labels, "cluster-labels"),
+        "clusters": labels,
         "members": members.select("cluster_id", ROW),
         "themes": save(themes, "theme-labels"),
         "theme_rows": theme_rows.select("cluster_id", "theme_id", ROW),
@@ -135,7 +138,11 @@ def run_analysis(
     cells, seen = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_cells"), Observation()
     judged = judged_rows(source, mapping, columns, cells)
     measured = judged.observe(seen, F.count_if(~ignored_row()).alias("processed"), F.count_if(ignored_row()).alias("ignored"))
-    judged = save_bucketed(measured, "judged", ROW)
+    # a text that is its description as it stands is written once
+    text, description = F.col("analysis_text"), F.coalesce(F.col("_cells").getField(columns[mapping.short_description]).cast("string"), F.lit(""))
+    judged = save_bucketed(measured.withColumn("analysis_text", F.when(text != description, text)), "judged", ROW)
+    release(spark)
+    judged = judged.withColumn("analysis_text", F.coalesce(text, description))
     counts = dict(seen.get)
     source = judged.select(ROW, "_cells.*")
     records, ignored = split_judged(judged)
