@@ -26,6 +26,7 @@ from coppice.functions.hashed import mix64
 from coppice.functions.packing import firsts, from_binary, packed, sorted_within, spans, unpacked
 from coppice.operators.features import LEAST_DF, MOST_DF, distinct_terms, valid_terms
 from coppice.operators.records import ROW
+from coppice.operators.termsets import saved_term_sets
 from coppice.operators.termsets import term_sets as packed_term_sets
 from coppice.session import forget, release, save, ship
 
@@ -81,9 +82,7 @@ def term_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOS
 
 def saved_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
     """``term_sets``, written; what was shuffled for them is given back."""
-    sets = save(term_sets(records, keys, most_df), "term-sets")
-    release(records.sparkSession)
-    return sets
+    return saved_term_sets(records, keys, LEAST_DF, most_df)
 
 
 def needed(n, m, percent: int):
