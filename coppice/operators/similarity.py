@@ -4,8 +4,8 @@ Strategies with equal results.  ``overlap`` (default) orders the terms rare firs
 keeps lists of the first terms of each record only, ordered by set size.  On a list,
 two records are a candidate if their sizes allow the threshold and the term stands so
 early in both that the terms after it can still make up the overlap that is needed, and
-some more (``SLACK``, less for short records).  Tasks add up what a pair shares on their lists, Spark adds up the
-tasks, and the pair goes on only if it shares more than so many of these first terms:
+some more (``SLACK``, less for short records).  Tasks add up what a pair shares on their lists and deal the pairs, in compressed
+columns, to tasks that add these up, and the pair goes on only if it shares more than so many of these first terms:
 what it shares later could not reach the overlap without them.  Chance pairs share one
 or two rare terms and end here.  The rest are compared in whole, in blocks that hold each
 set once.  ``counts`` joins posting lists and counts shared terms a pair, in SQL's own terms.
@@ -186,11 +186,18 @@ def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
             columns = added_up(held)
             held[:] = [tuple(columns)]
             if len(columns[0]) > MOST_MET // 2:
-                yield as_batch()
-
-        def as_batch() -> pa.RecordBatch:
-            columns = held.pop()
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], names)
+                yield from as_batches()
+
+        def as_batches() -> Iterator[pa.RecordBatch]:
+            src, dst, shared, more = held.pop()
+            part = (mix64(src.view(np.uint64) ^ mix64(dst.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")  # inside a part pairs stay in order of src
+            src, dst, shared, more = (x[order] for x in (src, dst, shared, more))
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                c = slice(cuts[p], cuts[p + 1])
+                columns = np.diff(src[c], prepend=0), dst[c] - src[c], shared[c], more[c]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in columns)], ["part", *names])
 
         def lists(whole: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for src, dst, more in met_on_lists(*whole, percent, slack):
@@ -215,15 +222,33 @@ def candidates(sets: DataFrame, percent: int, slack: int = SLACK) -> DataFrame:
         if held:
             yield from out()
         if held:
-            yield as_batch()
+            yield from as_batches()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, part = [], None
+
+        def one_part() -> pa.RecordBatch:
+            src, dst, shared, more = added_up(waiting)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x[shared > more]) for x in (src, dst)], names[:2])
+
+        for batch in batches:
+            for p, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and p != part:
+                    yield one_part()
+                part = p
+                src, dst, shared, more = map(unpacked, columns)
+                src = np.cumsum(src)
+                waiting.append((src, src + dst, shared, more))
+        if waiting:
+            yield one_part()
 
     spark = sets.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_ENTRIES))
     entries = list_parts(sets, percent, slack, parts).repartition(parts, "part").sortWithinPartitions("part")
-    met = entries.mapInArrow(run, "src long, dst long, shared int, more int")
-    summed = met.groupBy("src", "dst").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"))
-    return summed.where("shared > more").select("src", "dst")
+    met = entries.mapInArrow(run, "part int, src binary, dst binary, shared binary, more binary")
+    return met.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "src long, dst long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
