@@ -80,9 +80,9 @@ def term_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOS
     return packed_term_sets(records, keys, LEAST_DF, most_df)
 
 
-def saved_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+def saved_sets(records: DataFrame, keys: tuple[str, ...] = (), most_df: int = MOST_DF, turns: int = 1) -> DataFrame:
     """``term_sets``, written; what was shuffled for them is given back."""
-    return saved_term_sets(records, keys, LEAST_DF, most_df)
+    return saved_term_sets(records, keys, LEAST_DF, most_df, turns)
 
 
 def needed(n, m, percent: int):
@@ -315,22 +315,22 @@ def edges_of_sets(sets: DataFrame, percent: int) -> DataFrame:
     return compared(candidates(sets, percent), sets, percent)
 
 
-def edges_by_overlap(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF) -> DataFrame:
+def edges_by_overlap(records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, turns: int = 1) -> DataFrame:
     """Rows (src, dst, shared, n_src, n_dst)."""
-    return edges_of_sets(saved_sets(records, keys, most_df), percent)
+    return edges_of_sets(saved_sets(records, keys, most_df, turns), percent)
 
 
 def linking_edges(
-    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "overlap"
+    records: DataFrame, percent: int, keys: tuple[str, ...] = (), most_df: int = MOST_DF, strategy: str = "overlap", turns: int = 1
 ) -> DataFrame:
-    """Rows (src, dst) with the components of the full edge list, which needn't all be in it."""
+    """Rows (src, dst) with the components of the full edge list, which needn't all be in it; ``turns`` as for ``saved_term_sets``."""
     if strategy in ("overlap", "blocks", "prefix"):  # the last two are in saved settings
-        return edges_by_overlap(records, percent, keys, most_df).select("src", "dst")
+        return edges_by_overlap(records, percent, keys, most_df, turns).select("src", "dst")
     if strategy == "counts":
         return edges_by_counts(records, percent, keys, most_df).select("src", "dst")
     if strategy != "collapse":
         raise ValueError(f"no such strategy: {strategy}")
-    rows = saved_sets(records, keys, most_df)
+    rows = saved_sets(records, keys, most_df, turns)
     digests = rows.select(ROW, F.sha2("ids", 256).alias("digest"))
     same = digests.groupBy("digest").agg(F.min(ROW).alias("first"), F.count("*").alias("many")).where("many > 1")
     copies = save(digests.join(same, "digest").where(F.col(ROW) != F.col("first")).select("first", ROW), "term-set-copies")

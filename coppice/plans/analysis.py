@@ -17,6 +17,8 @@ from coppice.operators.similarity import linking_edges
 from coppice.plans.progress import Progress, Reporter
 from coppice.session import release, save, save_bucketed, ship
 
+TURNS = 3  # of hashing the texts of a run: more of them take time and less disk; beyond these, other steps take more disk
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -77,14 +79,17 @@ class Run:
 
 
 def cluster_records(
-    records: DataFrame, settings: Settings, reporter: Reporter | None = None, counts: dict[str, int] | None = None
+    records: DataFrame, settings: Settings, reporter: Reporter | None = None, counts: dict[str, int] | None = None, turns: int = 1
 ) -> dict[str, DataFrame]:
-    """Clusters, members, themes and theme rows of records (row_index, analysis_text); members and theme rows in buckets of rows."""
+    """Clusters, members, themes and theme rows of records (row_index, analysis_text); members and theme rows in buckets of rows.
+
+    Records of a saved table can be taken in ``turns``.
+    """
     reporter = reporter or Reporter()
     reporter.stage(3)
     reporter.substep(4, 1, 1, "Joining records on shared terms")
     s = settings
-    edges = save(linking_edges(records, s.similarity_percent, (), s.most_document_frequency, s.strategy), "edges")
+    edges = save(linking_edges(records, s.similarity_percent, (), s.most_document_frequency, s.strategy, turns), "edges")
     reporter.substep(5, 1, 2, "Merging similarity edges")
     found, members = C.cluster_members(C.members_by_component(records, edges), s.minimum_cluster_size)
     clustered, listed = Observation(), Observation()
@@ -148,7 +153,7 @@ def run_analysis(
     records, ignored = split_judged(judged)
     timings = Timings(preprocessing_ms=int((time.perf_counter() - began) * 1000))
     began = time.perf_counter()
-    found = cluster_records(records, settings, reporter, counts)
+    found = cluster_records(records, settings, reporter, counts, TURNS)
     reporter.stage(7)
     loose = C.unclustered(records, found["members"])
     timings.clustering_ms = int((time.perf_counter() - began) * 1000)

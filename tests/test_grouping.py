@@ -302,3 +302,30 @@ def test_packed_numbers_come_back(size):
     ids = np.concatenate([np.sort(rng.choice(1 << 12, k, replace=False)) << 50 | np.arange(k) ** 9 % (1 << 50) for k in n])
     assert from_binary(as_binary(ids, n), n).tolist() == ids.tolist()
     assert from_binary(as_binary(ids[:0], n[:0]), n[:0]).tolist() == [] and unpacked(packed(ids)).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("block", [40, 1 << 22])
+def test_sets_in_turns_are_the_same_and_a_turn_moves_its_share(spark, monkeypatch, block):
+    from coppice.operators import termsets as P
+
+    monkeypatch.setattr(P, "TURN_BYTES", 1)
+    monkeypatch.setattr(P, "BLOCK_TERMS", block)
+    rng = random.Random(9)
+    texts = ["", "x", *(" ".join(f"w{rng.randint(0, 300)}" for _ in range(20)) for _ in range(60))]
+    rows = save(records(spark, texts).repartition(3).withColumn("k", F.col("row_index") % 2), "records")
+    for keys in ((), ("k",)):
+        want = {tuple(r) for r in P.saved_term_sets(rows, keys, 2, 30).collect()}
+        assert {tuple(r) for r in P.saved_term_sets(rows, keys, 2, 30, turns=3).collect()} == want and len(want) == 60
+    ranges = P.hash_ranges(rows, P.text_bytes(rows))
+    bytes_of = lambda *turn: P.sent_by_block(rows, (), 30, ranges, *turn).agg(F.sum(F.length("hashes") + F.length("places"))).first()[0]
+    whole, shares = bytes_of(), [bytes_of(t, 3) for t in range(3)]
+    assert max(shares) < 0.7 * whole
+
+
+def test_turns_that_read_different_rows_fail(spark, monkeypatch):
+    from coppice.operators import termsets as P
+
+    monkeypatch.setattr(P, "TURN_BYTES", 1)
+    parts = [P.valid_by_block(records(spark, ["alpha beta gamma delta"] * n).coalesce(1), (), 2, 30, 4, t, 2) for t, n in enumerate((5, 6))]
+    with pytest.raises(Exception, match="saved table"):
+        P.sets_by_block(parts[0].unionByName(parts[1])).collect()
