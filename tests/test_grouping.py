@@ -329,3 +329,32 @@ def test_turns_that_read_different_rows_fail(spark, monkeypatch):
     parts = [P.valid_by_block(records(spark, ["alpha beta gamma delta"] * n).coalesce(1), (), 2, 30, 4, t, 2) for t, n in enumerate((5, 6))]
     with pytest.raises(Exception, match="saved table"):
         P.sets_by_block(parts[0].unionByName(parts[1])).collect()
+
+
+@pytest.mark.parametrize("block", [30, 1 << 22])
+def test_posting_lists_are_those_of_the_long_table_and_none_is_written(spark, monkeypatch, block):
+    from coppice.operators import postings as P
+
+    monkeypatch.setattr(P, "BLOCK_TERMS", block)
+    rng = random.Random(7)
+    words = ["straße", "élève", "日本語学習", "a", "é", "x1", "ΣΊΣΥΦΟΣ", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢", "char", "the", "und"] + [f"w{i}" for i in range(60)]
+    texts = [None, "", "the und", *[" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(80)], "lone\nterm"]
+    at = [rng.randrange(-(1 << 62), 1 << 62) for _ in texts]
+    for ids in (at, range(len(texts))):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "row_index long, analysis_text string").repartition(3)
+        want = {}
+        for r in T.distinct_terms(rows).collect():
+            want.setdefault(r.term, []).append(r.row_index)
+        found = P.inverted_index(rows, 2, 30)
+        got = found.collect()
+        assert len(got) == len({r.term for r in got}) and all(r.df == len(r.rows) for r in got)
+        assert {r.term: r.rows for r in got} == {t: sorted(x) for t, x in want.items() if 2 <= len(x) <= 30}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a term and record
+    assert P.inverted_index(rows.where("false")).count() == 0
+
+
+def test_query_of_the_inverted_index_has_no_long_table(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["inverted_index"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
