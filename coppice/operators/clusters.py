@@ -25,17 +25,18 @@ def members_by_component(records: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(ROW, F.coalesce("component", ROW).alias("component"))
 
 
-def numbered(groups: DataFrame, name: str) -> DataFrame:
-    """Number rows (component, size) from 1 by size, largest first, then component.
+def numbered(groups: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Number rows (keys, component, size) from 1 by size, largest first, then component; anew for each value of keys.
 
     Groups are sorted over partitions and ranks shifted by the rows of the parts before,
-    so no task orders all groups, nor all of one size.
+    so no task orders all groups, nor all of one key or of one size.
     """
-    placed, parts = in_order(groups.withColumn("_least", -F.col("size")), "_least", "component")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    starts = parts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed, _ = in_order(groups.withColumn("_least", -F.col("size")), *keys, "_least", "component")
+    parts = placed.groupBy("_part", *keys).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part and key
+    starts = parts.select("_part", *keys, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first")).alias("_before"))
     number = (F.col("_before") + F.col("_at") + 1).cast("long")
-    return placed.join(starts, "_part").withColumn(name, number).select(*groups.columns, name)
+    return placed.join(starts, ["_part", *keys]).withColumn(name, number).select(*groups.columns, name)
 
 
 def cluster_members(members: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
@@ -80,23 +81,35 @@ def labelled(groups: DataFrame, members: DataFrame, records: DataFrame, keys: tu
 
 
 def theme_members(
-    records: DataFrame, members: DataFrame, minimum: int, percent: int, most_df: int = MOST_DF, strategy: str = "overlap"
+    records: DataFrame,
+    members: DataFrame,
+    minimum: int,
+    percent: int,
+    most_df: int = MOST_DF,
+    strategy: str = "overlap",
+    all_themes: bool = False,
+    turns: int = 1,
 ) -> DataFrame:
-    """Rows (cluster_id, theme_id, row_index, size) of at most ten themes a cluster.
+    """Rows (cluster_id, theme_id, row_index, size) of the themes of each cluster.
 
     All clusters are one job: terms, frequencies and edges are keyed by cluster.
-    Clusters not above the minimum, or above ``MOST_THEMED``, are one theme.
+    Clusters not above the minimum are one theme.  Without ``all_themes`` a cluster keeps its
+    ``MOST_THEMES`` largest themes, and one above ``MOST_THEMED`` is one theme; with it, each
+    row of a cluster is in a theme, whatever its size.  ``turns`` as for ``saved_term_sets``.
     """
-    split = (F.col("size") > minimum) & (F.col("size") <= MOST_THEMED)
+    split = F.col("size") > minimum
+    if not all_themes:
+        split &= F.col("size") <= MOST_THEMED
     inside = save(
         members.where(split).join(records.select(ROW, "analysis_text"), ROW).select("cluster_id", ROW, "analysis_text"),
         "theme-records",
     )
-    edges = linking_edges(inside, percent, ("cluster_id",), most_df, strategy)
+    edges = linking_edges(inside, percent, ("cluster_id",), most_df, strategy, turns)
     parts = inside.select("cluster_id", ROW).join(members_by_component(inside, edges), ROW)
     sizes = parts.groupBy("cluster_id", "component").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("size"), "component")
-    top = sizes.withColumn("theme_id", F.row_number().over(order).cast("long")).where(F.col("theme_id") <= MOST_THEMES)
-    themed = parts.join(top, ["cluster_id", "component"]).select("cluster_id", "theme_id", ROW, "size")
+    listed = numbered(sizes, "theme_id", ("cluster_id",))
+    if not all_themes:
+        listed = listed.where(F.col("theme_id") <= MOST_THEMES)
+    themed = parts.join(listed, ["cluster_id", "component"]).select("cluster_id", "theme_id", ROW, "size")
     whole = members.where(~split).select("cluster_id", F.lit(1).cast("long").alias("theme_id"), ROW, "size")
     return themed.unionByName(whole)

@@ -92,6 +92,8 @@ THEME_ROWS = [
     *labels("themes", "theme_groups", "theme_ranked", "cluster_id, theme_id"),
 ]
 THEMES = [*LABELS, *THEME_ROWS]
+#: No theme is left out: neither those after the tenth nor those of clusters above 5000.
+ALL_THEMES = [part.replace(" AND size <= 5000", "").replace(" QUALIFY theme_id <= 10", "") for part in THEMES]
 LABELLED_INCIDENTS = """incidents AS (SELECT d.doc_id AS row_index, 'INC' || toxic || '-' || d.doc_id AS number,
   chr(9) || ' ' || text || ' ' AS description, lang AS category, source AS service
   FROM documents d LEFT JOIN labels USING (doc_id))"""
@@ -182,7 +184,7 @@ ORACLES: dict[str, str] = {
     "cluster_keywords": sql(LABELS, "SELECT cluster_id, rank, keyword, occurrences FROM ranked WHERE rank <= 4"),
     "themes": sql(THEMES, "SELECT cluster_id, theme_id, label, size FROM themes"),
     "theme_details": sql(THEMES, "SELECT cluster_id, theme_id, row_index, row_number() OVER (PARTITION BY cluster_id, theme_id ORDER BY row_index) AS place FROM theme_rows QUALIFY place <= 250"),
-    "export_rows": sql(THEMES, LOOKUP),
+    "export_rows": sql(ALL_THEMES, LOOKUP),
     "result_tree": sql(THEMES, "SELECT cluster_id, 0::BIGINT AS theme_id, -1::BIGINT AS row_index, label, size, 0 AS level FROM labelled UNION ALL SELECT cluster_id, theme_id, -1, label, size, 1 FROM themes UNION ALL SELECT cluster_id, theme_id, row_index, '', 1, 2 FROM theme_rows"),
     "filtered_clusters": sql(CLUSTERS, "SELECT cluster_id, count(*) AS visible FROM members JOIN incidents USING (row_index) WHERE category IN ('de', 'fr') GROUP BY cluster_id"),
     "visible_records": sql([INCIDENTS, SHOWN], "SELECT count(*) AS visible FROM shown"),

@@ -22,13 +22,14 @@ TURNS = 3  # of hashing the texts of a run: more of them take time and less disk
 
 @dataclass(frozen=True)
 class Settings:
-    """Smallest cluster, and the similarity of edges in percent, for clusters and for themes."""
+    """Smallest cluster, and the similarity of edges in percent, for clusters and for themes; whether no theme is left out."""
 
     minimum_cluster_size: int = 50
     similarity_percent: int = 42
     theme_similarity_percent: int = 58
     most_document_frequency: int = MOST_DF
     strategy: str = "collapse"
+    all_themes: bool = False
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -104,7 +105,14 @@ def cluster_records(
     release(records.sparkSession)
     theme_rows = save_bucketed(
         C.theme_members(
-            records, members, s.minimum_cluster_size, s.theme_similarity_percent, s.most_document_frequency, s.strategy
+            records,
+            members,
+            s.minimum_cluster_size,
+            s.theme_similarity_percent,
+            s.most_document_frequency,
+            s.strategy,
+            s.all_themes,
+            turns if s.all_themes else 1,
         ),
         "theme-rows",
         ROW,

@@ -220,6 +220,26 @@ def test_clusters_beyond_the_largest_themed_size_are_one_theme(spark, monkeypatc
     assert sum(r[3] for r in got if r[0] == 2) == 5 and len([r for r in got if r[0] == 2]) > 1
 
 
+def test_all_themes_of_clusters_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_THEMED", 5)
+    members = spark.createDataFrame([(1, i, 30) for i in range(30)] + [(2, i, 24) for i in range(30, 54)] + [(3, 54, 2), (3, 55, 2)], "cluster_id long, row_index long, size long")
+    kinds = [f"common{k:02d}{'abcdefghijklmno'[k] * 5}" for k in range(15)]
+    rows = records(spark, [kinds[i // 2] for i in range(30)] + [kinds[0]] * 5 + [kinds[1 + i // 2] for i in range(19)] + [kinds[0], kinds[1]])
+    got = sorted(tuple(r) for r in C.theme_members(rows, members.repartition(3), 3, 90, all_themes=True).groupBy("cluster_id", "theme_id", "size").count().collect())
+    assert got == [(1, k, 2, 2) for k in range(1, 16)] + [(2, 1, 5, 5)] + [(2, k, 2, 2) for k in range(2, 11)] + [(2, 11, 1, 1)] + [(3, 1, 2, 2)]
+
+
+def test_numbering_starts_anew_for_each_key_on_any_number_of_parts(spark):
+    rng = random.Random(8)
+    groups = [(k, c, rng.choice([1, 1, 2, 9])) for k, n in ((1, 900), (2, 1), (3, 40), (7, 900)) for c in rng.sample(range(5000), n)]
+    got = C.numbered(spark.createDataFrame(groups, "k long, component long, size long").repartition(5), "number", ("k",)).collect()
+    want = {}
+    for k in (1, 2, 3, 7):
+        ordered = sorted((-size, c) for key, c, size in groups if key == k)
+        want |= {(k, c): i for i, (_, c) in enumerate(ordered, 1)}
+    assert {(r.k, r.component): r.number for r in got} == want and len(got) == len(want)
+
+
 def test_label_templates(spark):
     texts = ["", "printer", "printer printer mailbox"]
     rows = records(spark, texts)
