@@ -185,7 +185,7 @@ ORACLES: dict[str, str] = {
     "themes": sql(THEMES, "SELECT cluster_id, theme_id, label, size FROM themes"),
     "theme_details": sql(THEMES, "SELECT cluster_id, theme_id, row_index, row_number() OVER (PARTITION BY cluster_id, theme_id ORDER BY row_index) AS place FROM theme_rows QUALIFY place <= 250"),
     "export_rows": sql(ALL_THEMES, LOOKUP),
-    "result_tree": sql(THEMES, "SELECT cluster_id, 0::BIGINT AS theme_id, -1::BIGINT AS row_index, label, size, 0 AS level FROM labelled UNION ALL SELECT cluster_id, theme_id, -1, label, size, 1 FROM themes UNION ALL SELECT cluster_id, theme_id, row_index, '', 1, 2 FROM theme_rows"),
+    "result_tree": sql(ALL_THEMES, "SELECT cluster_id, 0::BIGINT AS theme_id, -1::BIGINT AS row_index, label, size, 0 AS level FROM labelled UNION ALL SELECT cluster_id, theme_id, -1, label, size, 1 FROM themes UNION ALL SELECT cluster_id, theme_id, row_index, '', 1, 2 FROM theme_rows"),
     "filtered_clusters": sql(CLUSTERS, "SELECT cluster_id, count(*) AS visible FROM members JOIN incidents USING (row_index) WHERE category IN ('de', 'fr') GROUP BY cluster_id"),
     "visible_records": sql([INCIDENTS, SHOWN], "SELECT count(*) AS visible FROM shown"),
     "visible_members": sql([*CLUSTERS, SHOWN], "SELECT cluster_id, row_index FROM members SEMI JOIN shown USING (row_index)"),
