@@ -182,7 +182,7 @@ ORACLES: dict[str, str] = {
     "cluster_members": sql(CLUSTERS, "SELECT cluster_id, row_index FROM members"),
     "unclustered": sql(CLUSTERS, "SELECT row_index FROM records ANTI JOIN members USING (row_index)"),
     "cluster_keywords": sql(LABELS, "SELECT cluster_id, rank, keyword, occurrences FROM ranked WHERE rank <= 4"),
-    "themes": sql(THEMES, "SELECT cluster_id, theme_id, label, size FROM themes"),
+    "themes": sql(ALL_THEMES, "SELECT cluster_id, theme_id, label, size FROM themes"),
     "theme_details": sql(ALL_THEMES, "SELECT cluster_id, theme_id, row_index, row_number() OVER (PARTITION BY cluster_id, theme_id ORDER BY row_index) AS place FROM theme_rows QUALIFY place <= 250"),
     "export_rows": sql(ALL_THEMES, LOOKUP),
     "result_tree": sql(ALL_THEMES, "SELECT cluster_id, 0::BIGINT AS theme_id, -1::BIGINT AS row_index, label, size, 0 AS level FROM labelled UNION ALL SELECT cluster_id, theme_id, -1, label, size, 1 FROM themes UNION ALL SELECT cluster_id, theme_id, row_index, '', 1, 2 FROM theme_rows"),

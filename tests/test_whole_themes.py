@@ -28,7 +28,7 @@ def sorted_rows(df):
     return sorted(map(str, df[sorted(df.columns)].values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["export_rows", "result_tree", "theme_details"])
+@pytest.mark.parametrize("name", ["export_rows", "result_tree", "theme_details", "themes"])
 def test_all_twelve_themes_as_in_sql(spark, tables, monkeypatch, name):
     import duckdb
 
