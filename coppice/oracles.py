@@ -190,7 +190,7 @@ ORACLES: dict[str, str] = {
     "visible_records": sql([INCIDENTS, SHOWN], "SELECT count(*) AS visible FROM shown"),
     "visible_members": sql([*CLUSTERS, SHOWN], "SELECT cluster_id, row_index FROM members SEMI JOIN shown USING (row_index)"),
     "visible_groups": sql([*CLUSTERS, SHOWN], "SELECT cluster_id, count(*) AS visible FROM members SEMI JOIN shown USING (row_index) GROUP BY cluster_id"),
-    "visible_themes": sql([*THEMES, SHOWN], "SELECT cluster_id, theme_id, count(*) AS visible FROM theme_rows SEMI JOIN shown USING (row_index) GROUP BY ALL"),
+    "visible_themes": sql([*ALL_THEMES, SHOWN], "SELECT cluster_id, theme_id, count(*) AS visible FROM theme_rows SEMI JOIN shown USING (row_index) GROUP BY ALL"),
     "facet_values": sql([INCIDENTS, FACETS], """SELECT "column", value, CASE WHEN value = '' THEN '(blank)' ELSE value END AS display FROM facets"""),
     "facet_search": sql([INCIDENTS, FACETS], """SELECT "column", value FROM facets WHERE contains(lower(value), 'rc1')"""),
     "facet_filter": sql([INCIDENTS], "SELECT row_index, category, service FROM incidents WHERE category IN ('de', 'fr')"),
